@@ -1,0 +1,5 @@
+"""Streaming.
+
+The reference has no streaming operator (no watermark, event-time window or
+state); its datasets are built once in batch.  Nothing is built here.
+"""
