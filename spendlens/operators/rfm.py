@@ -26,7 +26,7 @@ def rfm_base(orders: DataFrame, snapshot, statuses=COMPLETED, floor_timestamp: b
 
     ``floor_timestamp=True`` measures recency as floored whole days between
     timestamps (order times with a time of day); the default is a date diff.
-    Money is summed exactly as decimal and returned as double.
+    Money is summed exactly as decimal.
     """
     snap = as_date(snapshot) if not floor_timestamp else F.to_timestamp(as_date(snapshot))
     last = F.max("order_date")
@@ -38,7 +38,7 @@ def rfm_base(orders: DataFrame, snapshot, statuses=COMPLETED, floor_timestamp: b
             .groupBy("customer_id")
             .agg(recency.cast("int").alias("recency"),
                  F.count("id").alias("frequency"),
-                 dbl(F.sum("total_amount")).alias("monetary")))
+                 F.sum("total_amount").alias("monetary")))
 
 
 def rfm_scores(rfm: DataFrame, buckets: int = 5, num_partitions: int | None = None) -> DataFrame:
