@@ -113,8 +113,7 @@ def check_ranges(tables: dict[str, DataFrame]) -> DataFrame:
         for (tt, c), (p, s) in schemas.PRECISION.items():
             if tt == t and c in df.columns:
                 tests[f"{c}:decimal({p},{s})"] = (F.col(c).isNotNull()
-                                                  & F.try_cast(F.col(c), f"decimal({p},{s})").isNull()) \
-                    if hasattr(F, "try_cast") else F.lit(False)
+                                                  & F.col(c).try_cast(f"decimal({p},{s})").isNull())
         frames.append(_report("range", t, df, tests))
     return _union(frames)
 

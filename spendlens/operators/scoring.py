@@ -70,7 +70,7 @@ def churn_logistic_score(df: DataFrame, **names) -> DataFrame:
     """Batch churn probability: ``round(100 * sigmoid(z))`` with the fixed
     weights above, and ``is_high_risk`` (probability >= 50)."""
     z = logistic_log_odds(**names)
-    prob = js_round(F.lit(100.0) / (F.lit(1.0) + F.exp(-z)), 0)
+    prob = js_round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) * F.lit(100.0), 0)
     return (df.withColumn("churn_probability", prob)
               .withColumn("is_high_risk", F.col("churn_probability") >= 50))
 
