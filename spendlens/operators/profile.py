@@ -38,9 +38,12 @@ def order_lists(orders: DataFrame, items: DataFrame | None = None, statuses=COMP
     return o.groupBy("customer_id").agg(F.array_sort(F.collect_list(entry)).alias("orders"))
 
 
-def customer_profile(customers: DataFrame, orders: DataFrame, features: DataFrame | None, snapshot,
+def customer_profile(customers: DataFrame, orders: DataFrame, features, snapshot,
                      statuses=COMPLETED, items: DataFrame | None = None,
                      with_orders: bool = False) -> DataFrame:
+    """``features``: one frame or a list of frames keyed by customer_id that
+    carry support_tickets, discount_usage and satisfaction_rating (missing
+    values: 0 tickets, 0 % discount, rating 5)."""
     snap = as_date(snapshot)
     per_customer = (completed_orders(orders, statuses)
                     .groupBy("customer_id")
@@ -50,11 +53,13 @@ def customer_profile(customers: DataFrame, orders: DataFrame, features: DataFram
     c = customers.select(F.col("id").alias("customer_id"), "first_name", "last_name", "email",
                          "country", "signup_date", F.col("status").alias("customer_status"))
     p = c.join(per_customer, "customer_id", "left")
-    if features is not None:
-        p = p.join(features, "customer_id", "left")
-    else:
-        p = p.select("*", F.lit(0).alias("support_tickets"), F.lit(0.0).alias("discount_usage"),
-                     F.lit(5).alias("satisfaction_rating"))
+    frames = features if isinstance(features, (list, tuple)) else ([features] if features is not None else [])
+    for f in frames:
+        p = p.join(f, "customer_id", "left")
+    for name, default in (("support_tickets", F.lit(0)), ("discount_usage", F.lit(0.0)),
+                          ("satisfaction_rating", F.lit(5))):
+        if name not in p.columns:
+            p = p.withColumn(name, default)
     last = F.coalesce(F.col("last_order_date"), F.col("signup_date"))
     p = p.select(
         "customer_id",
@@ -86,11 +91,12 @@ def build_customer_segments(profile: DataFrame, num_partitions: int | None = Non
     """The ``customer_segments`` result table: one row per profiled customer
     with R/F/M, quintile scores (over all profiled customers), segment, CLV
     and heuristic churn probability, typed as the relational table."""
-    scores = rfm_scores(profile.select("customer_id", "recency", "frequency", "monetary"),
+    # the other columns ride along through the rankings: no second pass over the profile
+    scores = rfm_scores(profile.select("customer_id", "recency", "frequency", "monetary",
+                                       "segment", "clv", "churn_risk"),
                         num_partitions=num_partitions)
     stamp = F.current_timestamp() if updated_at is None else F.lit(updated_at).cast("timestamp")
-    return (profile.select("customer_id", "segment", "clv", "churn_risk")
-            .join(scores, "customer_id")
+    return (scores
             .select(
                 "customer_id",
                 F.col("recency").cast("int").alias("recency_days"),

@@ -58,7 +58,7 @@ def _money():
 
 def _profile(t: Tables) -> DataFrame:
     return t._memo("profile", lambda: prof.customer_profile(
-        t.customers, t.orders, t.features, t.snapshot))
+        t.customers, t.orders, t.feature_frames, t.snapshot))
 
 
 def _segments_table(t: Tables) -> DataFrame:
@@ -162,7 +162,7 @@ def q_pareto_summary(t: Tables) -> DataFrame:
 @query("customer_profile")
 def q_customer_profile(t: Tables) -> DataFrame:
     """AGG-15: the per-customer record (order list summarised by its size)."""
-    p = prof.customer_profile(t.customers, t.orders, t.features, t.snapshot, items=t.order_items,
+    p = prof.customer_profile(t.customers, t.orders, t.feature_frames, t.snapshot, items=t.order_items,
                               with_orders=True)
     return p.select("customer_id", "name", "email", "country", "signup_date", "segment", "recency",
                     "frequency", _money(), "clv", "churn_risk", "active_status", "discount_usage",
@@ -411,8 +411,8 @@ def q_export_customers(t: Tables) -> DataFrame:
 
 # --------------------------------------------------------------------- ML
 def _model_input(t: Tables) -> DataFrame:
-    f = t.features.select("customer_id", "support_tickets",
-                          F.col("satisfaction_rating").alias("satisfaction_score"))
+    f = t.ticket_features.select("customer_id", "support_tickets",
+                                 F.col("satisfaction_rating").alias("satisfaction_score"))
     return scoring.churn_label(_rfm(t)).join(f, "customer_id", "left").fillna(
         {"support_tickets": 0, "satisfaction_score": 5})
 

@@ -166,13 +166,22 @@ class Tables:
         return self._memo("order_items", build)
 
     @property
-    def features(self) -> DataFrame:
-        """customer_id, support_tickets, discount_usage, satisfaction_rating
-        for every customer (0 / 0 / 5 when there is no evidence)."""
+    def ticket_features(self) -> DataFrame:
+        """customer_id, support_tickets, satisfaction_rating for customers with
+        support history (others default to 0 tickets / rating 5)."""
+        def build():
+            t = (self.raw("events").filter(F.col("event_type") == "error")
+                 .groupBy(F.col("user_id").cast("string").alias("customer_id"))
+                 .agg(F.count(F.lit(1)).cast("int").alias("support_tickets")))
+            sat = F.greatest(F.lit(1), F.least(F.lit(5), F.floor(
+                F.lit(5.0) - F.lit(0.6) * F.col("support_tickets") + F.lit(0.5)).cast("int")))
+            return t.withColumn("satisfaction_rating", sat)
+        return self._memo("ticket_features", build)
+
+    @property
+    def discount_features(self) -> DataFrame:
+        """customer_id, discount_usage (mean line discount in percent, rounded)."""
         def build():
-            tickets = (self.raw("events").filter(F.col("event_type") == "error")
-                       .groupBy(F.col("user_id").cast("string").alias("customer_id"))
-                       .agg(F.count(F.lit(1)).alias("support_tickets")))
             # pre-aggregate the lines per order before meeting the orders table
             per_order = (self.raw("lineitem")
                          .groupBy("l_orderkey")
@@ -182,16 +191,29 @@ class Tables:
             disc = (per_order.join(o, per_order.l_orderkey == o.o_orderkey)
                     .groupBy(F.col("o_custkey").cast("string").alias("customer_id"))
                     .agg(F.sum("disc_sum").alias("disc_sum"), F.sum("n_lines").alias("n_lines")))
+            usage = js_round(F.col("disc_sum").cast("double") * F.lit(100.0) / F.col("n_lines").cast("double"), 0)
+            return disc.select("customer_id", usage.alias("discount_usage"))
+        return self._memo("discount_features", build)
+
+    @property
+    def feature_frames(self) -> list[DataFrame]:
+        """Behavioural inputs as frames keyed by customer_id, joined to the
+        profile one by one (a frame whose columns a query does not use is
+        dropped from its plan)."""
+        return [self.ticket_features, self.discount_features]
+
+    @property
+    def features(self) -> DataFrame:
+        """All behavioural inputs for every customer (0 / 0 / 5 without evidence)."""
+        def build():
             base = self.customers.select(F.col("id").alias("customer_id"))
-            t = F.coalesce(F.col("support_tickets"), F.lit(0)).cast("int")
-            usage = F.coalesce(
-                js_round(F.col("disc_sum").cast("double") * F.lit(100.0) / F.col("n_lines").cast("double"), 0),
-                F.lit(0.0))
-            sat = F.greatest(F.lit(1), F.least(F.lit(5),
-                             F.floor(F.lit(5.0) - F.lit(0.6) * t + F.lit(0.5)).cast("int")))
-            return (base.join(tickets, "customer_id", "left").join(disc, "customer_id", "left")
-                    .select("customer_id", t.alias("support_tickets"), usage.alias("discount_usage"),
-                            sat.alias("satisfaction_rating")))
+            for f in self.feature_frames:
+                base = base.join(f, "customer_id", "left")
+            return base.select(
+                "customer_id",
+                F.coalesce(F.col("support_tickets"), F.lit(0)).alias("support_tickets"),
+                F.coalesce(F.col("discount_usage"), F.lit(0.0)).alias("discount_usage"),
+                F.coalesce(F.col("satisfaction_rating"), F.lit(5)).alias("satisfaction_rating"))
         return self._memo("features", build)
 
 
