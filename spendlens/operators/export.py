@@ -54,7 +54,8 @@ def write_export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
     partitions (one part file each)."""
     w = (df.coalesce(1) if single_file else df).write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # quotes inside a field are doubled (RFC 4180), not backslash-escaped
+        w.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
         w.json(path)
     else:
