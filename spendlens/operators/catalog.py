@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spendlens.functions import dbl, js_round, pct_tenths, safe_ratio
 
@@ -73,7 +74,8 @@ def category_metrics(items: DataFrame, products: DataFrame, orders: DataFrame |
            .groupBy("category")
            .agg(F.coalesce(F.sum("revenue"), F.lit(0).cast("decimal(25,2)")).alias("revenue"),
                 F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("orders_count")))
-    grand = per.select(F.sum("revenue")).scalar()
+    # grand total over the per-category rows (one row per category)
+    grand = F.sum("revenue").over(Window.partitionBy())
     return (per.select(F.col("category").alias("name"),
                        js_round("revenue", 2).alias("revenue"),
                        "orders_count",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spendlens.functions import dbl, js_round
 from spendlens.functions import labels as L
@@ -36,7 +37,8 @@ def pareto_customers(orders: DataFrame, top_pct: int = 25, statuses=COMPLETED,
     levels = spend.groupBy("total_spend").agg(F.sum("total_spend").alias("level_sum"))
     running = with_global_running_sum(levels, [F.col("total_spend").desc()], "level_sum",
                                       "running_spend", num_partitions).drop("level_sum")
-    total = spend.select(F.sum("total_spend")).scalar()
+    # grand total read from the checkpointed ranking, not a second pass over orders
+    total = ranked.select(F.sum("total_spend")).scalar()
     return (ranked.join(running, "total_spend")
             .select("customer_id",
                     dbl("total_spend").alias("total_spend"),
@@ -54,7 +56,8 @@ def pareto_summary(orders: DataFrame, top_pct: int = 25, statuses=COMPLETED,
     spend = customer_spend(orders, statuses)
     ranked = with_global_row_number(
         spend, [F.col("total_spend").desc(), F.col("customer_id").asc()], "rank", "n", num_partitions)
-    total = spend.select(F.sum("total_spend")).scalar()
+    # the two bracket rows add up to the grand total
+    total = F.sum("bracket_revenue").over(Window.partitionBy())
     return (ranked.groupBy(_bracket("rank", "n", top_pct).alias("customer_cohort"))
             .agg(F.count_distinct("customer_id").alias("distinct_accounts"),
                  F.sum("total_spend").alias("bracket_revenue"))

@@ -21,12 +21,27 @@ from spendlens.operators.scoring import (
 )
 
 
-def order_lists(orders: DataFrame, items: DataFrame | None = None, statuses=COMPLETED) -> DataFrame:
+def order_activity(orders: DataFrame, items: DataFrame, statuses=COMPLETED) -> DataFrame:
+    """customer_id -> orders_listed, items_listed: the size of each customer's
+    order list and the lines in it, as plain aggregates (no arrays)."""
+    per_order = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("n_items"))
+    o = completed_orders(orders, statuses).select(F.col("id").alias("order_id"), "customer_id")
+    return (o.join(per_order, "order_id", "left")
+            .groupBy("customer_id")
+            .agg(F.count(F.lit(1)).cast("int").alias("orders_listed"),
+                 F.coalesce(F.sum("n_items"), F.lit(0)).cast("int").alias("items_listed")))
+
+
+def order_lists(orders: DataFrame, items: DataFrame | None = None, statuses=COMPLETED,
+                customers: DataFrame | None = None) -> DataFrame:
     """customer_id -> array<struct<date, id, amount, items_count>> in date order.
 
-    One array per customer: its size grows with the customer's history, so it
-    is only built on request (``with_orders=True``) and never for wide scans."""
+    One array per customer holds that customer's whole history, so this is
+    the record view for a selection of customers (``customers``: a frame
+    with customer_id, e.g. one result page) – not for a scan of everyone."""
     o = completed_orders(orders, statuses)
+    if customers is not None:
+        o = o.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
     if items is not None:
         counts = items.groupBy("order_id").agg(F.count(F.lit(1)).cast("int").alias("items_count"))
         o = o.join(counts, o.id == counts.order_id, "left")
@@ -82,7 +97,7 @@ def customer_profile(customers: DataFrame, orders: DataFrame, features, snapshot
         safe_ratio("monetary", "frequency").alias("avg_order_value"),
     )
     if with_orders:
-        p = p.join(order_lists(orders, items, statuses), "customer_id", "left")
+        p = p.join(order_lists(orders, items, statuses, customers=p), "customer_id", "left")
     return p
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spendlens.functions import as_date, dbl, js_round, month_diff, month_start
 from spendlens.operators.rfm import COMPLETED, completed_orders
@@ -23,17 +24,18 @@ def monthly_revenue(orders: DataFrame, snapshot, months: int = 12, statuses=COMP
            .agg(F.sum("total_amount").alias("revenue"), F.count(F.lit(1)).alias("orders_count")))
     spine = (orders.sparkSession.range(1)
              .select(F.explode(F.sequence(first, snap_month, F.expr("INTERVAL 1 MONTH"))).alias("month_start")))
-    months_df = (spine.join(F.broadcast(per), "month_start", "left")  # at most `months` rows
-                 .select("month_start",
-                         month_diff("month_start", first).alias("month_index"),
-                         F.coalesce(js_round("revenue", 2), F.lit(0.0)).alias("actual_revenue"),
-                         F.coalesce(F.col("orders_count"), F.lit(0)).cast("long").alias("orders_count")))
-    fit = months_df.agg(F.regr_slope("actual_revenue", F.col("month_index").cast("double")).alias("m"),
-                        F.regr_intercept("actual_revenue", F.col("month_index").cast("double")).alias("b"))
-    slope, icpt = fit.select("m").scalar(), fit.select("b").scalar()
-    return (months_df.select(F.date_format("month_start", "yyyy-MM").alias("month"), "month_index",
-                             "actual_revenue", "orders_count",
-                             js_round(slope * dbl("month_index") + icpt, 0).alias("trend_revenue"))
+    hist = (spine.join(F.broadcast(per), "month_start", "left")  # at most `months` rows each side
+            .select("month_start",
+                    month_diff("month_start", first).alias("month_index"),
+                    F.coalesce(js_round("revenue", 2), F.lit(0.0)).alias("actual_revenue"),
+                    F.coalesce(F.col("orders_count"), F.lit(0)).cast("long").alias("orders_count")))
+    # the fit runs over the `months` rows of the series itself
+    series = Window.partitionBy()
+    x = dbl("month_index")
+    return (hist.select(F.date_format("month_start", "yyyy-MM").alias("month"), "month_index",
+                        "actual_revenue", "orders_count",
+                        js_round(F.regr_slope("actual_revenue", x).over(series) * x
+                                 + F.regr_intercept("actual_revenue", x).over(series), 0).alias("trend_revenue"))
             .orderBy("month_index"))
 
 
@@ -42,21 +44,23 @@ def revenue_forecast(monthly: DataFrame, average_order_value, horizon: int = 3)
     least-squares line (whole number), actual 0, orders = forecast / AOV
     rounded.  History rows carry a null forecast.  Fewer than two months:
     no forecast rows."""
-    n = monthly.select(F.count(F.lit(1))).scalar()
-    fit = monthly.agg(F.regr_slope("actual_revenue", dbl("month_index")).alias("m"),
-                      F.regr_intercept("actual_revenue", dbl("month_index")).alias("b"),
-                      F.max(F.to_date(F.concat(F.col("month"), F.lit("-01")))).alias("last"))
-    slope, icpt, last = (fit.select(c).scalar() for c in ("m", "b", "last"))
-    steps = monthly.sparkSession.range(1, horizon + 1).select(F.col("id").cast("int").alias("step"))
-    value = js_round(slope * (dbl(n) - F.lit(1.0) + dbl("step")) + icpt, 0)
+    series = Window.partitionBy()
+    x = dbl("month_index")
+    fitted = monthly.select(
+        "*",
+        F.count(F.lit(1)).over(series).alias("__n"),
+        F.regr_slope("actual_revenue", x).over(series).alias("__m"),
+        F.regr_intercept("actual_revenue", x).over(series).alias("__b"))
+    step = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("__step")
+    last = (fitted.filter((F.col("month_index") == F.col("__n") - 1) & (F.col("__n") >= 2))
+            .select(F.to_date(F.concat(F.col("month"), F.lit("-01"))).alias("__last"), "__n", "__m", "__b", step))
+    value = js_round(F.col("__m") * (dbl("__n") - F.lit(1.0) + dbl("__step")) + F.col("__b"), 0)
     aov = dbl(average_order_value)
-    future = (steps.select(
-                F.date_format(F.add_months(last, F.col("step")), "yyyy-MM").alias("month"),
-                (n - F.lit(1) + F.col("step")).cast("int").alias("month_index"),
-                F.lit(0.0).alias("actual_revenue"),
-                F.coalesce(js_round(value / F.nullif(aov, F.lit(0.0)), 0), F.lit(0.0))
-                 .cast("long").alias("orders_count"),
-                value.alias("trend_revenue"),
-                value.alias("forecast_revenue"))
-              .filter(F.lit(n) >= 2))
+    future = last.select(
+        F.date_format(F.add_months("__last", F.col("__step")), "yyyy-MM").alias("month"),
+        (F.col("__n") - F.lit(1) + F.col("__step")).cast("int").alias("month_index"),
+        F.lit(0.0).alias("actual_revenue"),
+        F.coalesce(js_round(value / F.nullif(aov, F.lit(0.0)), 0), F.lit(0.0)).cast("long").alias("orders_count"),
+        value.alias("trend_revenue"),
+        value.alias("forecast_revenue"))
     return monthly.unionByName(future, allowMissingColumns=True)

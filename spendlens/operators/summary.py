@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spendlens.functions import dbl, js_round, pct_tenths
 from spendlens.functions import labels as L
@@ -19,26 +20,32 @@ def segment_labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "position int, id string, name string, description string")
 
 
-def kpi_stats(profile: DataFrame) -> DataFrame:
-    """One row: total customers, revenue, average order value, retention,
-    churn (away > 90 days) and repeat-purchase (> 1 order) rates."""
-    n = F.count(F.lit(1))
-    agg = profile.agg(
-        n.alias("total_customers"),
+def _kpi_aggs():
+    return [
+        F.count(F.lit(1)).alias("total_customers"),
         F.sum("monetary").alias("revenue"),
         F.sum("frequency").alias("orders"),
         F.count_if(F.col("frequency") > 1).alias("repeat"),
         F.count_if(F.col("recency") > 90).alias("churned"),
-    )
+    ]
+
+
+def _kpi_cols() -> dict:
     churn = pct_tenths("churned", "total_customers")
-    return agg.select(
-        F.col("total_customers").cast("long").alias("total_customers"),
-        js_round("revenue", 2).alias("total_revenue"),
-        js_round(js_round("revenue", 2) / F.greatest(dbl("orders"), F.lit(1.0)), 2).alias("average_order_value"),
-        js_round(F.lit(100.0) - churn, 1).alias("customer_retention_rate"),
-        churn.alias("churn_rate"),
-        pct_tenths("repeat", "total_customers").alias("repeat_purchase_rate"),
-    )
+    return {
+        "total_customers": F.col("total_customers").cast("long"),
+        "total_revenue": js_round("revenue", 2),
+        "average_order_value": js_round(js_round("revenue", 2) / F.greatest(dbl("orders"), F.lit(1.0)), 2),
+        "customer_retention_rate": js_round(F.lit(100.0) - churn, 1),
+        "churn_rate": churn,
+        "repeat_purchase_rate": pct_tenths("repeat", "total_customers"),
+    }
+
+
+def kpi_stats(profile: DataFrame) -> DataFrame:
+    """One row: total customers, revenue, average order value, retention,
+    churn (away > 90 days) and repeat-purchase (> 1 order) rates."""
+    return profile.agg(*_kpi_aggs()).select(*[c.alias(n) for n, c in _kpi_cols().items()])
 
 
 def segment_summary(profile: DataFrame) -> DataFrame:
@@ -46,7 +53,6 @@ def segment_summary(profile: DataFrame) -> DataFrame:
     percentage of all customers (1 dp), mean recency (0 dp), frequency (1 dp)
     and spend (2 dp), description."""
     spark = profile.sparkSession
-    total = profile.select(F.count(F.lit(1))).scalar()
     per = profile.groupBy(F.col("segment").alias("name")).agg(
         F.count(F.lit(1)).alias("size"),
         F.sum("recency").alias("sum_r"),
@@ -55,6 +61,8 @@ def segment_summary(profile: DataFrame) -> DataFrame:
     )
     labels = F.broadcast(segment_labels(spark))  # seven rows
     size = F.coalesce(F.col("size"), F.lit(0)).cast("long")
+    # every profiled customer falls in exactly one of the seven segments
+    total = F.sum(size).over(Window.partitionBy())
     mean = lambda c: dbl(c) / F.nullif(dbl(size), F.lit(0.0))
     return (labels.join(per, "name", "left")
             .select(
@@ -83,12 +91,17 @@ def segment_digest(summary: DataFrame) -> DataFrame:
     return summary.agg(F.to_json(ordered).alias("segments_json"))
 
 
-def executive_digest(kpis: DataFrame, summary: DataFrame) -> DataFrame:
+def executive_digest(profile: DataFrame) -> DataFrame:
     """One row of headline facts: revenue, AOV, churn and repeat rates,
-    customers, and size and mean spend of the Champions segment (0 if absent)."""
-    champ = summary.filter(F.col("name") == L.CHAMPIONS)
-    return kpis.select(
-        "total_revenue", "average_order_value", "churn_rate", "repeat_purchase_rate", "total_customers",
-        F.coalesce(champ.select(F.max("size")).scalar(), F.lit(0)).cast("long").alias("champions_size"),
-        F.coalesce(champ.select(F.max("avg_monetary")).scalar(), F.lit(0.0)).alias("champions_avg_monetary"),
-    )
+    customers, and size and mean spend of the Champions segment (0 if
+    empty) – all from a single aggregation over the profile."""
+    champ = F.col("segment") == L.CHAMPIONS
+    agg = profile.agg(*_kpi_aggs(), F.count_if(champ).alias("champ_n"),
+                      F.sum(F.when(champ, F.col("monetary"))).alias("champ_m"))
+    kpis = _kpi_cols()
+    return agg.select(
+        *[kpis[k].alias(k) for k in ("total_revenue", "average_order_value", "churn_rate",
+                                     "repeat_purchase_rate", "total_customers")],
+        F.col("champ_n").cast("long").alias("champions_size"),
+        F.coalesce(js_round(dbl("champ_m") / F.nullif(dbl("champ_n"), F.lit(0.0)), 2), F.lit(0.0))
+         .alias("champions_avg_monetary"))

@@ -162,14 +162,12 @@ def q_pareto_summary(t: Tables) -> DataFrame:
 @query("customer_profile")
 def q_customer_profile(t: Tables) -> DataFrame:
     """AGG-15: the per-customer record (order list summarised by its size)."""
-    p = prof.customer_profile(t.customers, t.orders, t.feature_frames, t.snapshot, items=t.order_items,
-                              with_orders=True)
+    p = _profile(t).join(prof.order_activity(t.orders, t.order_items), "customer_id", "left")
     return p.select("customer_id", "name", "email", "country", "signup_date", "segment", "recency",
                     "frequency", _money(), "clv", "churn_risk", "active_status", "discount_usage",
                     "support_tickets", "satisfaction_rating", "last_purchase_date",
-                    F.coalesce(F.size("orders"), F.lit(0)).alias("orders_listed"),
-                    F.coalesce(F.aggregate("orders", F.lit(0), lambda acc, o: acc + o["items_count"]),
-                               F.lit(0)).alias("items_listed"))
+                    F.coalesce(F.col("orders_listed"), F.lit(0)).alias("orders_listed"),
+                    F.coalesce(F.col("items_listed"), F.lit(0)).alias("items_listed"))
 
 
 @query("customer_segments")
@@ -231,7 +229,7 @@ def q_segment_digest(t: Tables) -> DataFrame:
 @query("executive_digest")
 def q_executive_digest(t: Tables) -> DataFrame:
     """SNK-6: headline facts in one row."""
-    return summary.executive_digest(_kpis(t), _summary(t))
+    return summary.executive_digest(_profile(t))
 
 
 # --------------------------------------------------------------- catalogue

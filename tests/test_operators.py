@@ -182,3 +182,16 @@ def test_rfm_base_floor_timestamp(spark):
     got = rfm_base(o, "2026-05-31").collect()
     assert len(got) == 1 and got[0]["recency"] == 10
     assert rfm_base(o, "2026-05-31", floor_timestamp=True).first()["recency"] == 10
+
+
+def test_order_lists_for_a_page(spark):
+    from decimal import Decimal
+    from spendlens.operators.profile import order_lists
+    o = orders_df(spark, [("o2", "c1", D(2026, 5, 2), "completed", Decimal("2.00")),
+                          ("o1", "c1", D(2026, 5, 1), "completed", Decimal("1.00")),
+                          ("o3", "c2", D(2026, 5, 1), "completed", Decimal("1.00"))])
+    items = spark.createDataFrame([("o1",), ("o1",), ("o2",)], "order_id string")
+    page = spark.createDataFrame([("c1",)], "customer_id string")
+    got = order_lists(o, items, customers=page).collect()
+    assert len(got) == 1
+    assert [(e["id"], e["items_count"]) for e in got[0]["orders"]] == [("o1", 2), ("o2", 1)]
