@@ -108,3 +108,26 @@ def test_kmeans_labels_ordered_by_spend(spark):
     assert [r["cluster_label"] for r in prof] == [0, 1, 2, 3]
     means = [r["monetary_mean"] for r in prof]
     assert means == sorted(means, reverse=True) and sum(r["customers"] for r in prof) == 300
+
+
+def test_training_job_end_to_end(spark):
+    import datetime as dt
+    from spendlens.plans.pipeline import run_training_job
+    from spendlens.sources.readers import read_orders_csv
+    rnd = random.Random(11)
+    out = tempfile.mkdtemp(prefix="spendlens-orders-")
+    with open(out + "/orders.csv", "w") as fh:
+        fh.write("order_id,customer_id,order_date,total_amount,status\n")
+        for i in range(600):
+            day = dt.date(2026, 5, 31) - dt.timedelta(days=rnd.randint(1, 300))
+            amount = "" if i % 50 == 0 else f"{rnd.uniform(15, 450):.2f}"
+            status = "completed" if rnd.random() < 0.67 else "refunded"
+            fh.write(f"ORD-{i},CUST-{rnd.randint(1, 60)},{day},{amount},{status}\n")
+    flat = read_orders_csv(spark, out + "/orders.csv")
+    behaviour = spark.createDataFrame([(f"CUST-{i}", i % 4, 5 - i % 5) for i in range(1, 61)],
+                                      "customer_id string, support_tickets int, satisfaction_score int")
+    res = run_training_job(flat, behaviour, "2026-05-31")
+    n = res["rfm"].count()
+    assert n == res["customers"].count() and sum(r["customers"] for r in res["cluster_profile"].collect()) == n
+    assert res["predictions"].count() > 0 and res["coefficients"].count() == 5
+    assert 0.0 <= res["roc_auc"].first()["roc_auc"] <= 1.0
