@@ -101,28 +101,42 @@ def customer_profile(customers: DataFrame, orders: DataFrame, features, snapshot
     return p
 
 
+SEGMENT_COLUMNS = ["customer_id", "recency_days", "frequency_count", "monetary_spend", "recency_score",
+                   "frequency_score", "monetary_score", "segment_name", "clv_estimated",
+                   "churn_risk_probability", "last_updated"]
+
+
+def segment_facts(profile: DataFrame) -> DataFrame:
+    """The ``customer_segments`` columns that need no global ranking, typed
+    as the relational table.  Readers that do not use the quintile scores
+    (the watch-list, retention actions, key checks) take this frame and skip
+    the three distributed rankings."""
+    return profile.select(
+        "customer_id",
+        F.col("recency").cast("int").alias("recency_days"),
+        F.col("frequency").cast("int").alias("frequency_count"),
+        F.col("monetary").cast("decimal(15,2)").alias("monetary_spend"),
+        F.col("segment").alias("segment_name"),
+        F.col("clv").cast("decimal(15,2)").alias("clv_estimated"),
+        F.col("churn_risk").cast("decimal(5,2)").alias("churn_risk_probability"),
+    )
+
+
 def build_customer_segments(profile: DataFrame, num_partitions: int | None = None,
                             updated_at=None) -> DataFrame:
     """The ``customer_segments`` result table: one row per profiled customer
     with R/F/M, quintile scores (over all profiled customers), segment, CLV
     and heuristic churn probability, typed as the relational table."""
+    facts = segment_facts(profile)
     # the other columns ride along through the rankings: no second pass over the profile
-    scores = rfm_scores(profile.select("customer_id", "recency", "frequency", "monetary",
-                                       "segment", "clv", "churn_risk"),
+    ranked = rfm_scores(facts.withColumnsRenamed({"recency_days": "recency", "frequency_count": "frequency",
+                                                  "monetary_spend": "monetary"}),
                         num_partitions=num_partitions)
     stamp = F.current_timestamp() if updated_at is None else F.lit(updated_at).cast("timestamp")
-    return (scores
-            .select(
-                "customer_id",
-                F.col("recency").cast("int").alias("recency_days"),
-                F.col("frequency").cast("int").alias("frequency_count"),
-                F.col("monetary").cast("decimal(15,2)").alias("monetary_spend"),
-                "recency_score", "frequency_score", "monetary_score",
-                F.col("segment").alias("segment_name"),
-                F.col("clv").cast("decimal(15,2)").alias("clv_estimated"),
-                F.col("churn_risk").cast("decimal(5,2)").alias("churn_risk_probability"),
-                stamp.alias("last_updated"),
-            ))
+    return (ranked.withColumnsRenamed({"recency": "recency_days", "frequency": "frequency_count",
+                                       "monetary": "monetary_spend"})
+            .withColumn("last_updated", stamp)
+            .select(*SEGMENT_COLUMNS))
 
 
 def churn_watchlist(customers: DataFrame, segments: DataFrame, min_recency: int = 45,

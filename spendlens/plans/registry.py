@@ -65,6 +65,11 @@ def _segments_table(t: Tables) -> DataFrame:
     return t._memo("segments_table", lambda: prof.build_customer_segments(_profile(t)))
 
 
+def _segment_facts(t: Tables) -> DataFrame:
+    """customer_segments without the quintile scores (no rankings needed)."""
+    return t._memo("segment_facts", lambda: prof.segment_facts(_profile(t)))
+
+
 def _summary(t: Tables) -> DataFrame:
     return t._memo("summary", lambda: summary.segment_summary(_profile(t)))
 
@@ -78,9 +83,12 @@ def _scoring_input(t: Tables) -> DataFrame:
                               "discount_usage", F.col("satisfaction_rating").alias("satisfaction"))
 
 
-def _tables_for_checks(t: Tables) -> dict[str, DataFrame]:
+def _tables_for_checks(t: Tables, scores: bool = True) -> dict[str, DataFrame]:
+    """The canonical tables; ``scores=False`` hands checks that never read the
+    quintile scores the customer_segments columns that need no ranking."""
+    segs = _segments_table(t) if scores else _segment_facts(t)
     return {"customers": t.customers, "categories": t.categories, "products": t.products,
-            "orders": t.orders, "order_items": t.order_items, "customer_segments": _segments_table(t)}
+            "orders": t.orders, "order_items": t.order_items, "customer_segments": segs}
 
 
 # ----------------------------------------------------------------- RFM family
@@ -184,7 +192,7 @@ def q_customer_segments(t: Tables) -> DataFrame:
 @query("churn_watchlist")
 def q_churn_watchlist(t: Tables) -> DataFrame:
     """Query D: top-50 dormant active customers by churn risk."""
-    w = prof.churn_watchlist(t.customers, _segments_table(t))
+    w = prof.churn_watchlist(t.customers, _segment_facts(t))
     return w.select("customer_id", "customer_name", "email", "status", "recency_days", "frequency_count",
                     F.col("monetary_spend").cast("double").alias("monetary_spend"),
                     F.col("clv_estimated").cast("double").alias("clv_estimated"),
@@ -195,7 +203,7 @@ def q_churn_watchlist(t: Tables) -> DataFrame:
 @query("retention_action")
 def q_retention_action(t: Tables) -> DataFrame:
     """SC-5 over every row of customer_segments."""
-    s = _segments_table(t)
+    s = _segment_facts(t)
     return scoring.retention_action(s).select(
         "customer_id", F.col("churn_risk_probability").cast("double").alias("churn_risk_probability"),
         "retention_action")
@@ -361,19 +369,19 @@ def q_dq_nulls(t: Tables) -> DataFrame:
 @query("dq_duplicates")
 def q_dq_duplicates(t: Tables) -> DataFrame:
     """DQ-2."""
-    return quality.check_unique(_tables_for_checks(t))
+    return quality.check_unique(_tables_for_checks(t, scores=False))
 
 
 @query("dq_orphans")
 def q_dq_orphans(t: Tables) -> DataFrame:
     """DQ-3."""
-    return quality.check_foreign_keys(_tables_for_checks(t))
+    return quality.check_foreign_keys(_tables_for_checks(t, scores=False))
 
 
 @query("dq_domains")
 def q_dq_domains(t: Tables) -> DataFrame:
     """DQ-4."""
-    return quality.check_domains(_tables_for_checks(t))
+    return quality.check_domains(_tables_for_checks(t, scores=False))
 
 
 @query("dq_ranges")
@@ -385,7 +393,7 @@ def q_dq_ranges(t: Tables) -> DataFrame:
 @query("dq_lengths")
 def q_dq_lengths(t: Tables) -> DataFrame:
     """DQ-6."""
-    return quality.check_lengths(_tables_for_checks(t))
+    return quality.check_lengths(_tables_for_checks(t, scores=False))
 
 
 # ----------------------------------------------------------------- exports
