@@ -76,13 +76,19 @@ def churn_logistic_score(df: DataFrame, **names) -> DataFrame:
 
 
 def risk_bands(df: DataFrame, recency="recency", frequency="frequency",
-               tickets="support_tickets", satisfaction="satisfaction") -> DataFrame:
+               tickets="support_tickets", satisfaction="satisfaction", as_struct: bool = False) -> DataFrame:
+    """Four risk factors (high / medium / low) as flat columns, or as one
+    ``risk_factor_breakdown`` struct with ``as_struct=True``."""
     r, f, t, s = (as_col(x) for x in (recency, frequency, tickets, satisfaction))
-    return (df.withColumn("recency_factor", F.when(r > 90, L.HIGH).when(r > 30, L.MEDIUM).otherwise(L.LOW))
-              .withColumn("frequency_factor", F.when(f <= 1, L.HIGH).when(f <= 3, L.MEDIUM).otherwise(L.LOW))
-              .withColumn("support_factor", F.when(t >= 3, L.HIGH).when(t >= 1, L.MEDIUM).otherwise(L.LOW))
-              .withColumn("satisfaction_factor",
-                          F.when(s <= 2, L.HIGH).when(s <= 3, L.MEDIUM).otherwise(L.LOW)))
+    bands = {
+        "recency_factor": F.when(r > 90, L.HIGH).when(r > 30, L.MEDIUM).otherwise(L.LOW),
+        "frequency_factor": F.when(f <= 1, L.HIGH).when(f <= 3, L.MEDIUM).otherwise(L.LOW),
+        "support_factor": F.when(t >= 3, L.HIGH).when(t >= 1, L.MEDIUM).otherwise(L.LOW),
+        "satisfaction_factor": F.when(s <= 2, L.HIGH).when(s <= 3, L.MEDIUM).otherwise(L.LOW),
+    }
+    if as_struct:
+        return df.withColumn("risk_factor_breakdown", F.struct(*[c.alias(n) for n, c in bands.items()]))
+    return df.withColumns(bands)
 
 
 def churn_actions(df: DataFrame, recency="recency", frequency="frequency", tickets="support_tickets",

@@ -57,3 +57,9 @@ def test_no_single_partition_exchange(spark):
     for i, line in enumerate(plan):
         if "Exchange SinglePartition" in line:
             assert "HashAggregate(keys=[__pid" in plan[i + 1]
+
+
+def test_empty_input(spark):
+    df = frame(spark, 5, 3).filter("false")
+    assert with_global_ntile(df, [F.col("k").asc(), F.col("customer_id").asc()], 5, "b").count() == 0
+    assert with_global_running_sum(df, [F.col("v").asc()], "v", "run").count() == 0

@@ -64,3 +64,10 @@ def test_retention_action_thresholds(spark):
 def test_churn_label(spark):
     df = spark.createDataFrame([(90,), (91,)], "recency int")
     assert [r[0] for r in scoring.churn_label(df).select("churn_label").collect()] == [0, 1]
+
+
+def test_risk_bands_struct(spark):
+    df = score_input(spark, [("a", 40, 4, 120, 1, 25, 4)])
+    got = scoring.risk_bands(df, as_struct=True).first()["risk_factor_breakdown"]
+    assert got.asDict() == {"recency_factor": "medium", "frequency_factor": "low",
+                            "support_factor": "medium", "satisfaction_factor": "low"}
