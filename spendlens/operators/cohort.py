@@ -53,8 +53,9 @@ def cohort_retention(customers: DataFrame, orders: DataFrame, max_index: int = 1
 
 def cohort_matrix(customers: DataFrame, orders: DataFrame, snapshot, months: int = 12,
                   statuses=None) -> DataFrame:
-    """The retention grid of the last ``months`` signup cohorts up to the
-    snapshot month: initial_count and two arrays of ``months`` values –
+    """The retention grid of the last ``months`` signup months up to the
+    snapshot month (one row each, empty cohorts with zeros): initial_count
+    and two arrays of ``months`` values –
     retention[k] (% of the cohort with an order in month k) and
     revenue_retention[k] (month-k revenue as % of month-0 revenue, 0 when
     month 0 had none), 1 dp.  Months without data (including those after
@@ -72,7 +73,12 @@ def cohort_matrix(customers: DataFrame, orders: DataFrame, snapshot, months: int
              .filter(F.col("k").between(0, months - 1))
              .groupBy("cohort_start", "k")
              .agg(F.count(F.lit(1)).alias("active"), F.sum("amount").alias("revenue")))
-    sizes = cohorts.groupBy("cohort_start").agg(F.count_distinct("customer_id").alias("initial_count"))
+    counted = cohorts.groupBy("cohort_start").agg(F.count_distinct("customer_id").alias("initial_count"))
+    # every cohort month of the window is a row, signups or not (`months` rows: a bounded broadcast)
+    spine = (customers.sparkSession.range(1)
+             .select(F.explode(F.sequence(first, snap_month, F.expr("INTERVAL 1 MONTH"))).alias("cohort_start")))
+    sizes = (spine.join(F.broadcast(counted), "cohort_start", "left")
+             .select("cohort_start", F.coalesce(F.col("initial_count"), F.lit(0)).alias("initial_count")))
     grid = sizes.select("cohort_start", "initial_count",
                         F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("k"))
     full = (grid.join(cells, ["cohort_start", "k"], "left")
@@ -82,7 +88,8 @@ def cohort_matrix(customers: DataFrame, orders: DataFrame, snapshot, months: int
     base = (full.filter(F.col("k") == 0)
             .select("cohort_start", F.col("revenue").alias("revenue0")))
     full = full.join(base, "cohort_start")
-    ret = js_round(dbl("active") * F.lit(100.0) / dbl("initial_count"), 1)
+    ret = F.coalesce(js_round(dbl("active") * F.lit(100.0) / F.nullif(dbl("initial_count"), F.lit(0.0)), 1),
+                     F.lit(0.0))
     rev = F.when(F.col("revenue0") > 0,
                  js_round(F.col("revenue") * F.lit(100.0) / F.col("revenue0"), 1)).otherwise(F.lit(0.0))
     entry = F.struct("k", ret.alias("r"), rev.alias("v"))

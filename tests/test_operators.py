@@ -138,7 +138,9 @@ def test_cohort_matrix_zero_revenue_base(spark):
     cust = spark.createDataFrame([("c1", D(2026, 4, 10))], "id string, signup_date date")
     o = orders_df(spark, [("o1", "c1", D(2026, 4, 10), "completed", Decimal("0")),
                           ("o2", "c1", D(2026, 5, 2), "completed", Decimal("5"))])
-    r = cohort.cohort_matrix(cust, o, "2026-05-31").first()
+    m = {r["cohort_month"]: r for r in cohort.cohort_matrix(cust, o, "2026-05-31").collect()}
+    assert len(m) == 12 and m["2025-06"]["initial_count"] == 0 and m["2025-06"]["retention"] == [0.0] * 12
+    r = m["2026-04"]
     assert r["retention"][:2] == [100.0, 100.0] and r["retention"][2:] == [0.0] * 10
     assert r["revenue_retention"] == [0.0] * 12
 
