@@ -52,3 +52,20 @@ def test_oracle_parity_sf0001(spark, name):
     mine = sorted(norm(df.columns, tuple(r)) for r in df.collect())
     theirs = sorted(norm(ocols, r) for r in cur.fetchall())
     assert mine == theirs
+
+
+def test_refresh_then_reports_match_direct_queries(spark):
+    from pyspark.sql import functions as F
+    from spendlens.plans import refresh
+    from spendlens.sources.testdata import load_tables
+    t = load_tables(spark, SF0001)
+    folder = refresh.refresh_tables(t)
+    rep = refresh.reports(t, folder)
+    q = E.queries()
+    for name in ("kpi_stats", "segment_summary", "executive_digest", "top_products", "export_customers"):
+        direct = q[name](spark, SF0001)
+        stored = rep[name].select(*direct.columns)
+        assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, stored.collect())), name
+    watch = rep["churn_watchlist"].select("customer_id", F.col("churn_risk_probability").cast("double"))
+    direct = q["churn_watchlist"](spark, SF0001).select("customer_id", "churn_risk_probability")
+    assert sorted(map(tuple, watch.collect())) == sorted(map(tuple, direct.collect()))
