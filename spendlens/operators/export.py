@@ -45,6 +45,27 @@ def export_customers(profile: DataFrame, n: int = CSV_CUSTOMER_ROWS) -> DataFram
             .select(*[c.alias(h) for c, h in zip(cols, CUSTOMER_HEADERS)]))
 
 
+def export_customer_records(profile: DataFrame, order_lists_df: DataFrame | None = None,
+                            n: int = JSON_CUSTOMER_ROWS) -> DataFrame:
+    """The JSON customer export: the first ``n`` customer records in id order
+    with camel-case keys, each with its order list (``order_lists_df``:
+    customer_id -> orders, built for these customers only)."""
+    first = profile.orderBy("customer_id").limit(n)
+    if order_lists_df is not None:
+        first = first.join(order_lists_df, "customer_id", "left")
+    else:
+        first = first.withColumn("orders", F.lit(None))
+    return first.select(
+        F.col("customer_id").alias("id"), "name", "email", "country",
+        F.col("signup_date").alias("signupDate"), "segment", "recency", "frequency",
+        F.col("monetary").cast("double").alias("monetary"), "clv", F.col("churn_risk").alias("churnRisk"),
+        F.col("active_status").alias("activeStatus"), F.col("discount_usage").alias("discountUsage"),
+        F.col("support_tickets").alias("supportTickets"),
+        F.col("satisfaction_rating").alias("satisfactionRating"),
+        F.col("last_purchase_date").alias("lastPurchaseDate"),
+        F.to_json(F.coalesce(F.col("orders"), F.array())).alias("orders"))
+
+
 def write_export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
                  single_file: bool = False) -> None:
     """Write an export frame: ``csv`` with a header line, or ``json`` lines.

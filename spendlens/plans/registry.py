@@ -415,6 +415,14 @@ def q_export_customers(t: Tables) -> DataFrame:
     return export.export_customers(_profile(t))
 
 
+@query("export_customers_json")
+def q_export_customers_json(t: Tables) -> DataFrame:
+    """SNK-4: the first 100 customer records with their order lists."""
+    first = _profile(t).orderBy("customer_id").limit(export.JSON_CUSTOMER_ROWS).select("customer_id")
+    lists = prof.order_lists(t.orders, t.order_items, customers=first)
+    return export.export_customer_records(_profile(t), lists)
+
+
 # --------------------------------------------------------------------- ML
 def _model_input(t: Tables) -> DataFrame:
     f = t.ticket_features.select("customer_id", "support_tickets",
