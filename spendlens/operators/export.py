@@ -48,13 +48,14 @@ def export_customers(profile: DataFrame, n: int = CSV_CUSTOMER_ROWS) -> DataFram
 def export_customer_records(profile: DataFrame, order_lists_df: DataFrame | None = None,
                             n: int = JSON_CUSTOMER_ROWS) -> DataFrame:
     """The JSON customer export: the first ``n`` customer records in id order
-    with camel-case keys, each with its order list (``order_lists_df``:
-    customer_id -> orders, built for these customers only)."""
+    with camel-case keys, each with its order list (``order_lists_df`` from
+    ``profile.order_lists`` for these customers).  A history longer than one
+    part is exported as one record per part (``ordersPart`` 0, 1, ...)."""
     first = profile.orderBy("customer_id").limit(n)
     if order_lists_df is not None:
         first = first.join(order_lists_df, "customer_id", "left")
     else:
-        first = first.withColumn("orders", F.lit(None))
+        first = first.withColumn("orders", F.lit(None)).withColumn("orders_part", F.lit(0))
     return first.select(
         F.col("customer_id").alias("id"), "name", "email", "country",
         F.col("signup_date").alias("signupDate"), "segment", "recency", "frequency",
@@ -63,6 +64,7 @@ def export_customer_records(profile: DataFrame, order_lists_df: DataFrame | None
         F.col("support_tickets").alias("supportTickets"),
         F.col("satisfaction_rating").alias("satisfactionRating"),
         F.col("last_purchase_date").alias("lastPurchaseDate"),
+        F.coalesce(F.col("orders_part"), F.lit(0)).alias("ordersPart"),
         F.to_json(F.coalesce(F.col("orders"), F.array())).alias("orders"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions import as_date, dbl, safe_ratio
+from spendlens.operators.ranking import with_global_row_number
 from spendlens.operators.rfm import COMPLETED, completed_orders, rfm_scores
 from spendlens.operators.scoring import (
     churn_heuristic_expr, clv_multiplier_expr, retention_action_expr, segment_expr,
@@ -33,12 +34,18 @@ def order_activity(orders: DataFrame, items: DataFrame, statuses=COMPLETED) -> D
 
 
 def order_lists(orders: DataFrame, items: DataFrame | None = None, statuses=COMPLETED,
-                customers: DataFrame | None = None) -> DataFrame:
-    """customer_id -> array<struct<date, id, amount, items_count>> in date order.
-
-    One array per customer holds that customer's whole history, so this is
-    the record view for a selection of customers (``customers``: a frame
-    with customer_id, e.g. one result page) – not for a scan of everyone."""
+                customers: DataFrame | None = None, max_per_row: int = 10_000,
+                num_partitions: int | None = None) -> DataFrame:
+    """customer_id, orders_part -> orders: array<struct<date, id, amount,
+    items_count>> in date order.
+
+    A customer's history is cut into date-contiguous parts of at most
+    ``max_per_row`` orders (part 0, 1, ...), so no array – and no task –
+    ever holds an unbounded history; every order is kept.  Positions come
+    from a distributed global row number over (customer, date, id), which
+    spreads a customer with a huge history over many tasks.  ``customers``
+    (a frame with customer_id, e.g. one result page) limits the selection.
+    """
     o = completed_orders(orders, statuses)
     if customers is not None:
         o = o.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
@@ -48,9 +55,16 @@ def order_lists(orders: DataFrame, items: DataFrame | None = None, statuses=COMP
         n_items = F.coalesce(F.col("items_count"), F.lit(0))
     else:
         n_items = F.lit(None).cast("int")
-    entry = F.struct(F.col("order_date").alias("date"), F.col("id").alias("id"),
-                     dbl("total_amount").alias("amount"), n_items.alias("items_count"))
-    return o.groupBy("customer_id").agg(F.array_sort(F.collect_list(entry)).alias("orders"))
+    o = o.select("customer_id", "order_date", "id", dbl("total_amount").alias("amount"),
+                 n_items.alias("items_count"))
+    ranked = with_global_row_number(o, [F.col("customer_id").asc(), F.col("order_date").asc(),
+                                        F.col("id").asc()], "__rn", None, num_partitions)
+    first = ranked.groupBy("customer_id").agg(F.min("__rn").alias("__first"))
+    part = F.floor((F.col("__rn") - F.col("__first")) / F.lit(max_per_row)).cast("int")
+    entry = F.struct(F.col("order_date").alias("date"), "id", "amount", "items_count")
+    return (ranked.join(first, "customer_id")
+            .groupBy("customer_id", part.alias("orders_part"))
+            .agg(F.array_sort(F.collect_list(entry)).alias("orders")))
 
 
 def customer_profile(customers: DataFrame, orders: DataFrame, features, snapshot,
@@ -96,7 +110,7 @@ def customer_profile(customers: DataFrame, orders: DataFrame, features, snapshot
         (F.col("recency") <= 90).alias("active_status"),
         safe_ratio("monetary", "frequency").alias("avg_order_value"),
     )
-    if with_orders:
+    if with_orders:  # one row per (customer, orders_part)
         p = p.join(order_lists(orders, items, statuses, customers=p), "customer_id", "left")
     return p
 

@@ -195,5 +195,17 @@ def test_order_lists_for_a_page(spark):
     items = spark.createDataFrame([("o1",), ("o1",), ("o2",)], "order_id string")
     page = spark.createDataFrame([("c1",)], "customer_id string")
     got = order_lists(o, items, customers=page).collect()
-    assert len(got) == 1
+    assert len(got) == 1 and got[0]["orders_part"] == 0
     assert [(e["id"], e["items_count"]) for e in got[0]["orders"]] == [("o1", 2), ("o2", 1)]
+
+
+def test_order_lists_split_a_huge_history(spark):
+    from decimal import Decimal
+    from spendlens.operators.profile import order_lists
+    rows = [(f"o{i:04d}", "hot", D(2020, 1, 1) + dt.timedelta(days=i), "completed", Decimal("1.00"))
+            for i in range(1000)] + [("x", "cold", D(2020, 1, 1), "completed", Decimal("1.00"))]
+    parts = order_lists(orders_df(spark, rows), max_per_row=300, num_partitions=4).collect()
+    hot = sorted((r for r in parts if r["customer_id"] == "hot"), key=lambda r: r["orders_part"])
+    assert [len(r["orders"]) for r in hot] == [300, 300, 300, 100]
+    ids = [e["id"] for r in hot for e in r["orders"]]
+    assert ids == sorted(ids) and len(set(ids)) == 1000
