@@ -47,7 +47,7 @@ def q_rfm_scores(t: Tables) -> DataFrame:
 
 
 # --------------------------------------------------------------- shared parts
-from spendlens.functions import dbl  # noqa: E402
+from spendlens.functions import dbl, js_round  # noqa: E402
 from spendlens.operators import catalog, clean, cohort, export, ml, pareto, quality, revenue, search  # noqa: E402
 from spendlens.operators import profile as prof  # noqa: E402
 from spendlens.operators import scoring, summary  # noqa: E402
@@ -102,7 +102,7 @@ def q_rfm_segments(t: Tables) -> DataFrame:
 def q_monetary_fence(t: Tables) -> DataFrame:
     """AGG-10: spend quartiles (exact, distributed) and the IQR upper fence."""
     f = rfm_ops.monetary_fence(_rfm(t))
-    return f.select(*[F.round(c, 4).alias(c) for c in ("q1", "q3", "iqr", "upper_fence")])
+    return f.select(*[js_round(c, 4).alias(c) for c in ("q1", "q3", "iqr", "upper_fence")])
 
 
 @query("spend_outliers")
