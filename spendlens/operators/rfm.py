@@ -44,13 +44,15 @@ def rfm_base(orders: DataFrame, snapshot, statuses=COMPLETED, floor_timestamp: b
 def rfm_scores(rfm: DataFrame, buckets: int = 5, num_partitions: int | None = None) -> DataFrame:
     """Quintile scores (``buckets`` + 1 - NTILE, so ``buckets`` is best) for
     recency (ascending), frequency and monetary (descending), and the
-    three-digit ``rfm_code``.  Ties are broken by ascending customer id.
+    three-digit ``rfm_code``.  Ties are broken by ascending customer id; a
+    missing value ranks last.
     Each NTILE is a distributed global ranking (no single-partition window)."""
     top = buckets + 1
     cid = F.col("customer_id").asc()
-    out = with_global_ntile(rfm, [F.col("recency").asc(), cid], buckets, "__r", num_partitions)
-    out = with_global_ntile(out, [F.col("frequency").desc(), cid], buckets, "__f", num_partitions)
-    out = with_global_ntile(out, [F.col("monetary").desc(), cid], buckets, "__m", num_partitions)
+    # an unknown value ranks last (worst) in every ordering
+    out = with_global_ntile(rfm, [F.col("recency").asc_nulls_last(), cid], buckets, "__r", num_partitions)
+    out = with_global_ntile(out, [F.col("frequency").desc_nulls_last(), cid], buckets, "__f", num_partitions)
+    out = with_global_ntile(out, [F.col("monetary").desc_nulls_last(), cid], buckets, "__m", num_partitions)
     out = (out.withColumn("recency_score", (F.lit(top) - F.col("__r")).cast("int"))
               .withColumn("frequency_score", (F.lit(top) - F.col("__f")).cast("int"))
               .withColumn("monetary_score", (F.lit(top) - F.col("__m")).cast("int")))

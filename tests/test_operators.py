@@ -209,3 +209,12 @@ def test_order_lists_split_a_huge_history(spark):
     assert [len(r["orders"]) for r in hot] == [300, 300, 300, 100]
     ids = [e["id"] for r in hot for e in r["orders"]]
     assert ids == sorted(ids) and len(set(ids)) == 1000
+
+
+def test_rfm_scores_unknown_recency_ranks_last(spark):
+    from decimal import Decimal
+    from spendlens.operators.rfm import rfm_scores
+    rows = [(f"c{i}", i * 10, 3, Decimal(100 + i)) for i in range(1, 10)] + [("c0", None, 0, Decimal(0))]
+    df = spark.createDataFrame(rows, "customer_id string, recency int, frequency long, monetary decimal(25,2)")
+    got = {r["customer_id"]: r["recency_score"] for r in rfm_scores(df, num_partitions=3).collect()}
+    assert got["c0"] == 1 and got["c1"] == 5
