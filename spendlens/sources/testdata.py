@@ -31,6 +31,7 @@ per data folder so later date filters are literals that reach the scan.
 from __future__ import annotations
 
 import datetime as dt
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,28 +41,53 @@ from pyspark.sql.window import Window
 from spendlens.functions import js_round
 
 _SNAPSHOTS: dict[tuple[str, str], dt.date] = {}
+_SCHEMAS: dict[tuple[str, float], object] = {}
 
 
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet read with the file schema remembered per path: later reads pass
+    it explicitly and skip the footer-reading inference job."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        key = (path, os.path.getmtime(path))
+    except OSError:  # not a local path: let Spark infer
+        return spark.read.parquet(path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
+# Lazy adapter frames shared by every Tables of one session and folder: they
+# are plan definitions only (nothing computed), so reusing them just saves
+# rebuilding the same plans over the driver bridge.
+_SHARED: dict[tuple, dict] = {}
 
 
 @dataclass
 class Tables:
-    """Canonical frames derived from one test-data folder (all lazy)."""
+    """Canonical frames derived from one test-data folder (all lazy).
+
+    ``_memo`` holds per-instance results (a query's profile, its rankings);
+    the adapter frames below come from a per-session shared cache."""
 
     spark: SparkSession
     sf_dir: str
     _cache: dict = field(default_factory=dict, repr=False)
 
     def raw(self, name: str) -> DataFrame:
-        return read_raw(self.spark, self.sf_dir, name)
+        return self._shared(("raw", name), lambda: read_raw(self.spark, self.sf_dir, name))
 
     def _memo(self, key, build):
         if key not in self._cache:
             self._cache[key] = build()
         return self._cache[key]
 
+    def _shared(self, key, build):
+        scope = _SHARED.setdefault((self.spark.sparkContext.applicationId, id(self.spark), self.sf_dir), {})
+        if key not in scope:
+            scope[key] = build()
+        return scope[key]
+
     # ------------------------------------------------------------------ facts
     @property
     def snapshot(self) -> dt.date:
@@ -88,7 +114,7 @@ class Tables:
                 F.lit(0).cast("decimal(10,2)").alias("discount_amount"),
                 F.lit("unspecified").alias("payment_method"),
             )
-        return self._memo("orders", build)
+        return self._shared("orders", build)
 
     @property
     def customers(self) -> DataFrame:
@@ -118,7 +144,7 @@ class Tables:
                          F.when(F.col("last_order_date") >= F.date_sub(snap, 365), "active")
                           .otherwise("inactive").alias("status"),
                      ))
-        return self._memo("customers", build)
+        return self._shared("customers", build)
 
     @property
     def categories(self) -> DataFrame:
@@ -128,7 +154,7 @@ class Tables:
             w = Window.orderBy("name")
             return names.select(F.row_number().over(w).cast("int").alias("id"), "name",
                                 F.lit(None).cast("string").alias("description"))
-        return self._memo("categories", build)
+        return self._shared("categories", build)
 
     @property
     def products(self) -> DataFrame:
@@ -147,7 +173,7 @@ class Tables:
                          F.lit(0).alias("stock_quantity"),
                          F.lit(5.0).cast("decimal(3,2)").alias("rating"),
                      ))
-        return self._memo("products", build)
+        return self._shared("products", build)
 
     @property
     def order_items(self) -> DataFrame:
@@ -163,7 +189,7 @@ class Tables:
                 F.col("l_extendedprice").cast("decimal(15,2)").alias("line_amount"),
                 (F.col("l_returnflag") == "R").alias("is_returned"),
             )
-        return self._memo("order_items", build)
+        return self._shared("order_items", build)
 
     @property
     def ticket_features(self) -> DataFrame:
@@ -176,7 +202,7 @@ class Tables:
             sat = F.greatest(F.lit(1), F.least(F.lit(5), F.floor(
                 F.lit(5.0) - F.lit(0.6) * F.col("support_tickets") + F.lit(0.5)).cast("int")))
             return t.withColumn("satisfaction_rating", sat)
-        return self._memo("ticket_features", build)
+        return self._shared("ticket_features", build)
 
     @property
     def discount_features(self) -> DataFrame:
@@ -193,7 +219,7 @@ class Tables:
                     .agg(F.sum("disc_sum").alias("disc_sum"), F.sum("n_lines").alias("n_lines")))
             usage = js_round(F.col("disc_sum").cast("double") * F.lit(100.0) / F.col("n_lines").cast("double"), 0)
             return disc.select("customer_id", usage.alias("discount_usage"))
-        return self._memo("discount_features", build)
+        return self._shared("discount_features", build)
 
     @property
     def feature_frames(self) -> list[DataFrame]:
@@ -214,7 +240,7 @@ class Tables:
                 F.coalesce(F.col("support_tickets"), F.lit(0)).alias("support_tickets"),
                 F.coalesce(F.col("discount_usage"), F.lit(0.0)).alias("discount_usage"),
                 F.coalesce(F.col("satisfaction_rating"), F.lit(5)).alias("satisfaction_rating"))
-        return self._memo("features", build)
+        return self._shared("features", build)
 
 
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
