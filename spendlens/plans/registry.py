@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.functions import dbl, js_round
+from spendlens.operators import catalog, clean, cohort, export, ml, pareto, quality, revenue, scoring, search, summary
+from spendlens.operators import profile as prof
 from spendlens.operators import rfm as rfm_ops
 from spendlens.sources.testdata import Tables, load_tables
 
@@ -47,11 +50,6 @@ def q_rfm_scores(t: Tables) -> DataFrame:
 
 
 # --------------------------------------------------------------- shared parts
-from spendlens.functions import dbl, js_round  # noqa: E402
-from spendlens.operators import catalog, clean, cohort, export, ml, pareto, quality, revenue, search  # noqa: E402
-from spendlens.operators import profile as prof  # noqa: E402
-from spendlens.operators import scoring, summary  # noqa: E402
-
 def _money():
     return F.col("monetary").cast("double").alias("monetary")
 
