@@ -34,7 +34,7 @@ def _report(rule: str, table: str, df: DataFrame, tests: dict[str, Column]) -> D
 
 
 def _union(frames) -> DataFrame:
-    frames = [f for f in frames if f is not None]
+    frames = [f.select(*REPORT_COLS) for f in frames if f is not None]
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
