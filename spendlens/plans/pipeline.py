@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from spendlens.functions import dbl
 from spendlens.operators import clean, ml, rfm, scoring
+from spendlens.session import ensure_checkpoint_dir
 from spendlens.sources.readers import orders_from_flat
 
 
 def run_training_job(flat_orders: DataFrame, behaviour: DataFrame, snapshot, k: int = 4,
                      seed: int = 42, churn_days: int = 90) -> dict[str, DataFrame]:
+    ensure_checkpoint_dir(flat_orders.sparkSession)
     cleaned = clean.clean_orders(flat_orders)
     base = rfm.rfm_base(orders_from_flat(cleaned), snapshot, statuses=None)
     base = base.withColumn("monetary", dbl("monetary")).checkpoint(eager=True)  # read by every step below
