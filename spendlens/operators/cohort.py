@@ -85,18 +85,16 @@ def cohort_matrix(customers: DataFrame, orders: DataFrame, snapshot, months: int
             .select("cohort_start", "initial_count", "k",
                     F.coalesce(F.col("active"), F.lit(0)).alias("active"),
                     F.coalesce(dbl("revenue"), F.lit(0.0)).alias("revenue")))
-    base = (full.filter(F.col("k") == 0)
-            .select("cohort_start", F.col("revenue").alias("revenue0")))
-    full = full.join(base, "cohort_start")
-    ret = F.coalesce(js_round(dbl("active") * F.lit(100.0) / F.nullif(dbl("initial_count"), F.lit(0.0)), 1),
-                     F.lit(0.0))
-    rev = F.when(F.col("revenue0") > 0,
-                 js_round(F.col("revenue") * F.lit(100.0) / F.col("revenue0"), 1)).otherwise(F.lit(0.0))
-    entry = F.struct("k", ret.alias("r"), rev.alias("v"))
-    return (full.groupBy("cohort_start", "initial_count")
-            .agg(F.array_sort(F.collect_list(entry)).alias("cells"))
-            .select(F.date_format("cohort_start", "yyyy-MM").alias("cohort_month"),
-                    F.col("initial_count").cast("long").alias("initial_count"),
-                    F.transform("cells", lambda c: c["r"]).alias("retention"),
-                    F.transform("cells", lambda c: c["v"]).alias("revenue_retention"))
+    # one row per cohort: its `months` cells and its month-0 revenue
+    rows = (full.groupBy("cohort_start", "initial_count")
+            .agg(F.array_sort(F.collect_list(F.struct("k", "active", "revenue"))).alias("cells"),
+                 F.max(F.when(F.col("k") == 0, F.col("revenue"))).alias("revenue0")))
+    size = F.nullif(dbl("initial_count"), F.lit(0.0))
+    ret = lambda c: F.coalesce(js_round(dbl(c["active"]) * F.lit(100.0) / size, 1), F.lit(0.0))
+    rev = lambda c: F.when(F.col("revenue0") > 0,
+                           js_round(c["revenue"] * F.lit(100.0) / F.col("revenue0"), 1)).otherwise(F.lit(0.0))
+    return (rows.select(F.date_format("cohort_start", "yyyy-MM").alias("cohort_month"),
+                        F.col("initial_count").cast("long").alias("initial_count"),
+                        F.transform("cells", ret).alias("retention"),
+                        F.transform("cells", rev).alias("revenue_retention"))
             .orderBy("cohort_month"))

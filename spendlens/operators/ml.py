@@ -123,43 +123,52 @@ def train_churn(df: DataFrame, label: str = "churn_label", key: str = "customer_
 
 
 # -------------------------------------------------------------- evaluation
-def classification_report(pred: DataFrame, label: str = "churn_label",
-                          prediction: str = "prediction", digits: int = 6) -> DataFrame:
+def classification_report(pred: DataFrame, label: str = "churn_label", prediction: str = "prediction",
+                          classes=(0, 1), digits: int = 6) -> DataFrame:
     """Per class precision, recall, F1 and support; then accuracy, macro and
-    support-weighted averages (0 where a ratio has no denominator)."""
-    conf = pred.groupBy(F.col(label).alias("t"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    truth = conf.groupBy(F.col("t").alias("cls")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("tp"))
-    said = conf.groupBy(F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
-    per = truth.join(said, "cls", "full_outer").select(
-        F.col("cls").cast("string").alias("cls"),
-        F.coalesce(F.col("support"), F.lit(0)).alias("support"),
-        F.coalesce(F.col("tp"), F.lit(0)).alias("tp"),
-        F.coalesce(F.col("predicted"), F.lit(0)).alias("predicted"))
+    support-weighted averages (0 where a ratio has no denominator).  Classes
+    that occur neither as label nor as prediction are left out.
+
+    One pass: all confusion counts are conditional counts of a single
+    aggregate row, and every metric is an expression over that row."""
+    t, p = F.col(label), F.col(prediction)
+    k = len(classes)
+    agg = pred.agg(*[F.count_if((t == a) & (p == b)).alias(f"n_{i}_{j}")
+                     for i, a in enumerate(classes) for j, b in enumerate(classes)])
     ratio = lambda a, b: F.coalesce(dbl(a) / F.nullif(dbl(b), F.lit(0.0)), F.lit(0.0))
-    per = (per.withColumn("precision", ratio("tp", "predicted"))
-              .withColumn("recall", ratio("tp", "support")))
-    per = per.withColumn("f1_score", ratio(F.lit(2.0) * F.col("precision") * F.col("recall"),
-                                           F.col("precision") + F.col("recall")))
-    tot = per.agg(F.sum("support").alias("s"), F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("k"),
-                  F.sum("precision").alias("p"), F.sum("recall").alias("r"), F.sum("f1_score").alias("f"),
-                  F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                  F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                  F.sum(F.col("f1_score") * F.col("support")).alias("wf"))
-    acc = tot.select(F.lit("accuracy").alias("cls"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), ratio("tp", "s").alias("f1_score"),
-                     F.col("s").alias("support"))
-    macro = tot.select(F.lit("macro avg").alias("cls"), ratio("p", "k").alias("precision"),
-                       ratio("r", "k").alias("recall"), ratio("f", "k").alias("f1_score"),
-                       F.col("s").alias("support"))
-    weighted = tot.select(F.lit("weighted avg").alias("cls"), ratio("wp", "s").alias("precision"),
-                          ratio("wr", "s").alias("recall"), ratio("wf", "s").alias("f1_score"),
-                          F.col("s").alias("support"))
-    out = per.select("cls", "precision", "recall", "f1_score", "support").unionByName(acc) \
-             .unionByName(macro).unionByName(weighted)
-    return out.select(F.col("cls").alias("class"),
-                      *[js_round(c, digits).alias(c) for c in ("precision", "recall", "f1_score")],
-                      F.col("support").cast("long").alias("support"))
+    n = lambda i, j: F.col(f"n_{i}_{j}")
+    per = []
+    for i, c in enumerate(classes):
+        tp = n(i, i)
+        support = sum((n(i, j) for j in range(k)), F.lit(0))
+        predicted = sum((n(j, i) for j in range(k)), F.lit(0))
+        prec, rec = ratio(tp, predicted), ratio(tp, support)
+        per.append({"cls": F.lit(str(c)), "precision": prec, "recall": rec,
+                    "f1_score": ratio(F.lit(2.0) * prec * rec, prec + rec), "support": support,
+                    "present": (support + predicted) > 0, "tp": tp})
+    total = sum((x["support"] for x in per), F.lit(0))
+    present = sum((x["present"].cast("int") for x in per), F.lit(0))
+
+    def mean(metric, weighted):
+        terms = [F.when(x["present"], x[metric] * (dbl(x["support"]) if weighted else F.lit(1.0)))
+                 .otherwise(F.lit(0.0)) for x in per]
+        return ratio(sum(terms[1:], terms[0]), total if weighted else present)
+
+    def row(cls, pr, rc, f1, sup, keep=F.lit(True)):
+        return F.struct(cls.alias("class"), pr.cast("double").alias("precision"),
+                        rc.cast("double").alias("recall"), f1.cast("double").alias("f1_score"),
+                        sup.cast("long").alias("support"), keep.alias("keep"))
+
+    rows = [row(x["cls"], x["precision"], x["recall"], x["f1_score"], x["support"], x["present"]) for x in per]
+    rows.append(row(F.lit("accuracy"), F.lit(None), F.lit(None),
+                    ratio(sum((x["tp"] for x in per), F.lit(0)), total), total))
+    rows.append(row(F.lit("macro avg"), mean("precision", False), mean("recall", False),
+                    mean("f1_score", False), total))
+    rows.append(row(F.lit("weighted avg"), mean("precision", True), mean("recall", True),
+                    mean("f1_score", True), total))
+    out = agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter("keep")
+    return out.select("class", *[js_round(c, digits).alias(c) for c in ("precision", "recall", "f1_score")],
+                      "support")
 
 
 def roc_auc(pred: DataFrame, label: str = "churn_label", score: str = "probability",
