@@ -14,14 +14,15 @@ These helpers give the same numbers with the work spread over many tasks:
    ``spark.checkpoint.dir`` – the range bounds come from sampling, so both
    uses below must read one materialisation, and a lost executor re-reads
    the checkpoint instead of re-sampling;
-5. row counts per partition (one row per partition, a proven size bound) are
-   turned into offsets and broadcast back.
+5. row counts per partition (one row per partition, a size set by the
+   partition count) are collected, turned into offsets and broadcast back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spendlens.session import ensure_checkpoint_dir
@@ -56,21 +57,40 @@ def range_tagged(df: DataFrame, order: list, num_partitions: int | None = None)
 
 
 def _offsets(tagged: DataFrame, value: str | None = None) -> DataFrame:
-    """Per partition: rows (and value sums) of all earlier partitions, plus
-    the grand totals.  One row per partition."""
+    """Per range partition: rows (and value sums) of all earlier partitions,
+    plus the grand totals, as a small local frame for a broadcast join.
+
+    The per-partition counts are collected to the driver: one row per range
+    partition, a size fixed by the partition count (not by the data), so the
+    prefix sums cost no extra window / broadcast stages."""
     aggs = [F.count(F.lit(1)).alias("__n")]
     if value is not None:
         aggs.append(F.sum(value).alias("__s"))
-    per = tagged.groupBy(_PID).agg(*aggs)
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(0))
-    out = per.select(
-        _PID,
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n_before"),
-        F.sum("__n").over(whole).alias("__n_total"),
-        *([F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s_before")] if value else []),
-    )
-    return F.broadcast(out)
+    per_part = tagged.groupBy(_PID).agg(*aggs)
+    sum_type = per_part.schema["__s"].dataType if value is not None else None
+    rows = sorted(per_part.collect(), key=lambda r: r[_PID])
+    total = sum(r["__n"] for r in rows)
+    out, n_before, s_before = [], 0, 0
+    for r in rows:
+        out.append((r[_PID], n_before, total) + ((s_before,) if value is not None else ()))
+        n_before += r["__n"]
+        if value is not None and r["__s"] is not None:
+            s_before = s_before + r["__s"]
+    fields = [T.StructField(_PID, T.IntegerType()), T.StructField("__n_before", T.LongType()),
+              T.StructField("__n_total", T.LongType())]
+    if value is not None:
+        fields.append(T.StructField("__s_before", sum_type))
+        out = [o[:3] + (_as_type(o[3], sum_type),) for o in out]
+    return F.broadcast(tagged.sparkSession.createDataFrame(out, T.StructType(fields)))
+
+
+def _as_type(v, typ):
+    if isinstance(typ, T.DecimalType):
+        import decimal
+        return decimal.Decimal(v)
+    if isinstance(typ, (T.DoubleType, T.FloatType)):
+        return float(v)
+    return int(v)
 
 
 def with_global_row_number(df: DataFrame, order: list, out: str = "row_number",
