@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions import dbl, js_round
+from spendlens.operators.ranking import with_global_row_number
 
 ALL = "All"
 
@@ -38,11 +39,23 @@ def _page_args(page, limit):
     return max(page, 1), max(limit, 1)
 
 
-def customer_page(found: DataFrame, page=1, limit=10, order: str = "customer_id") -> DataFrame:
+# A page ending within this many rows is cut with a top-k (each task keeps at
+# most this many rows); deeper pages use the distributed row number.
+TOP_K_PAGE_ROWS = 10_000
+
+
+def customer_page(found: DataFrame, page=1, limit=10, order: str = "customer_id",
+                  num_partitions: int | None = None) -> DataFrame:
     """Rows ``(page-1)*limit`` .. ``page*limit - 1`` of the filtered set in
-    ``order``.  0, empty or unparsable page/limit fall back to 1 / 10."""
+    ``order`` (a unique key).  0, empty or unparsable page/limit fall back to
+    1 / 10."""
     page, limit = _page_args(page, limit)
-    return found.orderBy(order).offset((page - 1) * limit).limit(limit)
+    start = (page - 1) * limit
+    if start + limit <= TOP_K_PAGE_ROWS:
+        return found.orderBy(order).offset(start).limit(limit)
+    ranked = with_global_row_number(found, [F.col(order).asc()], "__rn", None, num_partitions)
+    return (ranked.filter(F.col("__rn").between(start + 1, start + limit))
+            .orderBy("__rn").drop("__rn"))
 
 
 def page_info(found: DataFrame, page=1, limit=10) -> DataFrame:

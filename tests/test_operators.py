@@ -85,6 +85,14 @@ def test_paging_and_stats(spark):
     assert tuple(empty) == (0.0, 0.0, 0.0)
 
 
+def test_deep_page_uses_distributed_rank(spark, monkeypatch):
+    df = spark.range(50).select(F.format_string("%03d", "id").alias("customer_id"))
+    monkeypatch.setattr(search, "TOP_K_PAGE_ROWS", 20)
+    deep = [r[0] for r in search.customer_page(df, 4, 7, num_partitions=3).collect()]
+    assert deep == [f"{i:03d}" for i in range(21, 28)]
+    assert [r[0] for r in search.customer_page(df, 2, 7).collect()] == [f"{i:03d}" for i in range(7, 14)]
+
+
 def test_search_is_literal(spark):
     df = spark.createDataFrame([("1", "a%b", "x@y", "S", "C"), ("2", "ab", "z@y", "S", "C")],
                                "customer_id string, name string, email string, segment string, country string")
