@@ -69,3 +69,18 @@ def test_refresh_then_reports_match_direct_queries(spark):
     watch = rep["churn_watchlist"].select("customer_id", F.col("churn_risk_probability").cast("double"))
     direct = q["churn_watchlist"](spark, SF0001).select("customer_id", "churn_risk_probability")
     assert sorted(map(tuple, watch.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_watchlist_candidates_sf001(spark):
+    """FIXTURES §5: active customers away > 45 days and their churn bands."""
+    from pyspark.sql import functions as F
+    from spendlens.operators import profile as prof
+    from spendlens.sources.testdata import load_tables
+    t = load_tables(spark, SF001)
+    facts = prof.segment_facts(prof.customer_profile(t.customers, t.orders, t.feature_frames, t.snapshot))
+    active = t.customers.filter("status = 'active'").select(F.col("id").alias("customer_id"))
+    cand = facts.join(active, "customer_id").filter("recency_days > 45")
+    p = F.col("churn_risk_probability")
+    r = cand.agg(F.count(F.lit(1)), F.count_if(p >= 85), F.count_if((p >= 60) & (p < 85)),
+                 F.count_if(p < 60), F.count_if(p == 100)).first()
+    assert tuple(r) == (1083, 701, 93, 289, 653)
