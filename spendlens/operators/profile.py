@@ -5,8 +5,9 @@ The profile is the per-customer record of the dashboard: R/F/M (with the
 signup date standing in for the last purchase of customers without a
 completed order), segment, CLV, heuristic churn risk, active flag, the
 behavioural inputs (tickets, discount usage, satisfaction) and optionally the
-nested order list.  At scale it is built once and written (``write_table``),
-then read by every report instead of being recomputed.
+nested order list.  At scale it is built once and written
+(``plans.refresh.refresh_tables``), then read by every report instead of
+being recomputed.
 """
 
 from __future__ import annotations
