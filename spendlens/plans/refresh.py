@@ -15,7 +15,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spendlens.functions import as_date
 from spendlens.operators import catalog, cohort, export, profile, revenue, summary
 from spendlens.session import ensure_checkpoint_dir
 from spendlens.sources.readers import write_table
@@ -26,10 +28,32 @@ def default_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/spendlens-tables/{uuid.uuid4().hex}"
 
 
+def write_orders_by_month(orders: DataFrame, path: str) -> None:
+    """Orders laid out by calendar month (``order_month`` = first day of the
+    month): a date-window report then reads only the months it needs
+    (partition pruning at the file listing, before any Parquet footer)."""
+    (orders.withColumn("order_month", F.trunc("order_date", "month"))
+     .repartition("order_month")  # one writer per month: few, large files
+     .write.mode("overwrite").partitionBy("order_month").parquet(path))
+
+
+def read_orders_by_month(spark: SparkSession, path: str) -> DataFrame:
+    """The laid-out orders; a filter on order_date also prunes months."""
+    return spark.read.parquet(path)
+
+
+def month_pruned(orders: DataFrame, snapshot, months: int) -> DataFrame:
+    """Restrict laid-out orders to the partitions of the last ``months``
+    months (a literal partition filter), leaving row filters to the operator."""
+    snap_month = F.trunc(as_date(snapshot), "month")
+    return orders.filter(F.col("order_month") >= F.add_months(snap_month, -(months - 1)))
+
+
 def refresh_tables(t: Tables, folder: str | None = None) -> str:
-    """Write customer_profile, customer_segments and product_metrics under
-    ``folder``; returns the folder."""
+    """Write customer_profile, customer_segments, product_metrics and the
+    month-partitioned orders under ``folder``; returns the folder."""
     folder = folder or default_folder(t.spark)
+    write_orders_by_month(t.orders, f"{folder}/orders_by_month")
     prof = profile.customer_profile(t.customers, t.orders, t.feature_frames, t.snapshot)
     write_table(prof, f"{folder}/customer_profile")
     stored = t.spark.read.parquet(f"{folder}/customer_profile")
@@ -46,7 +70,8 @@ def reports(t: Tables, folder: str) -> dict[str, DataFrame]:
     products = spark.read.parquet(f"{folder}/product_metrics")
     seg_summary = summary.segment_summary(prof)
     kpis = summary.kpi_stats(prof)
-    monthly = revenue.monthly_revenue(t.orders, t.snapshot)
+    by_month = read_orders_by_month(spark, f"{folder}/orders_by_month")
+    monthly = revenue.monthly_revenue(month_pruned(by_month, t.snapshot, 12), t.snapshot)
     return {
         "kpi_stats": kpis,
         "segment_summary": seg_summary,
@@ -54,7 +79,7 @@ def reports(t: Tables, folder: str) -> dict[str, DataFrame]:
         "executive_digest": summary.executive_digest(prof),
         "churn_watchlist": profile.churn_watchlist(t.customers, segs),
         "top_products": catalog.top_products(products),
-        "cohort_matrix": cohort.cohort_matrix(t.customers, t.orders, t.snapshot),
+        "cohort_matrix": cohort.cohort_matrix(t.customers, month_pruned(by_month, t.snapshot, 12), t.snapshot),
         "revenue_forecast": revenue.revenue_forecast(monthly, kpis.select("average_order_value").scalar()),
         "export_segments": export.export_segments(seg_summary),
         "export_products": export.export_products(products),
