@@ -73,6 +73,12 @@ class Tables:
     spark: SparkSession
     sf_dir: str
     _cache: dict = field(default_factory=dict, repr=False)
+    _scope: tuple = field(default=(), repr=False)
+
+    def __post_init__(self):
+        # one JVM session (not a Python object id, which can be reused) and one folder
+        self._scope = (self.spark.sparkContext.applicationId, self.spark._jsparkSession.hashCode(),
+                       self.sf_dir.rstrip("/"))
 
     def raw(self, name: str) -> DataFrame:
         return self._shared(("raw", name), lambda: read_raw(self.spark, self.sf_dir, name))
@@ -83,7 +89,7 @@ class Tables:
         return self._cache[key]
 
     def _shared(self, key, build):
-        scope = _SHARED.setdefault((self.spark.sparkContext.applicationId, id(self.spark), self.sf_dir), {})
+        scope = _SHARED.setdefault(self._scope, {})
         if key not in scope:
             scope[key] = build()
         return scope[key]
