@@ -127,7 +127,8 @@ def classification_report(pred: DataFrame, label: str = "churn_label", predictio
                           classes=(0, 1), digits: int = 6) -> DataFrame:
     """Per class precision, recall, F1 and support; then accuracy, macro and
     support-weighted averages (0 where a ratio has no denominator).  Classes
-    that occur neither as label nor as prediction are left out.
+    that occur neither as label nor as prediction are left out, and so are
+    rows whose label or prediction is unknown (NULL).
 
     One pass: all confusion counts are conditional counts of a single
     aggregate row, and every metric is an expression over that row."""

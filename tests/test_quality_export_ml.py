@@ -131,3 +131,9 @@ def test_training_job_end_to_end(spark):
     assert n == res["customers"].count() and sum(r["customers"] for r in res["cluster_profile"].collect()) == n
     assert res["predictions"].count() > 0 and res["coefficients"].count() == 5
     assert 0.0 <= res["roc_auc"].first()["roc_auc"] <= 1.0
+
+
+def test_classification_report_skips_unknown_rows(spark):
+    df = spark.createDataFrame([(1, 1), (0, 0), (None, 1), (1, None)], "churn_label int, prediction int")
+    rep = {r["class"]: r for r in ml.classification_report(df).collect()}
+    assert rep["accuracy"]["support"] == 2 and rep["accuracy"]["f1_score"] == 1.0
