@@ -60,3 +60,15 @@ def test_empty_input(spark):
     df = frame(spark, 5, 3).filter("false")
     assert with_global_ntile(df, [F.col("k").asc(), F.col("customer_id").asc()], 5, "b").count() == 0
     assert with_global_running_sum(df, [F.col("v").asc()], "v", "run").count() == 0
+
+
+def test_hot_key_partitions_stay_balanced(spark):
+    # a third of all rows carry the same key value; the customer-id tie-break
+    # lets the range partitioner split that value across partitions
+    from spendlens.operators.ranking import _PID, range_tagged
+    rows = [(f"c{i:06d}", 7 if i % 3 == 0 else i % 500, 1.0) for i in range(30000)]
+    df = spark.createDataFrame(rows, "customer_id string, k int, v double")
+    tagged = range_tagged(df, [F.col("k").asc(), F.col("customer_id").asc()], num_partitions=10)
+    sizes = [r["count"] for r in tagged.groupBy(_PID).count().collect()]
+    assert sum(sizes) == 30000 and len(sizes) >= 8
+    assert max(sizes) <= 2 * (30000 / len(sizes))
