@@ -20,26 +20,29 @@ CSV_CUSTOMER_ROWS = 150
 JSON_CUSTOMER_ROWS = 100
 
 
+# CSV cells hold numbers as text printed the way the dashboard prints them
+# ("12", "0.5", "1234.5"): no trailing zeros, no exponent.
 def export_segments(summary: DataFrame) -> DataFrame:
     """Segment table as exported: percentage printed with a '%' suffix."""
-    cols = [F.col("id"), F.col("name"), F.col("size"),
+    cols = [F.col("id"), F.col("name"), js_number_text("size"),
             F.concat(js_number_text("percentage"), F.lit("%")),
-            F.col("avg_recency"), F.col("avg_frequency"), F.col("avg_monetary")]
+            js_number_text("avg_recency"), js_number_text("avg_frequency"), js_number_text("avg_monetary")]
     return summary.select(*[c.alias(h) for c, h in zip(cols, SEGMENT_HEADERS)])
 
 
 def export_products(metrics: DataFrame) -> DataFrame:
     """All products, highest revenue first (ties by id)."""
-    cols = ["id", "name", "category", "price", "orders_count", "revenue", "rating"]
+    cols = [F.col("id"), F.col("name"), F.col("category"), js_number_text("price"),
+            js_number_text("orders_count"), js_number_text("revenue"), js_number_text("rating")]
     return (metrics.orderBy(F.col("revenue").desc(), F.col("id").asc())
-            .select(*[F.col(c).alias(h) for c, h in zip(cols, PRODUCT_HEADERS)]))
+            .select(*[c.alias(h) for c, h in zip(cols, PRODUCT_HEADERS)]))
 
 
 def export_customers(profile: DataFrame, n: int = CSV_CUSTOMER_ROWS) -> DataFrame:
     """The first ``n`` customers in id order; churn risk printed with '%'."""
     cols = [F.col("customer_id"), F.col("name"), F.col("email"), F.col("country"),
-            F.date_format("signup_date", "yyyy-MM-dd"), F.col("segment"), F.col("recency"),
-            F.col("frequency"), F.col("monetary").cast("double"), F.col("clv"),
+            F.date_format("signup_date", "yyyy-MM-dd"), F.col("segment"), js_number_text("recency"),
+            js_number_text("frequency"), js_number_text("monetary"), js_number_text("clv"),
             F.concat(js_number_text("churn_risk"), F.lit("%"))]
     return (profile.orderBy("customer_id").limit(n)
             .select(*[c.alias(h) for c, h in zip(cols, CUSTOMER_HEADERS)]))
