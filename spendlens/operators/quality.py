@@ -124,3 +124,10 @@ def check_lengths(tables: dict[str, DataFrame]) -> DataFrame:
         _report("length", t, df, {c: F.coalesce(F.char_length(c) > n, F.lit(False))
                                   for (tt, c), n in schemas.MAX_LENGTHS.items() if tt == t and c in df.columns})
         for t, df in tables.items())
+
+
+def check_all(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every check in one report (not-null, unique, foreign keys, domains,
+    ranges, lengths)."""
+    return _union([check_not_null(tables), check_unique(tables), check_foreign_keys(tables),
+                   check_domains(tables), check_ranges(tables), check_lengths(tables)])

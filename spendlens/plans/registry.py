@@ -394,6 +394,12 @@ def q_dq_lengths(t: Tables) -> DataFrame:
     return quality.check_lengths(_tables_for_checks(t, scores=False))
 
 
+@query("dq_report")
+def q_dq_report(t: Tables) -> DataFrame:
+    """DQ-1..6 in one report."""
+    return quality.check_all(_tables_for_checks(t))
+
+
 # ----------------------------------------------------------------- exports
 @query("export_segments")
 def q_export_segments(t: Tables) -> DataFrame:
