@@ -112,7 +112,7 @@ def test_kmeans_labels_ordered_by_spend(spark):
 
 def test_training_job_end_to_end(spark):
     import datetime as dt
-    from spendlens.plans.pipeline import run_training_job
+    from spendlens.plans.training_job import run_training_job
     from spendlens.sources.readers import read_orders_csv
     rnd = random.Random(11)
     out = tempfile.mkdtemp(prefix="spendlens-orders-")
