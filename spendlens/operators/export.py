@@ -71,6 +71,25 @@ def export_customer_records(profile: DataFrame, order_lists_df: DataFrame | None
         F.to_json(F.coalesce(F.col("orders"), F.array())).alias("orders"))
 
 
+def export_frame(target: str | None, fmt: str = "csv", summary: DataFrame | None = None,
+                 metrics: DataFrame | None = None, profile: DataFrame | None = None,
+                 order_lists_df: DataFrame | None = None) -> DataFrame:
+    """The export chosen by ``target`` ('segments', 'products', anything else
+    = customers) and format: CSV frames with their headers, or for JSON the
+    segment rows, all product rows, or the first 100 customer records."""
+    if fmt == "csv":
+        if target == "segments":
+            return export_segments(summary)
+        if target == "products":
+            return export_products(metrics)
+        return export_customers(profile)
+    if target == "segments":
+        return summary
+    if target == "products":
+        return metrics
+    return export_customer_records(profile, order_lists_df)
+
+
 def write_export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
                  single_file: bool = False) -> None:
     """Write an export frame: ``csv`` with a header line, or ``json`` lines.

@@ -135,3 +135,14 @@ def with_global_running_sum(df: DataFrame, order: list, value: str, out: str,
                   .join(off, _PID)
                   .withColumn(out, F.col("__s_before") + F.col("__run"))
                   .drop(_PID, _POS, "__run", "__n_before", "__n_total", "__s_before"))
+
+
+def global_rank(df: DataFrame, keys: list, partitions: int | None = None, out: str = "rank") -> DataFrame:
+    """Row number over ``keys`` (a total order), computed distributed."""
+    return with_global_row_number(df, keys, out, None, partitions)
+
+
+def global_ntile(df: DataFrame, keys: list, k: int, partitions: int | None = None,
+                 out: str = "ntile") -> DataFrame:
+    """NTILE(k) over ``keys`` (a total order), computed distributed."""
+    return with_global_ntile(df, keys, k, out, partitions)

@@ -137,3 +137,21 @@ def test_classification_report_skips_unknown_rows(spark):
     df = spark.createDataFrame([(1, 1), (0, 0), (None, 1), (1, None)], "churn_label int, prediction int")
     rep = {r["class"]: r for r in ml.classification_report(df).collect()}
     assert rep["accuracy"]["support"] == 2 and rep["accuracy"]["f1_score"] == 1.0
+
+
+def test_export_frame_dispatch(spark):
+    import datetime as dt
+    from decimal import Decimal
+    summary = spark.createDataFrame([(1, "champions", "Champions", 3, 12.5, 10.0, 8.5, 100.25, "d")],
+                                    "position int, id string, name string, size long, percentage double, "
+                                    "avg_recency double, avg_frequency double, avg_monetary double, description string")
+    prof = spark.createDataFrame([("c1", "A B", "a@b", "N", dt.date(2026, 1, 1), "Champions", 10, 9,
+                                   Decimal("10.00"), 18.2, 5.0, True, 3.0, 0, 5, dt.date(2026, 5, 1))],
+                                 "customer_id string, name string, email string, country string, signup_date date, "
+                                 "segment string, recency int, frequency long, monetary decimal(25,2), clv double, "
+                                 "churn_risk double, active_status boolean, discount_usage double, "
+                                 "support_tickets int, satisfaction_rating int, last_purchase_date date")
+    assert export.export_frame("segments", "csv", summary=summary).columns == export.SEGMENT_HEADERS
+    assert export.export_frame(None, "csv", profile=prof).first()["Churn Risk (%)"] == "5%"
+    rec = export.export_frame(None, "json", profile=prof).first()
+    assert rec["id"] == "c1" and rec["orders"] == "[]"
