@@ -10,7 +10,9 @@ Layout
 ``sources``    canonical schemas, typed readers, the adapter for the test tables
 ``functions``  column-level helpers (rounding rules, month arithmetic, fixed labels)
 ``operators``  the analytics operators (RFM, cohorts, Pareto, scoring, ...)
-``plans``      composed reports and the query registry used by ``__spark_entry__``
+``plans``      query registry (``__spark_entry__``), DuckDB oracle SQL, the refresh job
+               (stored profile / segment / product tables, month-partitioned orders)
+               and the end-to-end modelling job
 ``streaming``  (empty: the reference has no streaming operator)
 """
 
