@@ -69,20 +69,23 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def check_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    """Child rows whose non-NULL key has no parent.  Child keys are counted
-    per key first, so the anti join sees each key once however hot it is."""
+    """Child rows whose non-NULL key has no parent (checked_rows = child rows
+    with a key).  Child keys are counted per key first, so the join sees each
+    key once however hot it is."""
     frames = []
     for child, ccol, parent, pcol in schemas.FOREIGN_KEYS:
         if child not in tables or parent not in tables:
             continue
         keys = (tables[child].filter(F.col(ccol).isNotNull())
                 .groupBy(F.col(ccol).alias("__k")).agg(F.count(F.lit(1)).alias("__c")))
-        parents = tables[parent].select(F.col(pcol).alias("__k"))
-        orphans = keys.join(parents, "__k", "left_anti")
-        frames.append(orphans.agg(F.sum("__c").alias("v")).select(
+        parents = (tables[parent].select(F.col(pcol).alias("__k")).filter(F.col("__k").isNotNull())
+                   .distinct().withColumn("__hit", F.lit(True)))
+        matched = keys.join(parents, "__k", "left")
+        frames.append(matched.agg(F.sum("__c").alias("n"),
+                                  F.sum(F.when(F.col("__hit").isNull(), F.col("__c"))).alias("v")).select(
             F.lit("foreign_key").alias("rule"), F.lit(child).alias("table_name"),
             F.lit(f"{ccol}->{parent}.{pcol}").alias("column_name"),
-            F.lit(None).cast("long").alias("checked_rows"),
+            F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("checked_rows"),
             F.coalesce(F.col("v"), F.lit(0)).cast("long").alias("violations")))
     return _union(frames)
 
