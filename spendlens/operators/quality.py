@@ -129,8 +129,43 @@ def check_lengths(tables: dict[str, DataFrame]) -> DataFrame:
         for t, df in tables.items())
 
 
+def _row_tests(t: str, df: DataFrame) -> list[tuple[str, str, Column]]:
+    """(rule, column, failing-row test) of every per-row check on one table."""
+    tests = [("not_null", c, F.col(c).isNull()) for c in schemas.not_null_columns(t) if c in df.columns]
+    tests += [("domain", c, F.col(c).isNotNull() & ~F.col(c).isin(vals))
+              for (tt, c), vals in schemas.ENUMS.items() if tt == t and c in df.columns]
+    for (tt, c), (lo, hi) in schemas.RANGES.items():
+        if tt == t and c in df.columns:
+            cond = F.lit(False)
+            if lo is not None:
+                cond = cond | (F.col(c) < lo)
+            if hi is not None:
+                cond = cond | (F.col(c) > hi)
+            tests.append(("range", c, F.coalesce(cond, F.lit(False))))
+    tests += [("range", f"{c}:decimal({p},{sc})",
+               F.col(c).isNotNull() & F.col(c).try_cast(f"decimal({p},{sc})").isNull())
+              for (tt, c), (p, sc) in schemas.PRECISION.items() if tt == t and c in df.columns]
+    tests += [("length", c, F.coalesce(F.char_length(c) > n, F.lit(False)))
+              for (tt, c), n in schemas.MAX_LENGTHS.items() if tt == t and c in df.columns]
+    return tests
+
+
 def check_all(tables: dict[str, DataFrame]) -> DataFrame:
     """Every check in one report (not-null, unique, foreign keys, domains,
-    ranges, lengths)."""
-    return _union([check_not_null(tables), check_unique(tables), check_foreign_keys(tables),
-                   check_domains(tables), check_ranges(tables), check_lengths(tables)])
+    ranges, lengths).  The per-row checks of a table share one aggregate
+    pass over it; key and foreign-key checks group by key."""
+    frames = []
+    for t, df in tables.items():
+        tests = _row_tests(t, df) if t in schemas.TABLES else []
+        if not tests:
+            continue
+        row = df.agg(F.count(F.lit(1)).alias("__n"),
+                     *[F.count_if(cond).alias(f"__v{i}") for i, (_, _, cond) in enumerate(tests)])
+        stacked = F.explode(F.array(*[
+            F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column_name"),
+                     F.col(f"__v{i}").cast("long").alias("violations"))
+            for i, (rule, c, _) in enumerate(tests)]))
+        frames.append(row.select(F.col("__n").cast("long").alias("checked_rows"), stacked.alias("s"))
+                      .select("s.rule", F.lit(t).alias("table_name"), "s.column_name", "checked_rows",
+                              "s.violations"))
+    return _union(frames + [check_unique(tables), check_foreign_keys(tables)])
