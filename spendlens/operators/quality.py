@@ -33,17 +33,23 @@ def _report(rule: str, table: str, df: DataFrame, tests: dict[str, Column]) -> D
                     "checked_rows", "s.violations"))
 
 
-def _union(frames) -> DataFrame:
+REPORT_SCHEMA = "rule string, table_name string, column_name string, checked_rows long, violations long"
+
+
+def _union(frames, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     frames = [f.select(*REPORT_COLS) for f in frames if f is not None]
+    if not frames:  # nothing to check: an empty report
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], REPORT_SCHEMA)
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def check_not_null(tables: dict[str, DataFrame]) -> DataFrame:
     """NOT NULL columns that hold NULLs."""
-    return _union(
+    return _union([
         _report("not_null", t, df, {c: F.col(c).isNull() for c in schemas.not_null_columns(t)
                                     if c in df.columns})
-        for t, df in tables.items() if t in schemas.TABLES)
+        for t, df in tables.items() if t in schemas.TABLES], tables)
 
 
 def check_unique(tables: dict[str, DataFrame]) -> DataFrame:
@@ -60,7 +66,7 @@ def check_unique(tables: dict[str, DataFrame]) -> DataFrame:
                 F.lit("unique").alias("rule"), F.lit(t).alias("table_name"), F.lit(c).alias("column_name"),
                 F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("checked_rows"),
                 F.coalesce(F.col("v"), F.lit(0)).cast("long").alias("violations")))
-    return _union(frames)
+    return _union(frames, tables)
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -87,16 +93,16 @@ def check_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
             F.lit(f"{ccol}->{parent}.{pcol}").alias("column_name"),
             F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("checked_rows"),
             F.coalesce(F.col("v"), F.lit(0)).cast("long").alias("violations")))
-    return _union(frames)
+    return _union(frames, tables)
 
 
 def check_domains(tables: dict[str, DataFrame]) -> DataFrame:
     """Enumerated columns holding a value outside the allowed set (NULLs are
     the not-null check's business)."""
-    return _union(
+    return _union([
         _report("domain", t, df, {c: F.col(c).isNotNull() & ~F.col(c).isin(vals)
                                   for (tt, c), vals in schemas.ENUMS.items() if tt == t and c in df.columns})
-        for t, df in tables.items())
+        for t, df in tables.items()], tables)
 
 
 def check_ranges(tables: dict[str, DataFrame]) -> DataFrame:
@@ -118,15 +124,15 @@ def check_ranges(tables: dict[str, DataFrame]) -> DataFrame:
                 tests[f"{c}:decimal({p},{s})"] = (F.col(c).isNotNull()
                                                   & F.col(c).try_cast(f"decimal({p},{s})").isNull())
         frames.append(_report("range", t, df, tests))
-    return _union(frames)
+    return _union(frames, tables)
 
 
 def check_lengths(tables: dict[str, DataFrame]) -> DataFrame:
     """VARCHAR(n) columns holding longer text."""
-    return _union(
+    return _union([
         _report("length", t, df, {c: F.coalesce(F.char_length(c) > n, F.lit(False))
                                   for (tt, c), n in schemas.MAX_LENGTHS.items() if tt == t and c in df.columns})
-        for t, df in tables.items())
+        for t, df in tables.items()], tables)
 
 
 def _row_tests(t: str, df: DataFrame) -> list[tuple[str, str, Column]]:
@@ -168,4 +174,4 @@ def check_all(tables: dict[str, DataFrame]) -> DataFrame:
         frames.append(row.select(F.col("__n").cast("long").alias("checked_rows"), stacked.alias("s"))
                       .select("s.rule", F.lit(t).alias("table_name"), "s.column_name", "checked_rows",
                               "s.violations"))
-    return _union(frames + [check_unique(tables), check_foreign_keys(tables)])
+    return _union(frames + [check_unique(tables), check_foreign_keys(tables)], tables)

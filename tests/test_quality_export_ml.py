@@ -155,3 +155,17 @@ def test_export_frame_dispatch(spark):
     assert export.export_frame(None, "csv", profile=prof).first()["Churn Risk (%)"] == "5%"
     rec = export.export_frame(None, "json", profile=prof).first()
     assert rec["id"] == "c1" and rec["orders"] == "[]"
+
+
+def test_check_all_equals_union_of_checks(spark):
+    customers = spark.createDataFrame(
+        [("c1", "A", "B", "a@x", "NA", None, "gold", "active"), ("c1", "A", None, "a@x", "NA", None, "x", "y")],
+        "id string, first_name string, last_name string, email string, country string, signup_date date, "
+        "loyalty_tier string, status string")
+    orders = spark.createDataFrame([("o1", "c1", "completed"), ("o2", "ghost", "lost")],
+                                   "id string, customer_id string, status string")
+    tables = {"customers": customers, "orders": orders}
+    parts = [quality.check_not_null, quality.check_unique, quality.check_foreign_keys,
+             quality.check_domains, quality.check_ranges, quality.check_lengths]
+    expected = sorted(tuple(r) for f in parts for r in f(tables).collect())
+    assert sorted(tuple(r) for r in quality.check_all(tables).collect()) == expected
