@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm.store import cut
@@ -95,6 +95,14 @@ def _base(w: Column, phrases: dict[str, str]) -> Column:
                     F.array_compact(F.array(*(F.when(F.size(s) > 0, F.lit(label)) for s, label in starts))).alias("labels"))
 
 
+def _literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as literals of the plan."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    value = lambda x: F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x)
+    structs = [F.struct(*(value(x).alias(n) for x, n in zip(row, names))) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs).cast(f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+
+
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES,
                  containment: tuple[int, int] = CONTAINMENT) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): base places, labels of both kinds, and the places' blocks.
@@ -142,9 +150,8 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, p
         F.col("doc_id"), F.md5(text).alias("fingerprint"), n_words.cast("long").alias("n_words"), base.alias("base"),
         F.when(text.rlike(has_rare), blocks(F.split(text, "\n"))).otherwise(no_blocks).alias("blocks")), "scanned")
 
-    schema = "template int, label string, size int, needed int, words array<string>"
-    templates_df = spark.createDataFrame(sizes, schema)
-    prefix_df = spark.createDataFrame(prefix, "template int, word string")
+    templates_df = _literal_rows(spark, sizes, "template int, label string, size int, needed int, words array<string>")
+    prefix_df = _literal_rows(spark, prefix, "template int, word string")
     # copies of a text have the same blocks: each text is joined once
     held = (scanned.filter(F.size("blocks") > 0).groupBy("fingerprint").agg(F.max("blocks").alias("blocks"))
             .select("fingerprint", F.inline("blocks").alias("block", "block_words")))

@@ -180,13 +180,9 @@ def quality_report(docs: DataFrame, labels: DataFrame, risk: float = RISK, error
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``.
-
-    Texts are not shuffled: thresholds come from the labelled documents, and
-    every row is measured where it is.
-    """
-    known = labels.filter("quality IS NOT NULL").select("doc_id").distinct()
-    found = thresholds(_narrow(docs.join(known, "doc_id", "left_semi")), labels, risk, error)
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "text", _lang(docs))
-    wide = measures(own).select("_row", "lang", "_q.base_failed", *(f"_q.{rule}" for rule in GRIDS))
-    return judged(wide, found).filter("kept").select("_row.*")
+    """The rows of ``docs`` that are kept, with the columns of ``docs``; texts are measured once and not shuffled."""
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", _lang(docs))
+    measured = cut(measures(own).select("_row", "doc_id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("fingerprint"),
+                                        "_q.base_failed", *(f"_q.{rule}" for rule in GRIDS)), "measured")
+    found = thresholds(measured.drop("_row"), labels, risk, error)
+    return judged(measured, found).filter("kept").select("_row.*")

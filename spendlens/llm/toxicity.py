@@ -190,9 +190,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = (labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
              .filter(~fold(F.col("doc_id")).isin(HELD_OUT, CALIBRATE))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    drawn = (docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", F.col("text").cast("string").alias("text"))
-             .join(known, "doc_id").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "text").limit(SAMPLE))
-    table = drawn.select("text", "toxic").toArrow()
+    # a hash draws about 0.9 * SAMPLE ids, and the limit bounds them, so they are broadcast
+    chance = 0.9 * SAMPLE / max(known.count(), 1)
+    drawn = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11) < int(min(chance, 1.0) * (1 << 53))).limit(SAMPLE)
+    table = (docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", F.col("text").cast("string").alias("text"))
+             .join(F.broadcast(drawn), "doc_id").select("text", "toxic").toArrow())
+    table = table.take(np.lexsort((table.column("text").to_pylist(),)) if table.num_rows else [])
     column = table.column("text").combine_chunks()
     column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
     ids, bounds = word_ids(column)
@@ -283,9 +286,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't toxic by the threshold of their language, with the columns of ``docs``."""
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"), _lang(docs))
-    model = fit(narrow, labels)
-    calibration = labels.filter(fold(F.col("doc_id")) == CALIBRATE).select("doc_id").distinct()
-    found = thresholds(score(narrow.join(calibration, "doc_id", "left_semi"), model), labels)
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"), _lang(docs))
-    return score(packed, model).filter(F.col("score") < _threshold(found)).select("_row.*")
+    text = F.col("text").cast("string").alias("text")
+    model = fit(docs.select("doc_id", text), labels)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", text, _lang(docs))
+    scored = cut(score(packed, model), "scored")
+    found = thresholds(scored.select("doc_id", "lang", "score"), labels)
+    return scored.filter(F.col("score") < _threshold(found)).select("_row.*")
