@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.llm.blocks import Forest, crowded, groups, in_pairs_of_blocks
 from spendlens.llm.components import connected_components
 from spendlens.llm.store import cut, ship
 
@@ -32,6 +33,7 @@ RECALL = 0.995          #: chance that a pair at the threshold meets in some tab
 BUCKET = 32             #: vectors in a bucket on average, if they were spread evenly
 BLOCK = 512             #: vectors of a bucket that one task compares with each other
 SEED = 11
+GROUP = ["tab", "dim", "bucket"]
 
 
 def table_sizes(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
@@ -85,24 +87,6 @@ def _hash(bits: int, tables: int, seed: int):
     return run
 
 
-class _Forest:
-    """Links of a group as a forest: each member points to a smaller one of its tree."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
 def compare(tab: int, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of a group in table ``tab``: how many each member has, and each member's root (positions).
 
@@ -110,7 +94,7 @@ def compare(tab: int, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, side: np
     Rows with the same id are one vector and are not linked to each other.
     """
     n = len(ids)
-    counts, forest = np.zeros(n, np.int64), _Forest(n)
+    counts, forest = np.zeros(n, np.int64), Forest(n)
     unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
     linked = unit @ unit.T >= cosine
     linked &= ids[:, None] != ids[None, :]
@@ -132,46 +116,18 @@ def compare(tab: int, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, side: np
     return counts, np.array([forest.root(k) for k in range(n)])
 
 
-def _groups(cosine: float):
-    """Rows sorted by (tab, dim, bucket, first, second) -> (vec_id, n_links, other) for members with links."""
+def _compared(cosine: float):
+    """Rows in pairs of blocks -> (vec_id, n_links, other) for members with links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        for rows in groups(batches, GROUP):
             ids = rows.column("vec_id").to_numpy()
             x = np.stack([np.frombuffer(v, np.float64) for v in rows.column("data").to_pylist()])
             keys = np.stack([np.frombuffer(k, np.int64) for k in rows.column("keys").to_pylist()])
             counts, roots = compare(rows.column("tab")[0].as_py(), ids, keys, x, rows.column("side").to_numpy(), cosine)
             some = counts > 0
-            return ids[some], counts[some], ids[roots[some]]
-
-        def out(parts) -> pa.RecordBatch:
-            cols = [np.concatenate(c) if parts else np.zeros(0, np.int64) for c in (zip(*parts) if parts else ((),) * 3)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["vec_id", "n_links", "other"])
-
-        names = ("tab", "dim", "bucket", "first", "second")
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
-            edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            starts = np.r_[0, edges, batch.num_rows]
-            parts = []
-            if held and tuple(held[-1].column(c)[-1].as_py() for c in names) != tuple(key[:, 0].tolist()):
-                parts.append(flush(pa.Table.from_batches(held)))
-                held = []
-            for a, b in zip(starts[:-1], starts[1:]):
-                piece = batch.slice(a, b - a)
-                if b == batch.num_rows:
-                    held.append(piece)
-                elif held:
-                    parts.append(flush(pa.Table.from_batches([*held, piece])))
-                    held = []
-                elif b - a > 1:
-                    parts.append(flush(pa.Table.from_batches([piece])))
-            yield out(parts)
-        if held:
-            yield out([flush(pa.Table.from_batches(held))])
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[some], counts[some], ids[roots[some]])],
+                                                 ["vec_id", "n_links", "other"])
     return run
 
 
@@ -191,20 +147,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     n = own.count()
     bits, tables = table_sizes(n, cosine, recall)
     hashed = own.mapInArrow(_hash(bits, tables, seed), "tab int, dim int, bucket long, vec_id long, keys binary, data binary")
-    group = ["tab", "dim", "bucket"]
-    crowded = cut(own.mapInArrow(_hash(bits, tables, seed), hashed.schema).groupBy(*group)
-                  .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-                  .select(*group, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded")
-    block = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    placed = hashed.join(crowded, group, "left").withColumn("block", block)
-    # pairs of blocks that a vector takes part in: (0, 0) alone where the bucket is one block
-    pairs = F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda other: F.struct(
-        F.least("block", other).alias("first"), F.greatest("block", other).alias("second"),
-        F.when(other == F.col("block"), F.lit(2)).when(other > F.col("block"), F.lit(0)).otherwise(F.lit(1)).alias("side")))
-    grouped = placed.select(*group, "vec_id", "keys", "data", F.inline(pairs))
-    keys = [*group, "first", "second"]
-    found = cut(grouped.repartition(*keys).sortWithinPartitions(*keys)
-                .mapInArrow(_groups(cosine), "vec_id long, n_links long, other long"), "found")
+    crowds = crowded(own.mapInArrow(_hash(bits, tables, seed), hashed.schema), GROUP, BLOCK)
+    found = cut(in_pairs_of_blocks(hashed, GROUP, "vec_id", crowds)
+                .mapInArrow(_compared(cosine), "vec_id long, n_links long, other long"), "found")
     counts = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     labels = connected_components(found, "vec_id", "other").withColumnRenamed("node", "vec_id")
     component = F.coalesce("component", "vec_id")

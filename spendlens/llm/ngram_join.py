@@ -18,9 +18,11 @@ candidates).
 
 Large groups of near copies must not be paired with each other.  First, stars
 are verified: every key offers one centre for all sets that hold it.  Verified
-links are contracted to components; then all pairs that share a key but are
-still in different components are verified, without any cap.  Pairs inside a
-component can't change the components, so the result is that of all links.
+links are contracted to components; then all sets that share a key but are
+still in different components are compared, without any cap: as rows of pairs
+where few sets have the key, else in pairs of blocks, in which a tree of one
+block is walked once with all sets of the other.  Pairs inside a component
+can't change the components, so the result is that of all links.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm import words as W
+from spendlens.llm.blocks import Forest, crowded, groups, in_pairs_of_blocks
 from spendlens.llm.components import connected_components
 from spendlens.llm.store import cut, ship
 
@@ -138,12 +141,15 @@ def _ordered_sets(size: int, ranks, similar: tuple[int, int] | None):
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rep, n, place) for each key of each prefix; place: keys before it."""
     for batch in batches:
         sizes = np.array([len(k.as_buffer()) // 8 for k in batch.column("keys")], np.int64)
         keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), ">u8").astype(_U64).view(np.int64)
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys), pa.array(np.repeat(batch.column("rep").to_numpy(), sizes)),
-             pa.array(np.repeat(batch.column("n").to_numpy(), sizes))], ["key", "rep", "n"])
+             pa.array(np.repeat(batch.column("n").to_numpy(), sizes).astype(np.int32)), pa.array(place.astype(np.int32))],
+            ["key", "rep", "n", "place"])
 
 
 # -- step 3: the prefix tree -------------------------------------------------------------------
@@ -157,7 +163,7 @@ class Trie:
     Nodes are built and walked with a stack: a set of any length is fine.
     """
 
-    __slots__ = ("keys", "low", "high", "members", "children")
+    __slots__ = ("keys", "low", "high", "members", "children", "below", "beyond")
 
     def __init__(self, entries: list[tuple[bytes, int, int]]):
         """entries: (keys as big-endian bytes, whole size, member)."""
@@ -203,6 +209,86 @@ class Trie:
         return found
 
 
+def batch_search(tree: Trie, probes: list[np.ndarray], sizes: np.ndarray, rest: np.ndarray, similar: tuple[int, int],
+                 visit) -> None:
+    """Walk the tree once with many probes: visit(member, overlaps) wherever some probe can still link.
+
+    ``rest``: keys of each probe's set beyond those given.  Overlaps of all
+    probes are carried down together; a subtree is left when no probe's overlap,
+    plus the keys still to come below and beyond, reaches what the sizes ask for.
+    """
+    t, of = similar
+    at: dict[int, list[int]] = {}
+    for i, probe in enumerate(probes):
+        for key in probe.tolist():
+            at.setdefault(key, []).append(i)
+    stack = [(tree, np.zeros(len(probes), np.int64))]
+    while stack:
+        node, overlaps = stack.pop()
+        hits = [i for key in node.keys.tolist() for i in at.get(key, ())]
+        if hits:
+            overlaps = overlaps + np.bincount(hits, minlength=len(probes))
+        needed = -(-t * (sizes + node.low) // (of + t))
+        if not (overlaps + node.below + np.maximum(rest, node.beyond) >= needed).any():
+            continue
+        for _, member in node.members:
+            visit(member, overlaps)
+        stack += [(child, overlaps) for child in node.children]
+
+
+def measure(tree: Trie, beyond: dict[int, int]) -> None:
+    """Set each node's ``below`` (most keys on a path under it) and ``beyond`` (most keys that a member has besides its path)."""
+    order, stack = [], [tree]
+    while stack:
+        order.append(node := stack.pop())
+        stack += node.children
+    for node in reversed(order):
+        node.below = max((c.below + len(c.keys) for c in node.children), default=0)
+        node.beyond = max([*(beyond[m] for _, m in node.members), *(c.beyond for c in node.children)])
+
+
+#: Sets that share a key: up to LIGHT are paired as rows, more are compared in blocks.
+LIGHT, BLOCK = 16, 512
+
+
+def _block_links(group: str, similar: tuple[int, int]):
+    """Rows (rep, component, n, known, last, keys) in pairs of blocks -> a forest (a, b) of pairs that can link.
+
+    ``keys``: some of the first ``known`` keys of the set, at least all that
+    another set of the group may share; ``last``: the last of the ``known``.
+    Sets of one component aren't compared.  With whole sets the pairs do link.
+    """
+    t, of = similar
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, [group]):
+            reps, component, n, known = (rows.column(c).to_numpy() for c in ("rep", "component", "n", "known"))
+            last, keys, side = rows.column("last").to_pylist(), rows.column("keys").to_pylist(), rows.column("side").to_numpy()
+            rest = (n - known).astype(np.int64)
+            rank = {x: i for i, x in enumerate(sorted(set(last)))}
+            order = np.array([rank[x] for x in last])
+            left, right = (np.flatnonzero(side != s) for s in (1, 0))
+            if len(left) and len(right):
+                tree = Trie([(keys[j], int(n[j]), int(j)) for j in right])
+                measure(tree, {int(j): int(rest[j]) for j in right})
+                forest = Forest(len(reps))
+                a_n, a_rest, a_order, a_component = n[left], rest[left], order[left], component[left]
+
+                def visit(j: int, overlaps: np.ndarray) -> None:
+                    # the set whose known keys end first has only its rest to share beyond them
+                    more = np.where(a_order <= order[j], a_rest, rest[j])
+                    fits = ((overlaps + more >= -(-t * (a_n + n[j]) // (of + t))) & (a_component != component[j])
+                            & (of * np.minimum(a_n, n[j]) >= t * np.maximum(a_n, n[j])))
+                    for i in left[fits].tolist():
+                        forest.join(i, j)
+
+                batch_search(tree, [_keys(keys[i]) for i in left], a_n, a_rest, similar, visit)
+                edges = [(reps[i], reps[r]) for i in range(len(reps)) if (r := forest.root(i)) != i and reps[i] != reps[r]]
+                if edges:
+                    yield _pairs(edges)
+    return run
+
+
 #: Partners in one tree: bounds a task's memory; a document with more gets several trees.
 TREE_SIZE = 1024
 
@@ -296,7 +382,7 @@ class NgramJoin:
 
     def links(self) -> DataFrame:
         """Verified links (a, b) between representatives that connect every class of linked sets."""
-        postings = self.prefixes.mapInArrow(_postings, "key long, rep long, n long")
+        postings = self.prefixes.mapInArrow(_postings, "key long, rep long, n int, place int")
         shared = cut(postings.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("key"), "keys")
         postings = cut(postings.join(shared, "key"), "postings")
         found = None
@@ -308,13 +394,52 @@ class NgramJoin:
             new = self._verified(cut(tried, "tried"))
             found = new if found is None else cut(found.unionByName(new).distinct(), "links")
         here = self._contracted(postings, found)
-        x = here.select("key", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-        y = here.select("key", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
+        heavy = cut(here.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > LIGHT).select("key"), "heavy")
+        return (found.unionByName(self._light(here.join(heavy, "key", "left_anti")))
+                .unionByName(self._heavy(here, heavy)).distinct())
+
+    def _light(self, here: DataFrame) -> DataFrame:
+        """Links of sets in different components that share a key which few sets have."""
+        side = lambda s: here.select("key", F.col("rep").alias(s), F.col("n").alias(f"{s}_n"),
+                                     F.col("place").alias(f"{s}_at"), F.col("component").alias(f"{s}_c"))
         t, of = self.similar
-        apart = (x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))
-                                         & (of * F.least("a_n", "b_n") >= t * F.greatest("a_n", "b_n")))
-                 .select("a", "b").distinct())
-        return found.unionByName(self._verified(cut(apart, "apart"))).distinct()
+        # what is left of both from the key on must suffice; it does at the first key that a linked pair shares
+        enough = (of + t) * F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= t * (F.col("a_n") + F.col("b_n"))
+        apart = (side("a").join(side("b"), "key").filter(
+            (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & enough
+            & (of * F.least("a_n", "b_n") >= t * F.greatest("a_n", "b_n"))).select("a", "b").distinct())
+        return self._verified(cut(apart, "apart"))
+
+    def _heavy(self, here: DataFrame, heavy: DataFrame) -> DataFrame:
+        """Links of sets in different components that share a key which many sets have.
+
+        First the prefixes of a key's sets are compared, in pairs of blocks; sets
+        that can link by what their prefixes show form clusters.  Then the whole
+        sets of each cluster are compared the same way.
+        """
+        own = cut(here.join(heavy, "key").select("key", "rep", "component"), "heavy")
+        if own.isEmpty():
+            return own.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+        sets = own.select("rep").distinct()
+        path = (here.join(sets, "rep", "left_semi").groupBy("rep")
+                .agg(F.array_sort(F.collect_list(F.struct("place", F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("key")))).alias("path"))
+                .select("rep", F.aggregate("path", F.lit(b""), lambda acc, x: F.concat(acc, x["key"])).alias("shared")))
+        shown = cut(self.prefixes.join(path, "rep").select(
+            "rep", "n", (F.octet_length("keys") / 8).cast("long").alias("known"), F.substring("keys", -8, 8).alias("last"),
+            F.col("shared").alias("keys")), "shown")
+        rows = cut(own.join(shown, "rep"), "rows")
+        can = cut(in_pairs_of_blocks(rows, ["key"], "rep", crowded(own, ["key"], BLOCK))
+                  .mapInArrow(_block_links("key", self.similar), "a long, b long").distinct(), "can")
+        label = connected_components(can, "a", "b")
+        members = can.select(F.col("a").alias("node")).union(can.select(F.col("b").alias("node"))).distinct()
+        cluster = cut(members.join(label, "node", "left").select(F.col("node").alias("rep"), F.coalesce("component", "node").alias("cluster")),
+                      "cluster")
+        whole = self._whole_sets(cluster.select(F.col("rep").alias("id")))
+        parts = own.select("rep", "component").distinct()
+        rows = cut(whole.join(cluster, "rep").join(parts, "rep").select(
+            "cluster", "rep", "component", "n", F.col("n").alias("known"), F.substring("keys", -8, 8).alias("last"), "keys"), "rows")
+        return cut(in_pairs_of_blocks(rows, ["cluster"], "rep", crowded(rows, ["cluster"], BLOCK))
+                   .mapInArrow(_block_links("cluster", self.similar), "a long, b long").distinct(), "links")
 
     @staticmethod
     def _contracted(postings: DataFrame, links: DataFrame | None) -> DataFrame:
