@@ -126,12 +126,12 @@ def _bucket_ranks(counts: DataFrame) -> np.ndarray:
 def _ordered_sets(size: int, ranks, similar: tuple[int, int] | None):
     """(doc_id, n, s1, s2, keys): whole ordered sets, or their prefixes if ``similar`` is given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = np.argsort(ranks.value).astype(np.uint32)
         for batch in (part for whole in batches for part in W.slices(whole, "text")):
             found = W.Words(batch.column("text"))
             hashes, rows = found.shingles(size)
             keys, bounds = W.distinct_sets(_ordered(hashes, ranks.value), rows, batch.num_rows)
-            plain, plain_bounds = W.distinct_sets(hashes, rows, batch.num_rows)
-            s1, s2 = _signatures(plain, plain_bounds)
+            s1, s2 = _signatures(_ordered(keys, back), bounds)  # of the keys as they were hashed
             n = np.diff(bounds)
             lengths = None if similar is None else _prefix_lengths(n, similar)
             yield pa.RecordBatch.from_arrays(
@@ -210,10 +210,11 @@ class Trie:
 
 
 def batch_search(tree: Trie, probes: list[np.ndarray], sizes: np.ndarray, rest: np.ndarray, similar: tuple[int, int],
-                 visit) -> None:
+                 visit, first: int = 0) -> None:
     """Walk the tree once with many probes: visit(member, overlaps) wherever some probe can still link.
 
-    ``rest``: keys of each probe's set beyond those given.  Overlaps of all
+    ``rest``: keys of each probe's set beyond those given.  Pairs that share a
+    key below ``first`` are left to that key's group.  Overlaps of all
     probes are carried down together; a subtree is left when no probe's overlap,
     plus the keys still to come below and beyond, reaches what the sizes ask for.
     """
@@ -228,6 +229,8 @@ def batch_search(tree: Trie, probes: list[np.ndarray], sizes: np.ndarray, rest:
         hits = [i for key in node.keys.tolist() for i in at.get(key, ())]
         if hits:
             overlaps = overlaps + np.bincount(hits, minlength=len(probes))
+            early = [i for key in node.keys.tolist() if key < first for i in at.get(key, ())]
+            overlaps[early] = _LEFT
         needed = -(-t * (sizes + node.low) // (of + t))
         if not (overlaps + node.below + np.maximum(rest, node.beyond) >= needed).any():
             continue
@@ -236,6 +239,9 @@ def batch_search(tree: Trie, probes: list[np.ndarray], sizes: np.ndarray, rest:
         stack += [(child, overlaps) for child in node.children]
 
 
+_LEFT = -(1 << 40)  #: overlap of a probe that the walk has left
+
+
 def measure(tree: Trie, beyond: dict[int, int]) -> None:
     """Set each node's ``below`` (most keys on a path under it) and ``beyond`` (most keys that a member has besides its path)."""
     order, stack = [], [tree]
@@ -248,7 +254,7 @@ def measure(tree: Trie, beyond: dict[int, int]) -> None:
 
 
 #: Sets that share a key: up to LIGHT are paired as rows, more are compared in blocks.
-LIGHT, BLOCK = 16, 512
+LIGHT, BLOCK = 32, 512
 
 
 def _block_links(group: str, similar: tuple[int, int]):
@@ -282,7 +288,8 @@ def _block_links(group: str, similar: tuple[int, int]):
                     for i in left[fits].tolist():
                         forest.join(i, j)
 
-                batch_search(tree, [_keys(keys[i]) for i in left], a_n, a_rest, similar, visit)
+                first = int(np.int64(rows.column(group)[0].as_py()).view(_U64)) if group == "key" else 0
+                batch_search(tree, [_keys(keys[i]) for i in left], a_n, a_rest, similar, visit, first)
                 edges = [(reps[i], reps[r]) for i in range(len(reps)) if (r := forest.root(i)) != i and reps[i] != reps[r]]
                 if edges:
                     yield _pairs(edges)

@@ -100,23 +100,34 @@ class Words:
         A row with 1 to size - 1 words has its whole sequence as its only shingle.
         """
         h, counts = self.hashes(), np.diff(self.bounds)
-        n = len(h)
-        row = np.repeat(np.arange(len(counts)), counts)
-        left = self.bounds[1:][row] - np.arange(n)      # words from here to the row's end
-        at = np.flatnonzero((left >= size) | ((np.arange(n) == self.bounds[:-1][row]) & (counts[row] < size)))
-        total = np.zeros(len(at), np.uint64)
-        for k in range(size):
-            here = np.minimum(at + k, max(n - 1, 0))
-            inside = k < np.minimum(left[at], size)
-            total = total * _BASE + np.where(inside, h[here], np.uint64(k + 1))
-        return mix(total), row[at]
+        n, row = len(h), np.repeat(np.arange(len(counts)), counts)
+        runs = max(n - size + 1, 0)
+        total = h[:runs].copy()
+        for k in range(1, size):
+            total *= _BASE
+            total += h[k:runs + k]
+        inside = row[:runs] == row[size - 1:] if runs else np.zeros(0, bool)  # runs that end in the row they start in
+        hashes, rows = total[inside], row[:runs][inside]
+        short = np.flatnonzero((counts > 0) & (counts < size))
+        if len(short):
+            total = np.zeros(len(short), np.uint64)
+            for k in range(size):
+                here = np.minimum(self.bounds[short] + k, n - 1)
+                total = total * _BASE + np.where(k < counts[short], h[here], np.uint64(k + 1))
+            hashes, rows = np.concatenate([hashes, total]), np.concatenate([rows, short])
+            order = np.argsort(rows, kind="stable")
+            hashes, rows = hashes[order], rows[order]
+        return mix(hashes), rows
 
 
 def distinct_sets(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each row in ascending order, and each row's first position (n_rows + 1 bounds)."""
-    order = np.lexsort((hashes, rows))
-    h, r = hashes[order], rows[order]
+    """Distinct hashes of each row in ascending order, and each row's first position (n_rows + 1 bounds); rows ascend."""
+    h = hashes.copy()
+    bounds = np.searchsorted(rows, np.arange(n_rows + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        h[a:b].sort()
     keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    h, r = h[keep], r[keep]
-    return h, np.searchsorted(r, np.arange(n_rows + 1))
+    keep[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+    kept_before = np.zeros(len(h) + 1, np.int64)
+    np.cumsum(keep, out=kept_before[1:])
+    return h[keep], kept_before[bounds]
