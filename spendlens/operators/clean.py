@@ -39,4 +39,7 @@ def apply_defaults(df: DataFrame, table: str) -> DataFrame:
         if col in df.columns:
             typ = dict(df.dtypes)[col]
             out = out.withColumn(col, F.coalesce(F.col(col), F.lit(value).cast(typ)))
+    for col in schemas.LOAD_TIMES.get(table, []):
+        if col in df.columns:
+            out = out.withColumn(col, F.coalesce(F.col(col), F.current_timestamp()))
     return out

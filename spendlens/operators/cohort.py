@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spendlens.functions import as_date, dbl, js_round, month_diff, month_start
 from spendlens.operators.rfm import COMPLETED, completed_orders
@@ -15,9 +16,8 @@ def _cohorts(customers: DataFrame) -> DataFrame:
 
 
 def cohort_sizes(customers: DataFrame) -> DataFrame:
-    """Distinct customers per signup month."""
-    return (_cohorts(customers).groupBy("cohort_start")
-            .agg(F.count_distinct("customer_id").alias("cohort_size")))
+    """Customers (one row each) per signup month."""
+    return _cohorts(customers).groupBy("cohort_start").agg(F.count(F.lit(1)).alias("cohort_size"))
 
 
 def cohort_retention(customers: DataFrame, orders: DataFrame, max_index: int = 12,
@@ -27,26 +27,26 @@ def cohort_retention(customers: DataFrame, orders: DataFrame, max_index: int = 1
     customers with an order that month) and retention_rate (% of the cohort,
     4 dp).  Sorted by cohort and index.
 
-    Orders are reduced to distinct (customer, order month) pairs before they
-    meet the customers, so a customer with many orders costs one row a month.
+    Orders are reduced to each customer's set of order months before they meet
+    the customers; every customer then counts once for the cohort (a row
+    without an index) and once for each of its months, so sizes and retained
+    customers come from the same aggregate.
     """
-    active = (completed_orders(orders, statuses)
-              .select("customer_id", month_start("order_date").alias("order_month"))
-              .distinct())
-    cohorts = _cohorts(customers)
-    sizes = cohort_sizes(customers)
-    idx = month_diff("order_month", "cohort_start")
-    counts = (active.join(cohorts, "customer_id")
-              .withColumn("month_index", idx)
-              .filter(F.col("month_index").between(0, max_index))
-              .groupBy("cohort_start", "month_index")
-              .agg(F.count_distinct("customer_id").alias("retained_customers")))
-    return (counts.join(sizes, "cohort_start")
+    months = (completed_orders(orders, statuses)
+              .groupBy("customer_id").agg(F.collect_set(month_start("order_date")).alias("months")))
+    own = F.coalesce(F.transform("months", lambda m: month_diff(m, F.col("cohort_start"))), F.array().cast("array<int>"))
+    counts = (_cohorts(customers).filter(F.col("cohort_start").isNotNull()).join(months, "customer_id", "left")
+              .select("cohort_start", F.explode(F.concat(F.array(F.lit(None).cast("int")), own)).alias("month_index"))
+              .filter(F.col("month_index").isNull() | F.col("month_index").between(0, max_index))
+              .groupBy("cohort_start", "month_index").agg(F.count(F.lit(1)).alias("n")))
+    # max_index + 2 rows for each cohort
+    size = F.max(F.when(F.col("month_index").isNull(), F.col("n"))).over(Window.partitionBy("cohort_start"))
+    return (counts.withColumn("cohort_size", size).filter(F.col("month_index").isNotNull())
             .select(F.date_format("cohort_start", "yyyy-MM").alias("cohort_month"),
                     F.col("cohort_size").cast("long").alias("cohort_size"),
                     "month_index",
-                    F.col("retained_customers").cast("long").alias("retained_customers"),
-                    js_round(dbl("retained_customers") * F.lit(100.0) / dbl("cohort_size"), 4)
+                    F.col("n").cast("long").alias("retained_customers"),
+                    js_round(dbl("n") * F.lit(100.0) / dbl("cohort_size"), 4)
                     .alias("retention_rate"))
             .orderBy("cohort_month", "month_index"))
 
@@ -73,7 +73,7 @@ def cohort_matrix(customers: DataFrame, orders: DataFrame, snapshot, months: int
              .filter(F.col("k").between(0, months - 1))
              .groupBy("cohort_start", "k")
              .agg(F.count(F.lit(1)).alias("active"), F.sum("amount").alias("revenue")))
-    counted = cohorts.groupBy("cohort_start").agg(F.count_distinct("customer_id").alias("initial_count"))
+    counted = cohorts.groupBy("cohort_start").agg(F.count(F.lit(1)).alias("initial_count"))
     # every cohort month of the window is a row, signups or not (`months` rows: a bounded broadcast)
     spine = (customers.sparkSession.range(1)
              .select(F.explode(F.sequence(first, snap_month, F.expr("INTERVAL 1 MONTH"))).alias("cohort_start")))

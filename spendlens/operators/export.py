@@ -48,27 +48,32 @@ def export_customers(profile: DataFrame, n: int = CSV_CUSTOMER_ROWS) -> DataFram
             .select(*[c.alias(h) for c, h in zip(cols, CUSTOMER_HEADERS)]))
 
 
+ORDER_LIST = "array<struct<date:date,id:string,amount:double,itemsCount:int>>"
+
+
+def camel_case(df: DataFrame) -> DataFrame:
+    """Columns renamed from snake_case to camelCase, the keys of the JSON exports."""
+    def name(c):
+        first, *rest = c.split("_")
+        return first + "".join(w.capitalize() for w in rest)
+    return df.withColumnsRenamed({c: name(c) for c in df.columns})
+
+
 def export_customer_records(profile: DataFrame, order_lists_df: DataFrame | None = None,
                             n: int = JSON_CUSTOMER_ROWS) -> DataFrame:
     """The JSON customer export: the first ``n`` customer records in id order
-    with camel-case keys, each with its order list (``order_lists_df`` from
-    ``profile.order_lists`` for these customers).  A history longer than one
-    part is exported as one record per part (``ordersPart`` 0, 1, ...)."""
+    with camel-case keys, each with its nested order list (``order_lists_df``
+    from ``profile.order_lists`` for these customers; empty where there is none)."""
     first = profile.orderBy("customer_id").limit(n)
     if order_lists_df is not None:
         first = first.join(order_lists_df, "customer_id", "left")
     else:
-        first = first.withColumn("orders", F.lit(None)).withColumn("orders_part", F.lit(0))
-    return first.select(
-        F.col("customer_id").alias("id"), "name", "email", "country",
-        F.col("signup_date").alias("signupDate"), "segment", "recency", "frequency",
-        F.col("monetary").cast("double").alias("monetary"), "clv", F.col("churn_risk").alias("churnRisk"),
-        F.col("active_status").alias("activeStatus"), F.col("discount_usage").alias("discountUsage"),
-        F.col("support_tickets").alias("supportTickets"),
-        F.col("satisfaction_rating").alias("satisfactionRating"),
-        F.col("last_purchase_date").alias("lastPurchaseDate"),
-        F.coalesce(F.col("orders_part"), F.lit(0)).alias("ordersPart"),
-        F.to_json(F.coalesce(F.col("orders"), F.array())).alias("orders"))
+        first = first.withColumn("orders", F.lit(None).cast(ORDER_LIST))
+    return camel_case(first.select(
+        F.col("customer_id").alias("id"), "name", "email", "country", "signup_date", "segment", "recency", "frequency",
+        F.col("monetary").cast("double").alias("monetary"), "clv", "churn_risk", "active_status", "discount_usage",
+        "support_tickets", "satisfaction_rating", "last_purchase_date",
+        F.coalesce(F.col("orders"), F.array().cast(ORDER_LIST)).alias("orders")))
 
 
 def export_frame(target: str | None, fmt: str = "csv", summary: DataFrame | None = None,
@@ -76,7 +81,8 @@ def export_frame(target: str | None, fmt: str = "csv", summary: DataFrame | None
                  order_lists_df: DataFrame | None = None) -> DataFrame:
     """The export chosen by ``target`` ('segments', 'products', anything else
     = customers) and format: CSV frames with their headers, or for JSON the
-    segment rows, all product rows, or the first 100 customer records."""
+    segment rows, all product rows, or the first 100 customer records, with
+    camel-case keys."""
     if fmt == "csv":
         if target == "segments":
             return export_segments(summary)
@@ -84,9 +90,9 @@ def export_frame(target: str | None, fmt: str = "csv", summary: DataFrame | None
             return export_products(metrics)
         return export_customers(profile)
     if target == "segments":
-        return summary
+        return camel_case(summary.drop("position"))
     if target == "products":
-        return metrics
+        return camel_case(metrics)
     return export_customer_records(profile, order_lists_df)
 
 

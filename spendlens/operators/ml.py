@@ -7,6 +7,8 @@ Scaling uses the population standard deviation (a constant column scales to
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -43,10 +45,11 @@ def standardize(df: DataFrame, cols: list[str], stats: dict[str, tuple[float, fl
 RFM_FEATURES = ["recency", "frequency", "monetary"]
 
 
-def cluster_customers(rfm: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 50):
+def cluster_customers(rfm: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 300):
     """K-Means on standardised R, F, M.  Cluster ids are renumbered 0..k-1
     by descending mean spend so they are stable across runs.
-    Returns (frame with cluster_label, fitted model)."""
+    Returns (frame with cluster_label, fitted model); the fit converged if
+    ``model.summary.numIter < max_iter``."""
     stats = scaling_stats(rfm, RFM_FEATURES)
     z = standardize(rfm, RFM_FEATURES, stats)
     vec = VectorAssembler(inputCols=[c + "_z" for c in RFM_FEATURES], outputCol="features").transform(z)
@@ -71,25 +74,39 @@ def cluster_profile(clustered: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------- stratified split
+def split_quotas(counts: dict, train: float) -> dict:
+    """Training rows per class: n - ceil((1 - train) * n) in all, shared by
+    class size; the rows left over go to the largest remainders, ties to the
+    smaller label."""
+    total = sum(counts.values())
+    n_train = total - math.ceil(round(1.0 - train, 12) * total)
+    quotas = {c: n * n_train // total for c, n in counts.items()} if total else {}
+    by_rest = sorted(counts, key=lambda c: (-(counts[c] * n_train % total), c)) if total else []
+    for c in by_rest[:n_train - sum(quotas.values())]:
+        quotas[c] += 1
+    return quotas
+
+
 def stratified_split(df: DataFrame, label: str, key: str, train: float = 0.7, seed: int = 42,
                      num_partitions: int | None = None) -> DataFrame:
-    """Add ``is_train``: per class, the first floor(train * n_class) rows in a
-    seeded hash order go to training.  Exact class shares, distributed (a
-    global row number, not one task per class)."""
+    """Add ``is_train``: per class, the first rows in a seeded hash order up
+    to the class's quota go to training.  Exact sizes, distributed (a global
+    row number, not one task per class); rows without a label are left out."""
     h = F.xxhash64(F.col(key), F.lit(seed))
-    ranked = with_global_row_number(df.withColumn("__h", h),
+    ranked = with_global_row_number(df.filter(F.col(label).isNotNull()).withColumn("__h", h),
                                     [F.col(label).asc(), F.col("__h").asc(), F.col(key).asc()],
                                     "__rn", None, num_partitions)
-    per = ranked.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))  # one row per class
-    before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(label, "__nc", F.coalesce(F.sum("__nc").over(before), F.lit(0)).alias("__off"))
-    return (ranked.join(F.broadcast(per), label)
-            .withColumn("is_train", (F.col("__rn") - F.col("__off"))
-                        <= F.floor(F.col("__nc") * F.lit(float(train))))
-            .drop("__h", "__rn", "__nc", "__off"))
+    counts = {r[0]: r[1] for r in ranked.groupBy(label).count().collect()}  # one row per class
+    last, before = F.lit(0), 0
+    quotas = split_quotas(counts, train)
+    for c in sorted(counts):
+        last = F.when(F.col(label) == F.lit(c), F.lit(before + quotas[c])).otherwise(last)
+        before += counts[c]
+    return ranked.withColumn("is_train", F.col("__rn") <= last).drop("__h", "__rn")
 
 
 # ------------------------------------------------------ churn classifier
+# FIXED VALUES – the feature list.
 CHURN_FEATURES = ["frequency", "monetary", "support_tickets", "satisfaction_score"]
 
 
@@ -176,11 +193,12 @@ def roc_auc(pred: DataFrame, label: str = "churn_label", score: str = "probabili
             num_partitions: int | None = None) -> DataFrame:
     """Exact area under the ROC curve (ties count one half):
     sum over distinct scores of pos(s) * (neg(< s) + neg(s) / 2) / (P * N).
-    Scores are grouped first, then one distributed running sum."""
+    Scores are grouped first, then one distributed running sum.  NULL where
+    one of the classes is empty."""
     levels = pred.groupBy(dbl(score).alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     run = with_global_running_sum(levels, [F.col("s").asc()], "neg", "neg_upto", num_partitions)
     term = dbl("pos") * (dbl("neg_upto") - dbl("neg") + dbl("neg") * F.lit(0.5))
     return run.agg(F.sum(term).alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
-        (F.col("area") / (dbl("p") * dbl("n"))).alias("roc_auc"),
+        (F.col("area") / F.nullif(dbl("p") * dbl("n"), F.lit(0.0))).alias("roc_auc"),
         F.col("p").cast("long").alias("positives"), F.col("n").cast("long").alias("negatives"))

@@ -34,7 +34,7 @@ def pareto_customers(orders: DataFrame, top_pct: int = 25, statuses=COMPLETED,
         spend, [F.col("total_spend").desc(), F.col("customer_id").asc()],
         "customer_rank", "total_customer_count", num_partitions)
     # running sum with RANGE semantics: prefix sums over distinct spend values
-    levels = spend.groupBy("total_spend").agg(F.sum("total_spend").alias("level_sum"))
+    levels = ranked.groupBy("total_spend").agg(F.sum("total_spend").alias("level_sum"))
     running = with_global_running_sum(levels, [F.col("total_spend").desc()], "level_sum",
                                       "running_spend", num_partitions).drop("level_sum")
     # grand total read from the checkpointed ranking, not a second pass over orders
@@ -59,7 +59,7 @@ def pareto_summary(orders: DataFrame, top_pct: int = 25, statuses=COMPLETED,
     # the two bracket rows add up to the grand total
     total = F.sum("bracket_revenue").over(Window.partitionBy())
     return (ranked.groupBy(_bracket("rank", "n", top_pct).alias("customer_cohort"))
-            .agg(F.count_distinct("customer_id").alias("distinct_accounts"),
+            .agg(F.count(F.lit(1)).alias("distinct_accounts"),  # one row per customer
                  F.sum("total_spend").alias("bracket_revenue"))
             .select("customer_cohort",
                     F.col("distinct_accounts").cast("long").alias("distinct_accounts"),

@@ -4,8 +4,8 @@ watch-list.
 The profile is the per-customer record of the dashboard: R/F/M (with the
 signup date standing in for the last purchase of customers without a
 completed order), segment, CLV, heuristic churn risk, active flag, the
-behavioural inputs (tickets, discount usage, satisfaction) and optionally the
-nested order list.  At scale it is built once and written
+behavioural inputs (tickets, discount usage, satisfaction); the order lists
+are frames of their own.  At scale it is built once and written
 (``plans.refresh.refresh_tables``), then read by every report instead of
 being recomputed.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from spendlens.functions import as_date, dbl, safe_ratio
 from spendlens.operators.ranking import with_global_row_number
 from spendlens.operators.rfm import COMPLETED, completed_orders, rfm_scores
+from spendlens.session import ensure_checkpoint_dir
 from spendlens.operators.scoring import (
     churn_heuristic_expr, clv_multiplier_expr, retention_action_expr, segment_expr,
 )
@@ -34,43 +35,44 @@ def order_activity(orders: DataFrame, items: DataFrame, statuses=COMPLETED) -> D
                  F.coalesce(F.sum("n_items"), F.lit(0)).cast("int").alias("items_listed")))
 
 
-def order_lists(orders: DataFrame, items: DataFrame | None = None, statuses=COMPLETED,
-                customers: DataFrame | None = None, max_per_row: int = 10_000,
-                num_partitions: int | None = None) -> DataFrame:
-    """customer_id, orders_part -> orders: array<struct<date, id, amount,
-    items_count>> in date order.
+def order_rows(orders: DataFrame, items: DataFrame | None = None, statuses=COMPLETED,
+               num_partitions: int | None = None) -> DataFrame:
+    """One row for each order of each customer: customer_id, position (from 0,
+    by date and id), date, id, amount, items_count.
 
-    A customer's history is cut into date-contiguous parts of at most
-    ``max_per_row`` orders (part 0, 1, ...), so no array – and no task –
-    ever holds an unbounded history; every order is kept.  Positions come
-    from a distributed global row number over (customer, date, id), which
-    spreads a customer with a huge history over many tasks.  ``customers``
-    (a frame with customer_id, e.g. one result page) limits the selection.
-    """
+    The shape is the same for every history; positions come from a distributed
+    global row number, which spreads a customer with a huge history over many
+    tasks."""
+    ranked = with_global_row_number(_listed(orders, items, statuses), [F.col("customer_id").asc(), F.col("date").asc(),
+                                                                      F.col("id").asc()], "__rn", None, num_partitions)
+    first = ranked.groupBy("customer_id").agg(F.min("__rn").alias("__first"))
+    return (ranked.join(first, "customer_id")
+            .select("customer_id", (F.col("__rn") - F.col("__first")).alias("position"), "date", "id", "amount", "items_count"))
+
+
+def _listed(orders: DataFrame, items: DataFrame | None, statuses) -> DataFrame:
     o = completed_orders(orders, statuses)
-    if customers is not None:
-        o = o.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
+    n_items = F.lit(None).cast("int")
     if items is not None:
         counts = items.groupBy("order_id").agg(F.count(F.lit(1)).cast("int").alias("items_count"))
         o = o.join(counts, o.id == counts.order_id, "left")
         n_items = F.coalesce(F.col("items_count"), F.lit(0))
-    else:
-        n_items = F.lit(None).cast("int")
-    o = o.select("customer_id", "order_date", "id", dbl("total_amount").alias("amount"),
-                 n_items.alias("items_count"))
-    ranked = with_global_row_number(o, [F.col("customer_id").asc(), F.col("order_date").asc(),
-                                        F.col("id").asc()], "__rn", None, num_partitions)
-    first = ranked.groupBy("customer_id").agg(F.min("__rn").alias("__first"))
-    part = F.floor((F.col("__rn") - F.col("__first")) / F.lit(max_per_row)).cast("int")
-    entry = F.struct(F.col("order_date").alias("date"), "id", "amount", "items_count")
-    return (ranked.join(first, "customer_id")
-            .groupBy("customer_id", part.alias("orders_part"))
+    return o.select("customer_id", F.col("order_date").alias("date"), "id", dbl("total_amount").alias("amount"),
+                    n_items.alias("items_count"))
+
+
+def order_lists(orders: DataFrame, items: DataFrame | None, customers: DataFrame, statuses=COMPLETED) -> DataFrame:
+    """customer_id -> orders: array<struct<date, id, amount, itemsCount>> in
+    date order, one row for each customer of the page ``customers`` that has
+    orders.  Nesting is for a page of records; ``order_rows`` is for all."""
+    o = completed_orders(orders, statuses).join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
+    entry = F.struct("date", "id", "amount", F.col("items_count").alias("itemsCount"))
+    return (_listed(o, items, None).groupBy("customer_id")
             .agg(F.array_sort(F.collect_list(entry)).alias("orders")))
 
 
 def customer_profile(customers: DataFrame, orders: DataFrame, features, snapshot,
-                     statuses=COMPLETED, items: DataFrame | None = None,
-                     with_orders: bool = False) -> DataFrame:
+                     statuses=COMPLETED) -> DataFrame:
     """``features``: one frame or a list of frames keyed by customer_id that
     carry support_tickets, discount_usage and satisfaction_rating (missing
     values: 0 tickets, 0 % discount, rating 5)."""
@@ -103,7 +105,7 @@ def customer_profile(customers: DataFrame, orders: DataFrame, features, snapshot
         F.coalesce(F.col("discount_usage"), F.lit(0.0)).alias("discount_usage"),
         F.coalesce(F.col("satisfaction_rating"), F.lit(5)).cast("int").alias("satisfaction_rating"),
     )
-    p = p.select(
+    return p.select(
         "*",
         segment_expr("recency", "frequency").alias("segment"),
         clv_multiplier_expr("monetary", "frequency").alias("clv"),
@@ -111,9 +113,6 @@ def customer_profile(customers: DataFrame, orders: DataFrame, features, snapshot
         (F.col("recency") <= 90).alias("active_status"),
         safe_ratio("monetary", "frequency").alias("avg_order_value"),
     )
-    if with_orders:  # one row per (customer, orders_part)
-        p = p.join(order_lists(orders, items, statuses, customers=p), "customer_id", "left")
-    return p
 
 
 SEGMENT_COLUMNS = ["customer_id", "recency_days", "frequency_count", "monetary_spend", "recency_score",
@@ -143,7 +142,9 @@ def build_customer_segments(profile: DataFrame, num_partitions: int | None = Non
     with R/F/M, quintile scores (over all profiled customers), segment, CLV
     and heuristic churn probability, typed as the relational table."""
     facts = segment_facts(profile)
-    # the other columns ride along through the rankings: no second pass over the profile
+    # written once: the cut rows and the scores both read it
+    ensure_checkpoint_dir(facts.sparkSession)
+    facts = facts.checkpoint(eager=True)
     ranked = rfm_scores(facts.withColumnsRenamed({"recency_days": "recency", "frequency_count": "frequency",
                                                   "monetary_spend": "monetary"}),
                         num_partitions=num_partitions)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions import as_date, dbl
-from spendlens.operators.ranking import with_global_ntile, with_global_row_number
+from spendlens.operators.ranking import with_global_row_number
 
 COMPLETED = ("completed",)
 
@@ -28,12 +28,11 @@ def rfm_base(orders: DataFrame, snapshot, statuses=COMPLETED, floor_timestamp: b
     timestamps (order times with a time of day); the default is a date diff.
     Money is summed exactly as decimal.
     """
-    snap = as_date(snapshot) if not floor_timestamp else F.to_timestamp(as_date(snapshot))
     last = F.max("order_date")
-    if floor_timestamp:
-        recency = F.floor((F.unix_timestamp(snap) - F.unix_timestamp(last.cast("timestamp"))) / 86400)
-    else:
-        recency = F.datediff(snap, last)
+    recency = F.datediff(as_date(snapshot), last)
+    if floor_timestamp:  # a day isn't whole if the order came after midnight; free of time zones
+        stamp = last.cast("timestamp_ntz")
+        recency = recency - F.when(stamp > stamp.cast("date").cast("timestamp_ntz"), 1).otherwise(0)
     return (completed_orders(orders, statuses)
             .groupBy("customer_id")
             .agg(recency.cast("int").alias("recency"),
@@ -41,25 +40,50 @@ def rfm_base(orders: DataFrame, snapshot, statuses=COMPLETED, floor_timestamp: b
                  F.sum("total_amount").alias("monetary")))
 
 
+def _sort_values(rfm: DataFrame) -> list:
+    """(measure, unknown, sort value) of the three measures: ascending is best
+    first, an unknown value comes last."""
+    kinds = dict(rfm.dtypes)
+    exact = not any(kinds[m] in ("double", "float") for m in ("recency", "frequency", "monetary"))
+    kind = "decimal(38,6)" if exact else "double"
+    out = []
+    for name, sign in (("recency", 1), ("frequency", -1), ("monetary", -1)):
+        v = F.col(name)
+        value = F.coalesce((v * F.lit(sign)).cast(kind), F.lit(0).cast(kind))
+        out.append((name, v.isNull().cast("int"), value))
+    return out
+
+
 def rfm_scores(rfm: DataFrame, buckets: int = 5, num_partitions: int | None = None) -> DataFrame:
     """Quintile scores (``buckets`` + 1 - NTILE, so ``buckets`` is best) for
     recency (ascending), frequency and monetary (descending), and the
     three-digit ``rfm_code``.  Ties are broken by ascending customer id; a
     missing value ranks last.
-    Each NTILE is a distributed global ranking (no single-partition window)."""
-    top = buckets + 1
-    cid = F.col("customer_id").asc()
-    # an unknown value ranks last (worst) in every ordering
-    out = with_global_ntile(rfm, [F.col("recency").asc_nulls_last(), cid], buckets, "__r", num_partitions)
-    out = with_global_ntile(out, [F.col("frequency").desc_nulls_last(), cid], buckets, "__f", num_partitions)
-    out = with_global_ntile(out, [F.col("monetary").desc_nulls_last(), cid], buckets, "__m", num_partitions)
-    out = (out.withColumn("recency_score", (F.lit(top) - F.col("__r")).cast("int"))
-              .withColumn("frequency_score", (F.lit(top) - F.col("__f")).cast("int"))
-              .withColumn("monetary_score", (F.lit(top) - F.col("__m")).cast("int")))
-    return (out.withColumn("rfm_code", F.concat(F.col("recency_score").cast("string"),
-                                                F.col("frequency_score").cast("string"),
-                                                F.col("monetary_score").cast("string")))
-               .drop("__r", "__f", "__m"))
+
+    An NTILE is known from the last row of each bucket.  One narrow frame
+    (measure, value, id) of all three measures is ranked, distributed; its
+    3 * (buckets - 1) cut rows come to the driver, and every customer's
+    buckets follow from comparisons with them: the wide rows aren't sorted."""
+    measures = _sort_values(rfm)
+    narrow = rfm.select("customer_id", F.inline(F.array(*(
+        F.struct(F.lit(i).alias("measure"), unknown.alias("unknown"), value.alias("value"))
+        for i, (_, unknown, value) in enumerate(measures)))))
+    order = [F.col(c).asc() for c in ("measure", "unknown", "value", "customer_id")]
+    ranked = with_global_row_number(narrow, order, "__rn", "__n", num_partitions)
+    n = F.floor(F.col("__n") / len(measures))
+    q, r = F.floor(n / buckets), n % buckets
+    ends = F.array(*(F.lit(b) * q + F.least(F.lit(b), r) for b in range(1, buckets)))
+    cuts = (ranked.filter(F.array_contains(ends, F.col("__rn") - F.col("measure") * n))
+            .select("measure", "unknown", "value", "customer_id").collect())
+    out = rfm
+    for i, (name, unknown, value) in enumerate(measures):
+        bucket = F.lit(1)
+        for c in (c for c in cuts if c["measure"] == i):
+            after = ((unknown > c["unknown"]) | ((unknown == c["unknown"]) & (
+                (value > F.lit(c["value"])) | ((value == F.lit(c["value"])) & (F.col("customer_id") > F.lit(c["customer_id"]))))))
+            bucket = bucket + F.when(after, 1).otherwise(0)
+        out = out.withColumn(f"{name}_score", (F.lit(buckets + 1) - bucket).cast("int"))
+    return out.withColumn("rfm_code", F.concat(*(F.col(f"{name}_score").cast("string") for name, _, _ in measures)))
 
 
 def monetary_fence(rfm: DataFrame, k: float = 1.5, approx: bool = False,

@@ -14,6 +14,7 @@ from spendlens.functions import labels as L
 
 
 # ----------------------------------------------------------------- segments
+# FIXED VALUES – the segment rules, in the order they are tried.
 def segment_expr(recency="recency", frequency="frequency") -> Column:
     """RFM segment label; the rules are tried in this order."""
     r, f = as_col(recency), as_col(frequency)
@@ -32,6 +33,7 @@ def assign_segment(df: DataFrame, recency: str = "recency", frequency: str = "fr
 
 
 # ------------------------------------------------------------ churn scores
+# FIXED VALUES – the weights of the heuristic.
 def churn_heuristic_expr(recency="recency", tickets="support_tickets", frequency="frequency",
                          satisfaction="satisfaction_rating") -> Column:
     """0.35 r + 8 tickets - 4.5 f + 12 (5 - satisfaction), clamped to [0, 100]
@@ -75,6 +77,7 @@ def churn_logistic_score(df: DataFrame, **names) -> DataFrame:
               .withColumn("is_high_risk", F.col("churn_probability") >= 50))
 
 
+# FIXED VALUES – the thresholds of the four bands.
 def risk_bands(df: DataFrame, recency="recency", frequency="frequency",
                tickets="support_tickets", satisfaction="satisfaction", as_struct: bool = False) -> DataFrame:
     """Four risk factors (high / medium / low) as flat columns, or as one
@@ -91,6 +94,7 @@ def risk_bands(df: DataFrame, recency="recency", frequency="frequency",
     return df.withColumns(bands)
 
 
+# FIXED VALUES – the thresholds of the advice rules.
 def churn_actions(df: DataFrame, recency="recency", frequency="frequency", tickets="support_tickets",
                   discount="discount_usage", satisfaction="satisfaction",
                   out: str = "recommendations") -> DataFrame:
@@ -105,6 +109,7 @@ def churn_actions(df: DataFrame, recency="recency", frequency="frequency", ticke
     return df.withColumn(out, F.when(F.size(picks) == 0, F.array(F.lit(L.NEWSLETTER))).otherwise(picks))
 
 
+# FIXED VALUES – the probability thresholds.
 def retention_action_expr(probability="churn_risk_probability") -> Column:
     p = dbl(probability)
     return (F.when(p >= 85.0, L.ACTION_CRITICAL)
@@ -122,9 +127,10 @@ def clv_discounted(rfm: DataFrame, retention: float = 0.82, discount: float = 0.
                    margin: float = 0.15, monetary: str = "monetary",
                    frequency: str = "frequency") -> DataFrame:
     """monetary * margin * retention / (1 + discount - retention), rounded
-    half-even to cents; also the average order value ``aov``."""
+    half-even to cents; also the average order value ``aov`` (the whole spend
+    where a customer has no order)."""
     factor = retention / (1 + discount - retention)
-    return (rfm.withColumn("aov", dbl(monetary) / dbl(frequency))
+    return (rfm.withColumn("aov", safe_ratio(monetary, frequency))
                .withColumn("clv_estimate", half_even(dbl(monetary) * F.lit(margin) * F.lit(factor), 2)))
 
 

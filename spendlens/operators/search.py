@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,35 +31,32 @@ def customer_search(profile: DataFrame, search: str = "", segment: str = ALL,
 
 
 def _page_args(page, limit):
+    """Leading whole numbers, as ``parseInt`` reads them; 0 or none: 1 and 10."""
     def as_int(x, default):
-        try:
-            v = int(x)
-        except (TypeError, ValueError):
-            return default
-        return v or default
-    page, limit = as_int(page, 1), as_int(limit, 10)
-    return max(page, 1), max(limit, 1)
-
-
-# A page ending within this many rows is cut with a top-k (each task keeps at
-# most this many rows); deeper pages use the distributed row number.
-TOP_K_PAGE_ROWS = 10_000
+        lead = re.match(r"\s*[+-]?\d+", "" if x is None else str(x))
+        return (int(lead[0]) if lead else 0) or default
+    return max(as_int(page, 1), 1), max(as_int(limit, 10), 1)
 
 
 def customer_page(found: DataFrame, page=1, limit=10, order: str = "customer_id",
                   num_partitions: int | None = None) -> DataFrame:
     """Rows ``(page-1)*limit`` .. ``page*limit - 1`` of the filtered set in
-    ``order`` (a unique key).  0, empty or unparsable page/limit fall back to
-    1 / 10."""
+    ``order`` (a unique key), by the distributed row number whatever the page."""
     page, limit = _page_args(page, limit)
     start = (page - 1) * limit
-    if start + limit <= TOP_K_PAGE_ROWS:
-        return found.orderBy(order).offset(start).limit(limit)
     ranked = with_global_row_number(found, [F.col(order).asc()], "__rn", None, num_partitions)
     return (ranked.filter(F.col("__rn").between(start + 1, start + limit))
             .orderBy("__rn").drop("__rn"))
 
 
+def customer_page_after(found: DataFrame, last=None, limit=10, order: str = "customer_id") -> DataFrame:
+    """The next ``limit`` rows in ``order`` after the key ``last`` (None: the
+    first): keyset paging, whose cost doesn't grow with the depth."""
+    limit = _page_args(1, limit)[1]
+    rest = found if last is None else found.filter(F.col(order) > F.lit(last))
+    return rest.orderBy(order).limit(limit)
+
+
 def page_info(found: DataFrame, page=1, limit=10) -> DataFrame:
     """total_items, total_pages (ceil(total / limit)), current_page, items_per_page."""
     page, limit = _page_args(page, limit)

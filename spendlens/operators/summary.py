@@ -105,3 +105,11 @@ def executive_digest(profile: DataFrame) -> DataFrame:
         F.col("champ_n").cast("long").alias("champions_size"),
         F.coalesce(js_round(dbl("champ_m") / F.nullif(dbl("champ_n"), F.lit(0.0)), 2), F.lit(0.0))
          .alias("champions_avg_monetary"))
+
+
+def average_order_value(orders: DataFrame, statuses=("completed",)) -> DataFrame:
+    """One row: revenue over the number of completed orders (2 dp), straight
+    from the orders."""
+    o = orders.filter(F.col("customer_id").isNotNull() & F.col("status").isin(list(statuses)))
+    return o.agg(F.sum("total_amount").alias("m"), F.count("id").alias("n")).select(
+        js_round(F.coalesce(js_round("m", 2), F.lit(0.0)) / F.greatest(dbl("n"), F.lit(1.0)), 2).alias("average_order_value"))

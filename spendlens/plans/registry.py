@@ -117,6 +117,13 @@ def q_clv_discounted(t: Tables) -> DataFrame:
     return scoring.clv_discounted(_rfm(t)).select("customer_id", _money(), "frequency", "aov", "clv_estimate")
 
 
+@query("clv_profile")
+def q_clv_profile(t: Tables) -> DataFrame:
+    """CLV-1 / AGG-13 over the whole profile, customers without orders included."""
+    return scoring.clv_discounted(_profile(t).select("customer_id", "monetary", "frequency")) \
+        .select("customer_id", _money(), "frequency", "aov", "clv_estimate")
+
+
 @query("clv_multiplier")
 def q_clv_multiplier(t: Tables) -> DataFrame:
     """CLV-2 over the customer profile."""
@@ -281,7 +288,7 @@ def q_monthly_revenue(t: Tables) -> DataFrame:
 @query("revenue_forecast")
 def q_revenue_forecast(t: Tables) -> DataFrame:
     """FC-1 / SET-1: history plus a 3-month forecast."""
-    aov = _kpis(t).select("average_order_value").scalar()
+    aov = summary.average_order_value(t.orders).scalar()
     return revenue.revenue_forecast(_monthly(t), aov)
 
 
@@ -424,10 +431,57 @@ def q_export_customers_json(t: Tables) -> DataFrame:
     """SNK-4: the first 100 customer records with their order lists."""
     first = _profile(t).orderBy("customer_id").limit(export.JSON_CUSTOMER_ROWS).select("customer_id")
     lists = prof.order_lists(t.orders, t.order_items, customers=first)
-    return export.export_customer_records(_profile(t), lists)
+    records = export.export_customer_records(_profile(t), lists)
+    return records.withColumn("orders", F.to_json("orders"))  # as text, to be compared
+
+
+@query("export_segments_json")
+def q_export_segments_json(t: Tables) -> DataFrame:
+    """SNK-4: the segment rows with the keys of the JSON export."""
+    return export.export_frame("segments", "json", summary=_summary(t))
+
+
+@query("export_products_json")
+def q_export_products_json(t: Tables) -> DataFrame:
+    """SNK-4: the product rows with the keys of the JSON export."""
+    return export.export_frame("products", "json", metrics=_product_metrics(t))
+
+
+@query("order_rows")
+def q_order_rows(t: Tables) -> DataFrame:
+    """ARR-1: every completed order with its position in its customer's history."""
+    return prof.order_rows(t.orders, t.order_items)
 
 
 # --------------------------------------------------------------------- ML
+@query("scaled_features")
+def q_scaled_features(t: Tables) -> DataFrame:
+    """ML-1: standardised recency, frequency and monetary (4 dp)."""
+    r = _rfm(t)
+    z = ml.standardize(r, ml.RFM_FEATURES, ml.scaling_stats(r, ml.RFM_FEATURES))
+    return z.select("customer_id", *[js_round(f"{c}_z", 4).alias(f"{c}_z") for c in ml.RFM_FEATURES])
+
+
+@query("label_profile")
+def q_label_profile(t: Tables) -> DataFrame:
+    """AGG-11 over a deterministic label: means and sizes by churn label."""
+    return ml.cluster_profile(scoring.churn_label(_rfm(t)).withColumnRenamed("churn_label", "cluster_label"))
+
+
+@query("split_sizes")
+def q_split_sizes(t: Tables) -> DataFrame:
+    """ML-3: rows of each class on each side of the stratified split."""
+    split = ml.stratified_split(scoring.churn_label(_rfm(t)).select("customer_id", "churn_label"), "churn_label", "customer_id")
+    return split.groupBy("churn_label", "is_train").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("risk_bands_json")
+def q_risk_bands_json(t: Tables) -> DataFrame:
+    """STR-1: the four bands as one struct, printed as JSON."""
+    return scoring.risk_bands(_scoring_input(t), as_struct=True).select(
+        "customer_id", F.to_json("risk_factor_breakdown").alias("bands"))
+
+
 def _model_input(t: Tables) -> DataFrame:
     f = t.ticket_features.select("customer_id", "support_tickets",
                                  F.col("satisfaction_rating").alias("satisfaction_score"))

@@ -22,7 +22,7 @@ def run_training_job(flat_orders: DataFrame, behaviour: DataFrame, snapshot, k:
                      seed: int = 42, churn_days: int = 90) -> dict[str, DataFrame]:
     ensure_checkpoint_dir(flat_orders.sparkSession)
     cleaned = clean.clean_orders(flat_orders)
-    base = rfm.rfm_base(orders_from_flat(cleaned), snapshot, statuses=None)
+    base = rfm.rfm_base(orders_from_flat(cleaned, with_time=True), snapshot, statuses=None, floor_timestamp=True)
     base = base.withColumn("monetary", dbl("monetary")).checkpoint(eager=True)  # read by every step below
     fence = rfm.monetary_fence(base)
     clustered, _ = ml.cluster_customers(base, k=k, seed=seed)

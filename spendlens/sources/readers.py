@@ -32,26 +32,28 @@ def read_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
 
 def read_orders_csv(spark: SparkSession, path: str) -> DataFrame:
     """Flat order file (order_id, customer_id, order_date, total_amount,
-    status) with the date parsed; a malformed date fails the read (ANSI)."""
-    df = spark.read.schema(schemas.ORDERS_CSV).option("header", True).csv(path)
+    status) with the date parsed; a malformed date or number fails the read."""
+    df = spark.read.schema(schemas.ORDERS_CSV).option("header", True).option("mode", "FAILFAST").csv(path)
     return cast_dates(df, ("order_date",))
 
 
 def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
     """Flat customer file (customer_id, signup_date, country)."""
-    df = spark.read.schema(schemas.CUSTOMERS_CSV).option("header", True).csv(path)
+    df = spark.read.schema(schemas.CUSTOMERS_CSV).option("header", True).option("mode", "FAILFAST").csv(path)
     return cast_dates(df, ("signup_date",))
 
 
 def read_scoring_input(spark: SparkSession, path: str) -> DataFrame:
-    """Batch scoring records (JSON lines with the six numeric inputs)."""
-    return spark.read.schema(schemas.SCORING_INPUT).json(path)
+    """Batch scoring records (JSON lines with the six numeric inputs); a malformed record fails the read."""
+    return spark.read.schema(schemas.SCORING_INPUT).option("mode", "FAILFAST").json(path)
 
 
-def orders_from_flat(flat: DataFrame) -> DataFrame:
-    """Flat order rows -> the canonical order columns used by the operators."""
+def orders_from_flat(flat: DataFrame, with_time: bool = False) -> DataFrame:
+    """Flat order rows -> the canonical order columns used by the operators;
+    ``with_time`` keeps the time of day of the order."""
+    kind = "timestamp_ntz" if with_time else "date"
     return flat.select(F.col("order_id").alias("id"), "customer_id",
-                       F.col("order_date").cast("date").alias("order_date"), "status",
+                       F.col("order_date").cast(kind).alias("order_date"), "status",
                        F.col("total_amount").cast("decimal(15,2)").alias("total_amount"))
 
 

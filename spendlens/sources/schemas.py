@@ -95,6 +95,12 @@ DEFAULTS = {
     "customer_segments": {"clv_estimated": 0.0, "churn_risk_probability": 0.0},
 }
 
+# Timestamps that default to the time of the load.
+LOAD_TIMES = {
+    "customers": ["created_at"], "categories": ["created_at"], "products": ["created_at"], "orders": ["created_at"],
+    "payments": ["payment_date"], "customer_segments": ["last_updated"],
+}
+
 # Primary keys and unique columns.
 UNIQUE_KEYS = {
     "customers": ["id", "email"],

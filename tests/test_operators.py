@@ -85,12 +85,14 @@ def test_paging_and_stats(spark):
     assert tuple(empty) == (0.0, 0.0, 0.0)
 
 
-def test_deep_page_uses_distributed_rank(spark, monkeypatch):
+def test_pages_and_their_arguments(spark):
     df = spark.range(50).select(F.format_string("%03d", "id").alias("customer_id"))
-    monkeypatch.setattr(search, "TOP_K_PAGE_ROWS", 20)
-    deep = [r[0] for r in search.customer_page(df, 4, 7, num_partitions=3).collect()]
-    assert deep == [f"{i:03d}" for i in range(21, 28)]
-    assert [r[0] for r in search.customer_page(df, 2, 7).collect()] == [f"{i:03d}" for i in range(7, 14)]
+    ids = lambda found: [r[0] for r in found.collect()]
+    assert ids(search.customer_page(df, 4, 7, num_partitions=3)) == [f"{i:03d}" for i in range(21, 28)]
+    assert ids(search.customer_page(df, "2abc", "2.5")) == ["002", "003"]
+    assert search._page_args("12abc", "2.5") == (12, 2) and search._page_args(None, "x") == (1, 10)
+    assert search._page_args("-3", "0") == (1, 10) and search._page_args(" 7", 3.9) == (7, 3)
+    assert ids(search.customer_page_after(df, "020", 3)) == ["021", "022", "023"] and len(ids(search.customer_page_after(df))) == 10
 
 
 def test_search_is_literal(spark):
@@ -186,37 +188,41 @@ def test_profile_signup_fallback(spark):
 
 
 def test_rfm_base_floor_timestamp(spark):
-    from decimal import Decimal
-    o = orders_df(spark, [("o1", "c1", D(2026, 5, 21), "completed", Decimal("10.00")),
-                          ("o2", None, D(2026, 5, 21), "completed", Decimal("10.00"))])
-    got = rfm_base(o, "2026-05-31").collect()
-    assert len(got) == 1 and got[0]["recency"] == 10
-    assert rfm_base(o, "2026-05-31", floor_timestamp=True).first()["recency"] == 10
+    rows = [("o1", "c1", dt.datetime(2026, 5, 30, 10, 0), "completed", 10.0), ("o2", None, dt.datetime(2026, 5, 21), "completed", 10.0),
+            ("o3", "c2", dt.datetime(2026, 5, 30, 0, 0), "completed", 10.0)]
+    o = spark.createDataFrame(rows, "id string, customer_id string, order_date timestamp_ntz, status string, total_amount double")
+    assert {r["customer_id"]: r["recency"] for r in rfm_base(o, "2026-05-31").collect()} == {"c1": 1, "c2": 1}
+    floored = rfm_base(o, "2026-05-31", floor_timestamp=True)
+    assert {r["customer_id"]: r["recency"] for r in floored.collect()} == {"c1": 0, "c2": 1}
 
 
-def test_order_lists_for_a_page(spark):
+def test_order_lists_and_rows(spark):
     from decimal import Decimal
-    from spendlens.operators.profile import order_lists
+    from spendlens.operators.profile import order_lists, order_rows
     o = orders_df(spark, [("o2", "c1", D(2026, 5, 2), "completed", Decimal("2.00")),
                           ("o1", "c1", D(2026, 5, 1), "completed", Decimal("1.00")),
                           ("o3", "c2", D(2026, 5, 1), "completed", Decimal("1.00"))])
     items = spark.createDataFrame([("o1",), ("o1",), ("o2",)], "order_id string")
-    page = spark.createDataFrame([("c1",)], "customer_id string")
-    got = order_lists(o, items, customers=page).collect()
-    assert len(got) == 1 and got[0]["orders_part"] == 0
-    assert [(e["id"], e["items_count"]) for e in got[0]["orders"]] == [("o1", 2), ("o2", 1)]
-
-
-def test_order_lists_split_a_huge_history(spark):
-    from decimal import Decimal
-    from spendlens.operators.profile import order_lists
-    rows = [(f"o{i:04d}", "hot", D(2020, 1, 1) + dt.timedelta(days=i), "completed", Decimal("1.00"))
-            for i in range(1000)] + [("x", "cold", D(2020, 1, 1), "completed", Decimal("1.00"))]
-    parts = order_lists(orders_df(spark, rows), max_per_row=300, num_partitions=4).collect()
-    hot = sorted((r for r in parts if r["customer_id"] == "hot"), key=lambda r: r["orders_part"])
-    assert [len(r["orders"]) for r in hot] == [300, 300, 300, 100]
-    ids = [e["id"] for r in hot for e in r["orders"]]
-    assert ids == sorted(ids) and len(set(ids)) == 1000
+    page = spark.createDataFrame([("c1",), ("c9",)], "customer_id string")
+    got = order_lists(o, items, page).collect()
+    assert len(got) == 1 and [(e["id"], e["itemsCount"]) for e in got[0]["orders"]] == [("o1", 2), ("o2", 1)]
+    rows = sorted((r["customer_id"], r["position"], r["id"], r["items_count"]) for r in order_rows(o, items).collect())
+    assert rows == [("c1", 0, "o1", 2), ("c1", 1, "o2", 1), ("c2", 0, "o3", 0)]
+
+
+def test_orders_by_month_split_a_big_month(spark, tmp_path):
+    from spendlens.plans.refresh import read_orders_by_month, write_orders_by_month
+    o = spark.range(60_000).select(F.col("id").cast("string").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("note"),
+                                   F.when(F.col("id") % 10 == 0, F.lit("2026-04-01")).otherwise(F.lit("2026-05-01")).cast("date").alias("order_date"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "256k")
+    try:
+        write_orders_by_month(o.repartition(8), str(tmp_path / "m"))
+    finally:
+        spark.conf.set(key, before)
+    assert len(list((tmp_path / "m" / "order_month=2026-05-01").glob("*.parquet"))) > 2
+    assert read_orders_by_month(spark, str(tmp_path / "m")).count() == 60_000
 
 
 def test_rfm_scores_unknown_recency_ranks_last(spark):

@@ -93,6 +93,8 @@ def test_stratified_split_exact_shares(spark):
     s = ml.stratified_split(df, "churn_label", "customer_id", 0.7, 42, num_partitions=4)
     got = {(r["churn_label"], r["is_train"]): r["count"] for r in s.groupBy("churn_label", "is_train").count().collect()}
     assert got[(1, True)] == 175 and got[(0, True)] == 525
+    assert ml.split_quotas({0: 7, 1: 8}, 0.7) == {0: 5, 1: 5} and ml.split_quotas({0: 1429}, 0.7) == {0: 1000}
+    assert ml.split_quotas({}, 0.7) == {} and sum(ml.split_quotas({0: 3, 1: 3, 2: 4}, 0.7).values()) == 7
     again = ml.stratified_split(df, "churn_label", "customer_id", 0.7, 42, num_partitions=3)
     assert sorted(s.filter("is_train").select("customer_id").collect()) == \
         sorted(again.filter("is_train").select("customer_id").collect())
@@ -110,6 +112,27 @@ def test_kmeans_labels_ordered_by_spend(spark):
     assert means == sorted(means, reverse=True) and sum(r["customers"] for r in prof) == 300
 
 
+def test_roc_auc_without_a_class(spark):
+    df = spark.createDataFrame([(1, 0.5), (1, 0.7)], "churn_label int, probability double")
+    assert ml.roc_auc(df).first()["roc_auc"] is None
+
+
+def test_clv_without_orders(spark):
+    from spendlens.operators import scoring
+    df = spark.createDataFrame([("a", 0.0, 0), ("b", 30.0, 3)], "customer_id string, monetary double, frequency long")
+    assert {r["customer_id"]: r["aov"] for r in scoring.clv_discounted(df).collect()} == {"a": 0.0, "b": 10.0}
+
+
+def test_training_job_counts_whole_days(spark):
+    from spendlens.sources.readers import orders_from_flat
+    import datetime as dt
+    from spendlens.operators import rfm
+    flat = spark.createDataFrame([("o1", "c1", dt.datetime(2026, 5, 30, 10, 0), 5.0, "completed")],
+                                 "order_id string, customer_id string, order_date timestamp, total_amount double, status string")
+    base = rfm.rfm_base(orders_from_flat(flat, with_time=True), "2026-05-31", statuses=None, floor_timestamp=True)
+    assert base.first()["recency"] == 0
+
+
 def test_training_job_end_to_end(spark):
     import datetime as dt
     from spendlens.plans.training_job import run_training_job
@@ -154,7 +177,14 @@ def test_export_frame_dispatch(spark):
     assert export.export_frame("segments", "csv", summary=summary).columns == export.SEGMENT_HEADERS
     assert export.export_frame(None, "csv", profile=prof).first()["Churn Risk (%)"] == "5%"
     rec = export.export_frame(None, "json", profile=prof).first()
-    assert rec["id"] == "c1" and rec["orders"] == "[]"
+    assert rec["id"] == "c1" and rec["orders"] == [] and rec["churnRisk"] == 5.0
+    assert export.export_frame("segments", "json", summary=summary).columns == [
+        "id", "name", "size", "percentage", "avgRecency", "avgFrequency", "avgMonetary", "description"]
+    lists = spark.createDataFrame([("c1", [(dt.date(2026, 5, 1), "o1", 10.0, 2)])], "customer_id string, orders " + export.ORDER_LIST)
+    out = tempfile.mkdtemp(prefix="spendlens-export-")
+    export.write_export(export.export_customer_records(prof, lists), out + "/json", "json", single_file=True)
+    with open(glob.glob(out + "/json/part-*.json")[0]) as fh:
+        assert json.loads(fh.readline())["orders"] == [{"date": "2026-05-01", "id": "o1", "amount": 10.0, "itemsCount": 2}]
 
 
 def test_check_all_equals_union_of_checks(spark):

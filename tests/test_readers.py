@@ -44,3 +44,20 @@ def test_write_table_partitioned(spark):
     readers.write_table(df, out, partition_by=["order_month"])
     back = spark.read.parquet(out).filter("order_month = '2026-02'")
     assert [r["id"] for r in back.collect()] == ["o2"]
+
+
+def test_malformed_numbers_fail_the_read(spark, tmp_path):
+    import pytest
+    from spendlens.sources import readers
+    (tmp_path / "o.csv").write_text("order_id,customer_id,order_date,total_amount,status\na,c,2026-01-01,12x,completed\n")
+    with pytest.raises(Exception):
+        readers.read_orders_csv(spark, str(tmp_path / "o.csv")).collect()
+    (tmp_path / "s.json").write_text('{"customer_id": "a", "recency": "x"}\n')
+    with pytest.raises(Exception):
+        readers.read_scoring_input(spark, str(tmp_path / "s.json")).collect()
+
+
+def test_load_times_are_filled(spark):
+    from spendlens.operators.clean import apply_defaults
+    df = spark.createDataFrame([("a", None)], "id string, created_at timestamp")
+    assert apply_defaults(df, "orders").first()["created_at"] is not None
