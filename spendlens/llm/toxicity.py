@@ -194,12 +194,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chance = 0.9 * SAMPLE / max(known.count(), 1)
     drawn = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11) < int(min(chance, 1.0) * (1 << 53))).limit(SAMPLE)
     table = (docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", F.col("text").cast("string").alias("text"))
-             .join(F.broadcast(drawn), "doc_id").select("text", "toxic").toArrow())
-    table = table.take(np.lexsort((table.column("text").to_pylist(),)) if table.num_rows else [])
-    column = table.column("text").combine_chunks()
-    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
-    ids, bounds = word_ids(column)
-    return train(ids, bounds, (table.column("toxic").to_numpy() > 0).astype(np.int64))
+             .join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toArrow())
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    ids, sizes = [np.zeros((0, len(PIECES)), np.int32)], [np.zeros(0, np.int64)]
+    for part in (p for batch in table.to_batches() for p in slices(batch, "text")):
+        own, bounds = word_ids(part.column("text"))
+        ids.append(own)
+        sizes.append(np.diff(bounds))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return train(np.concatenate(ids), bounds, (table.column("toxic").to_numpy() > 0).astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
