@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -168,8 +169,7 @@ def encode_piece(vocabulary: Vocabulary, data: bytes) -> list[int]:
             if step is None:
                 break
             if step > 1 and last[end] < 0:
-                token = step >> 1
-                token -= 1
+                token = (step >> 1) - 1
                 if start == 0:
                     last[end] = token
                 else:
@@ -195,7 +195,8 @@ class Encoder:
 
     def _packed(self, piece: str) -> bytes:
         data = piece.encode()
-        packed = np.array(encode_piece(self.vocabulary, data), "<u4").tobytes()
+        ids = encode_piece(self.vocabulary, data)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(data) <= CACHED_BYTES:
             if len(self._cache) >= CACHE:
                 self._cache.clear()
