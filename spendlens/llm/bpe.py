@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from spendlens.llm.store import ship
 
-CACHE = 400_000         #: pieces kept; only their speed depends on it
+CACHE = 200_000         #: pieces kept; only their speed depends on it
 CACHED_BYTES = 64       #: longer pieces are encoded anew each time
 
 
@@ -75,7 +75,7 @@ class Vocabulary:
         """Whether the encoding of both tokens' bytes is just these two tokens."""
         known = self.pairs.get(left << 20 | right)
         if known is None:
-            if len(self.pairs) > 2 * CACHE:
+            if len(self.pairs) > CACHE:
                 self.pairs.clear()
             known = self.pairs[left << 20 | right] = self._seam_holds(left, right)
         return known

@@ -41,7 +41,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     is under the threshold.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
