@@ -145,7 +145,8 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, p
         return F.filter(held, lambda b: F.size(b["words"]) >= least)
 
     n_words = F.when(text.rlike(WORD), F.size(F.filter(F.split(text, GAP), lambda x: x != ""))).otherwise(F.lit(0))
-    base = F.when(has_phrase, _let(_words(text), lambda w: _base(w, phrases)))
+    base = (F.when(has_phrase, _let(_words(text), lambda w: _base(w, phrases))) if phrases
+            else F.lit(None).cast("struct<at:array<int>,labels:array<string>>"))
     scanned = cut(docs.select(
         F.col("doc_id"), F.md5(text).alias("fingerprint"), n_words.cast("long").alias("n_words"), base.alias("base"),
         F.when(text.rlike(has_rare), blocks(F.split(text, "\n"))).otherwise(no_blocks).alias("blocks")), "scanned")
