@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.store import cut, ship
-from spendlens.llm.words import NOT_ALNUM, Words, slices
+from spendlens.llm.store import cut, release, ship
+from spendlens.llm.words import NOT_ALNUM, Words, forget_powers, slices
 
 PREDICT = 0.3           #: score from which the fixed prediction is 1
 HELD_OUT = 2            #: rows whose crc32(doc_id as text) mod 4 is this teach nothing
@@ -202,7 +202,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         ids.append(own)
         sizes.append(np.diff(bounds))
     bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    return train(np.concatenate(ids), bounds, (table.column("toxic").to_numpy() > 0).astype(np.int64))
+    known_toxic = (table.column("toxic").to_numpy() > 0).astype(np.int64)
+    words = np.concatenate(ids)
+    del table, ids  # the driver holds the words' buckets only while it trains
+    forget_powers()
+    model = train(words, bounds, known_toxic)
+    del words
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

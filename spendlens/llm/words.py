@@ -46,6 +46,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def forget_powers() -> None:
+    """Free the table of powers; the next call that needs it builds it again."""
+    _powers.clear()
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column (null: empty) and the n + 1 offsets of its rows."""
     column = column.cast(pa.large_string()).fill_null("")
