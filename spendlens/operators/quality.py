@@ -18,19 +18,50 @@ from spendlens.sources import schemas
 REPORT_COLS = ["rule", "table_name", "column_name", "checked_rows", "violations"]
 
 
-def _report(rule: str, table: str, df: DataFrame, tests: dict[str, Column]) -> DataFrame | None:
-    """One pass over ``df``: count of rows and of rows failing each test."""
+#: A column of this prefix holds a column's value as it was read, before the cast to its type.
+RAW = "raw_"
+
+
+def _raw(df: DataFrame, c: str) -> Column:
+    return F.col(RAW + c) if RAW + c in df.columns else F.col(c)
+
+
+def _row_tests(t: str, df: DataFrame) -> list[tuple[str, str, Column]]:
+    """(rule, column, failing-row test) of every per-row check on one table."""
+    if t not in schemas.TABLES:
+        return []
+    tests = [("not_null", c, _raw(df, c).isNull()) for c in schemas.not_null_columns(t) if c in df.columns]
+    tests += [("domain", c, F.col(c).isNotNull() & ~F.col(c).isin(vals))
+              for (tt, c), vals in schemas.ENUMS.items() if tt == t and c in df.columns]
+    for (tt, c), (lo, hi) in schemas.RANGES.items():
+        if tt == t and c in df.columns:
+            cond = F.lit(False)
+            if lo is not None:
+                cond = cond | (F.col(c) < lo)
+            if hi is not None:
+                cond = cond | (F.col(c) > hi)
+            tests.append(("range", c, F.coalesce(cond, F.lit(False))))
+    tests += [("range", f"{c}:decimal({p},{sc})",
+               _raw(df, c).isNotNull() & _raw(df, c).try_cast(f"decimal({p},{sc})").isNull())
+              for (tt, c), (p, sc) in schemas.PRECISION.items() if tt == t and c in df.columns]
+    tests += [("length", c, F.coalesce(F.char_length(c) > n, F.lit(False)))
+              for (tt, c), n in schemas.MAX_LENGTHS.items() if tt == t and c in df.columns]
+    return tests
+
+
+def _row_report(t: str, df: DataFrame, rules: set[str]) -> DataFrame | None:
+    """One pass over ``df``: count of rows and of rows failing each test of ``rules``."""
+    tests = [test for test in _row_tests(t, df) if test[0] in rules]
     if not tests:
         return None
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    aggs += [F.count_if(t).alias(f"__v{i}") for i, t in enumerate(tests.values())]
-    row = df.agg(*aggs)
+    row = df.agg(F.count(F.lit(1)).alias("__n"),
+                 *[F.count_if(cond).alias(f"__v{i}") for i, (_, _, cond) in enumerate(tests)])
     stacked = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"__v{i}").cast("long").alias("violations"))
-        for i, c in enumerate(tests)]))
+        F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column_name"),
+                 F.col(f"__v{i}").cast("long").alias("violations"))
+        for i, (rule, c, _) in enumerate(tests)]))
     return (row.select(F.col("__n").cast("long").alias("checked_rows"), stacked.alias("s"))
-            .select(F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), "s.column_name",
-                    "checked_rows", "s.violations"))
+            .select("s.rule", F.lit(t).alias("table_name"), "s.column_name", "checked_rows", "s.violations"))
 
 
 REPORT_SCHEMA = "rule string, table_name string, column_name string, checked_rows long, violations long"
@@ -45,11 +76,8 @@ def _union(frames, tables: dict[str, DataFrame] | None = None) -> DataFrame:
 
 
 def check_not_null(tables: dict[str, DataFrame]) -> DataFrame:
-    """NOT NULL columns that hold NULLs."""
-    return _union([
-        _report("not_null", t, df, {c: F.col(c).isNull() for c in schemas.not_null_columns(t)
-                                    if c in df.columns})
-        for t, df in tables.items() if t in schemas.TABLES], tables)
+    """NOT NULL columns that hold NULLs (as read, where the frame has the raw column)."""
+    return _union([_row_report(t, df, {"not_null"}) for t, df in tables.items()], tables)
 
 
 def check_unique(tables: dict[str, DataFrame]) -> DataFrame:
@@ -99,79 +127,25 @@ def check_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
 def check_domains(tables: dict[str, DataFrame]) -> DataFrame:
     """Enumerated columns holding a value outside the allowed set (NULLs are
     the not-null check's business)."""
-    return _union([
-        _report("domain", t, df, {c: F.col(c).isNotNull() & ~F.col(c).isin(vals)
-                                  for (tt, c), vals in schemas.ENUMS.items() if tt == t and c in df.columns})
-        for t, df in tables.items()], tables)
+    return _union([_row_report(t, df, {"domain"}) for t, df in tables.items()], tables)
 
 
 def check_ranges(tables: dict[str, DataFrame]) -> DataFrame:
-    """Numeric bounds and decimal precision (a value that does not fit the
-    declared DECIMAL(p, s))."""
-    frames = []
-    for t, df in tables.items():
-        tests = {}
-        for (tt, c), (lo, hi) in schemas.RANGES.items():
-            if tt == t and c in df.columns:
-                cond = F.lit(False)
-                if lo is not None:
-                    cond = cond | (F.col(c) < lo)
-                if hi is not None:
-                    cond = cond | (F.col(c) > hi)
-                tests[c] = F.coalesce(cond, F.lit(False))
-        for (tt, c), (p, s) in schemas.PRECISION.items():
-            if tt == t and c in df.columns:
-                tests[f"{c}:decimal({p},{s})"] = (F.col(c).isNotNull()
-                                                  & F.col(c).try_cast(f"decimal({p},{s})").isNull())
-        frames.append(_report("range", t, df, tests))
-    return _union(frames, tables)
+    """Numeric bounds and decimal precision: a value that does not fit the declared
+    DECIMAL(p, s) once rounded to s digits, or is no number.  A typed column
+    always fits its own type, so precision is tested on ``raw_<column>`` (the
+    value before the cast: text, double or a wider decimal) where the frame has it."""
+    return _union([_row_report(t, df, {"range"}) for t, df in tables.items()], tables)
 
 
 def check_lengths(tables: dict[str, DataFrame]) -> DataFrame:
     """VARCHAR(n) columns holding longer text."""
-    return _union([
-        _report("length", t, df, {c: F.coalesce(F.char_length(c) > n, F.lit(False))
-                                  for (tt, c), n in schemas.MAX_LENGTHS.items() if tt == t and c in df.columns})
-        for t, df in tables.items()], tables)
-
-
-def _row_tests(t: str, df: DataFrame) -> list[tuple[str, str, Column]]:
-    """(rule, column, failing-row test) of every per-row check on one table."""
-    tests = [("not_null", c, F.col(c).isNull()) for c in schemas.not_null_columns(t) if c in df.columns]
-    tests += [("domain", c, F.col(c).isNotNull() & ~F.col(c).isin(vals))
-              for (tt, c), vals in schemas.ENUMS.items() if tt == t and c in df.columns]
-    for (tt, c), (lo, hi) in schemas.RANGES.items():
-        if tt == t and c in df.columns:
-            cond = F.lit(False)
-            if lo is not None:
-                cond = cond | (F.col(c) < lo)
-            if hi is not None:
-                cond = cond | (F.col(c) > hi)
-            tests.append(("range", c, F.coalesce(cond, F.lit(False))))
-    tests += [("range", f"{c}:decimal({p},{sc})",
-               F.col(c).isNotNull() & F.col(c).try_cast(f"decimal({p},{sc})").isNull())
-              for (tt, c), (p, sc) in schemas.PRECISION.items() if tt == t and c in df.columns]
-    tests += [("length", c, F.coalesce(F.char_length(c) > n, F.lit(False)))
-              for (tt, c), n in schemas.MAX_LENGTHS.items() if tt == t and c in df.columns]
-    return tests
+    return _union([_row_report(t, df, {"length"}) for t, df in tables.items()], tables)
 
 
 def check_all(tables: dict[str, DataFrame]) -> DataFrame:
     """Every check in one report (not-null, unique, foreign keys, domains,
     ranges, lengths).  The per-row checks of a table share one aggregate
     pass over it; key and foreign-key checks group by key."""
-    frames = []
-    for t, df in tables.items():
-        tests = _row_tests(t, df) if t in schemas.TABLES else []
-        if not tests:
-            continue
-        row = df.agg(F.count(F.lit(1)).alias("__n"),
-                     *[F.count_if(cond).alias(f"__v{i}") for i, (_, _, cond) in enumerate(tests)])
-        stacked = F.explode(F.array(*[
-            F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column_name"),
-                     F.col(f"__v{i}").cast("long").alias("violations"))
-            for i, (rule, c, _) in enumerate(tests)]))
-        frames.append(row.select(F.col("__n").cast("long").alias("checked_rows"), stacked.alias("s"))
-                      .select("s.rule", F.lit(t).alias("table_name"), "s.column_name", "checked_rows",
-                              "s.violations"))
-    return _union(frames + [check_unique(tables), check_foreign_keys(tables)], tables)
+    rows = [_row_report(t, df, {"not_null", "domain", "range", "length"}) for t, df in tables.items()]
+    return _union(rows + [check_unique(tables), check_foreign_keys(tables)], tables)

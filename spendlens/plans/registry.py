@@ -85,8 +85,8 @@ def _tables_for_checks(t: Tables, scores: bool = True) -> dict[str, DataFrame]:
     """The canonical tables; ``scores=False`` hands checks that never read the
     quintile scores the customer_segments columns that need no ranking."""
     segs = _segments_table(t) if scores else _segment_facts(t)
-    return {"customers": t.customers, "categories": t.categories, "products": t.products,
-            "orders": t.orders, "order_items": t.order_items, "customer_segments": segs}
+    return {"customers": t.customers, "categories": t.categories, "products": t.raw_products,
+            "orders": t.raw_orders, "order_items": t.raw_order_items, "customer_segments": segs}
 
 
 # ----------------------------------------------------------------- RFM family

@@ -153,13 +153,9 @@ RANGES = {
     ("order_items", "quantity"): (0, None),
 }
 
-# Decimal precision a value must fit in (precision, scale).
-PRECISION = {
-    ("products", "price"): (10, 2),
-    ("orders", "total_amount"): (15, 2),
-    ("order_items", "unit_price"): (10, 2),
-    ("customer_segments", "monetary_spend"): (15, 2),
-}
+# Decimal precision a value must fit in (precision, scale): every DECIMAL column.
+PRECISION = {(t, f.name): (f.dataType.precision, f.dataType.scale)
+             for t, table in TABLES.items() for f in table.fields if isinstance(f.dataType, T.DecimalType)}
 
 
 def not_null_columns(table: str) -> list[str]:

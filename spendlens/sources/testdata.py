@@ -57,6 +57,10 @@ def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
+def _typed(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("raw_")])
+
+
 # Lazy adapter frames shared by every Tables of one session and folder: they
 # are plan definitions only (nothing computed), so reusing them just saves
 # rebuilding the same plans over the driver bridge.
@@ -105,6 +109,11 @@ class Tables:
 
     @property
     def orders(self) -> DataFrame:
+        return _typed(self.raw_orders)
+
+    @property
+    def raw_orders(self) -> DataFrame:
+        """Orders with the amounts as read beside the typed ones (``raw_*``), for the data-quality checks."""
         def build():
             o = self.raw("orders")
             status = (F.when(F.col("o_orderstatus") == "F", "completed")
@@ -119,8 +128,9 @@ class Tables:
                 F.lit(0).cast("decimal(10,2)").alias("shipping_cost"),
                 F.lit(0).cast("decimal(10,2)").alias("discount_amount"),
                 F.lit("unspecified").alias("payment_method"),
+                F.col("o_totalprice").alias("raw_total_amount"),
             )
-        return self._shared("orders", build)
+        return self._shared("raw_orders", build)
 
     @property
     def customers(self) -> DataFrame:
@@ -164,6 +174,11 @@ class Tables:
 
     @property
     def products(self) -> DataFrame:
+        return _typed(self.raw_products)
+
+    @property
+    def raw_products(self) -> DataFrame:
+        """Products with the amounts as read beside the typed ones (``raw_*``), for the data-quality checks."""
         def build():
             p = self.raw("part")
             cats = self.categories.select(F.col("id").alias("category_id"),
@@ -178,11 +193,17 @@ class Tables:
                          F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
                          F.lit(0).alias("stock_quantity"),
                          F.lit(5.0).cast("decimal(3,2)").alias("rating"),
+                         F.col("p_retailprice").alias("raw_price"),
                      ))
-        return self._shared("products", build)
+        return self._shared("raw_products", build)
 
     @property
     def order_items(self) -> DataFrame:
+        return _typed(self.raw_order_items)
+
+    @property
+    def raw_order_items(self) -> DataFrame:
+        """Order lines with the amounts as read beside the typed ones (``raw_*``), for the data-quality checks."""
         def build():
             li = self.raw("lineitem")
             return li.select(
@@ -194,8 +215,11 @@ class Tables:
                 (F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(10,2)").alias("discount_applied"),
                 F.col("l_extendedprice").cast("decimal(15,2)").alias("line_amount"),
                 (F.col("l_returnflag") == "R").alias("is_returned"),
+                F.try_divide("l_extendedprice", "l_quantity").alias("raw_unit_price"),
+                (F.col("l_extendedprice") * F.col("l_discount")).alias("raw_discount_applied"),
+                F.col("l_extendedprice").alias("raw_line_amount"),
             )
-        return self._shared("order_items", build)
+        return self._shared("raw_order_items", build)
 
     @property
     def ticket_features(self) -> DataFrame:

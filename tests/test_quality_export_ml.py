@@ -8,6 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from spendlens.operators import export, ml, quality
+from spendlens.sources import schemas
 
 
 def _violations(frame):
@@ -50,6 +51,41 @@ def test_range_and_precision(spark):
     assert v[("customer_segments", "monetary_spend:decimal(15,2)")] == 1
 
 
+def test_precision_of_values_before_the_cast(spark):
+    orders = spark.createDataFrame(
+        [("o1", "9999999999999.99"), ("o2", "10000000000000.00"), ("o3", "12x"), ("o4", None), ("o5", "9999999999999.999")],
+        "id string, raw_total_amount string").withColumn("total_amount", F.expr("try_cast(raw_total_amount AS decimal(15,2))"))
+    v = _violations(quality.check_ranges({"orders": orders}))
+    assert v[("orders", "total_amount:decimal(15,2)")] == 3  # too large, no number, too large once rounded
+    assert _violations(quality.check_not_null({"orders": orders}))[("orders", "total_amount")] == 1
+    typed = _violations(quality.check_ranges({"orders": orders.drop("raw_total_amount")}))
+    assert typed[("orders", "total_amount:decimal(15,2)")] == 0
+
+
+def test_every_decimal_column_has_a_precision_rule():
+    assert schemas.PRECISION == {
+        ("products", "price"): (10, 2), ("products", "rating"): (3, 2),
+        ("orders", "total_amount"): (15, 2), ("orders", "shipping_cost"): (10, 2), ("orders", "discount_amount"): (10, 2),
+        ("order_items", "unit_price"): (10, 2), ("order_items", "discount_applied"): (10, 2),
+        ("order_items", "line_amount"): (15, 2), ("payments", "amount"): (15, 2),
+        ("customer_segments", "monetary_spend"): (15, 2), ("customer_segments", "clv_estimated"): (15, 2),
+        ("customer_segments", "churn_risk_probability"): (5, 2)}
+
+
+def test_planted_payments(spark):
+    payments = spark.createDataFrame(
+        [(1, "o1", "12.50", "PayPal", "captured"), (1, "ghost", "99999999999999", "barter", "lost"), (2, None, None, None, None)],
+        "id int, order_id string, raw_amount string, payment_gateway string, transaction_status string"
+    ).withColumn("amount", F.expr("try_cast(raw_amount AS decimal(15,2))"))
+    tables = {"payments": payments, "orders": spark.createDataFrame([("o1",)], "id string")}
+    found = {(r["rule"], r["column_name"]): r["violations"]
+             for r in quality.check_all(tables).filter("table_name = 'payments'").collect()}
+    assert found[("unique", "id")] == 1 and found[("foreign_key", "order_id->orders.id")] == 1
+    assert found[("domain", "payment_gateway")] == 1 and found[("domain", "transaction_status")] == 1
+    assert found[("range", "amount:decimal(15,2)")] == 1
+    assert found[("not_null", "order_id")] == 1 and found[("not_null", "amount")] == 1
+
+
 def test_export_csv_round_trip(spark):
     summary = spark.createDataFrame([(1, "champions", "Champions", 3, 12.5, 10.0, 8.5, 100.25, "d"),
                                      (2, "loyalists", "Loyalists, \"quoted\"", 5, 20.0, 3.0, 2.0, 10.0, "d")],
