@@ -22,7 +22,12 @@ links are contracted to components; then all sets that share a key but are
 still in different components are compared, without any cap: as rows of pairs
 where few sets have the key, else in pairs of blocks, in which a tree of one
 block is walked once with all sets of the other.  Pairs inside a component
-can't change the components, so the result is that of all links.
+can't change the components, so the components are those of all links.
+
+The links themselves are counted afterwards (``counted``): a link never leaves
+its component, so the whole sets of each component are compared in pairs of
+blocks, every pair of different sets once.  Tasks return a number for each set,
+never the pairs.
 """
 
 from __future__ import annotations
@@ -296,6 +301,55 @@ def _block_links(group: str, similar: tuple[int, int]):
     return run
 
 
+#: Keys that one step of a block's overlaps takes at once: bounds a task's memory.
+KEYS_AT_ONCE = 4096
+
+
+def overlaps(keys: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of keys that each left set shares with each right set (positions in ``keys``)."""
+    sizes = np.array([len(k) for k in keys])
+    rows = np.repeat(np.arange(len(keys)), sizes)
+    _, column, held = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    shared = held > 1                                # a key of one set adds nothing
+    place = np.cumsum(shared) - 1
+    rows, column = rows[shared[column]], place[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, int(shared.sum()), KEYS_AT_ONCE):
+        a, b = np.searchsorted(column, (start, start + KEYS_AT_ONCE))
+        held_here = np.zeros((len(keys), KEYS_AT_ONCE), np.float32)  # sums of at most KEYS_AT_ONCE ones are exact
+        held_here[rows[a:b], column[a:b] - start] = 1
+        out += (held_here[left] @ held_here[right].T).astype(np.int64)
+    return out
+
+
+def _link_counts(similar: tuple[int, int]):
+    """Rows (component, s1, s2, n, copies, keys) in pairs of blocks -> (s1, s2, n, n_links): copies of the sets that each links with."""
+    t, of = similar
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, ["component"]):
+            s1, s2, n, copies, side = (rows.column(c).to_numpy() for c in ("s1", "s2", "n", "copies", "side"))
+            # rows repeated in the table come with the same set, in the same block
+            once = np.sort(np.unique(np.stack([s1, s2, n]), axis=1, return_index=True)[1])
+            s1, s2, n, copies, side = s1[once], s2[once], n[once], copies[once], side[once]
+            left, right = (np.flatnonzero(side != s) for s in (1, 0))
+            if not (len(left) and len(right)):
+                continue
+            raw = rows.column("keys").to_pylist()
+            both = overlaps([_keys(raw[i]) for i in once.tolist()], left, right)
+            linked = (of * both >= t * (n[left][:, None] + n[right][None, :] - both)) & (left[:, None] != right[None, :])
+            counts = np.zeros(len(n), np.int64)
+            counts[left] += linked @ copies[right]
+            if side[0] != 2:
+                counts[right] += copies[left] @ linked
+            some = counts > 0
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (s1, s2, n, counts)], ["s1", "s2", "n", "n_links"])
+    return run
+
+
 #: Partners in one tree: bounds a task's memory; a document with more gets several trees.
 TREE_SIZE = 1024
 
@@ -372,13 +426,16 @@ class NgramJoin:
         self.prefixes = cut(ordered.join(self.classes_of, ["rep", "s1", "s2", "n"], "left_semi").select("rep", "n", "keys"),
                             "prefixes")
 
+    def _ordered_wholes(self, wanted: DataFrame) -> DataFrame:
+        """(rep, n, s1, s2, keys) of the rows whose doc_id is in ``wanted``, computed again from their texts."""
+        return (self.docs.join(wanted, "doc_id", "left_semi")
+                .mapInArrow(_ordered_sets(self.size, self.ranks, None),
+                            "doc_id long, n long, s1 long, s2 long, keys binary").withColumnRenamed("doc_id", "rep"))
+
     def _whole_sets(self, reps: DataFrame) -> DataFrame:
         """(rep, n, keys) of the given representatives, computed again from their texts."""
         wanted = cut(reps.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-        ordered = (self.docs.join(wanted, "doc_id", "left_semi")
-                   .mapInArrow(_ordered_sets(self.size, self.ranks, None),
-                               "doc_id long, n long, s1 long, s2 long, keys binary").withColumnRenamed("doc_id", "rep"))
-        return cut(ordered.join(self.classes_of, ["rep", "s1", "s2", "n"], "left_semi").select("rep", "n", "keys"), "whole")
+        return cut(self._ordered_wholes(wanted).join(self.classes_of, ["rep", "s1", "s2", "n"], "left_semi").select("rep", "n", "keys"), "whole")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the candidate pairs (a, b) that link."""
@@ -459,21 +516,48 @@ class NgramJoin:
                     .filter("x <> y").select("key"), "keys")
         return cut(here.join(split, "key"), "postings")
 
-    def classes(self) -> DataFrame:
-        """(doc_id, n_shingles, representative, component_id), a row for each input row."""
+    def _labelled(self) -> tuple[DataFrame, DataFrame]:
+        """Rows (doc_id, n_shingles, representative, s1, s2), and the components (representative, component) of more than one."""
         member = cut(self.rows.join(self.classes_of, ["s1", "s2", "n"], "left")
-                     .select("doc_id", F.col("n").alias("n_shingles"),
+                     .select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2",
                              F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("representative")), "members")
         several = (member.groupBy("doc_id").agg(F.min("representative").alias("x"), F.max("representative").alias("y"))
                    .filter("x <> y").select("doc_id"))
         same_id = (member.join(several, "doc_id", "left_semi")
                    .select(F.col("doc_id").alias("a"), F.col("representative").alias("b")))
         labels = connected_components(self.links().unionByName(same_id), "a", "b")
-        labels = labels.select(F.col("node").alias("representative"), "component")
+        return member, labels.select(F.col("node").alias("representative"), "component")
+
+    def classes(self) -> DataFrame:
+        """(doc_id, n_shingles, representative, component_id), a row for each input row."""
+        member, labels = self._labelled()
         return (member.join(labels, "representative", "left")
                 .select("doc_id", "n_shingles", "representative",
                         F.coalesce("component", "representative").alias("component_id")))
 
+    def counted(self) -> DataFrame:
+        """``classes`` with n_links: the documents, each once for each of its different sets, whose set links with the row's."""
+        member, labels = self._labelled()
+        found = cut(member.join(labels, "representative", "left")
+                    .withColumn("component_id", F.coalesce("component", "representative")).drop("component"), "found")
+        sets = (found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", F.col("n_shingles").alias("n"))
+                .agg(F.count_distinct("doc_id").alias("copies"), F.min("representative").alias("rep"),
+                     F.min("component_id").alias("component")))
+        sets = cut(sets, "sets")
+        several = sets.groupBy("component").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("component")
+        own = cut(sets.join(several, "component", "left_semi"), "several")
+        wanted = cut(own.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+        rows = (self._ordered_wholes(wanted).join(own, ["rep", "s1", "s2", "n"])
+                .select("component", "rep", "s1", "s2", "n", "copies", "keys"))
+        links = cut(in_pairs_of_blocks(rows, ["component"], "rep", crowded(own, ["component"], BLOCK))
+                    .mapInArrow(_link_counts(self.similar), "s1 long, s2 long, n long, n_links long"), "counts")
+        links = links.groupBy("s1", "s2", "n").agg(F.sum("n_links").alias("others"))
+        per_set = (sets.join(links, ["s1", "s2", "n"], "left")
+                   .select("s1", "s2", F.col("n").alias("n_shingles"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+        n_links = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
+        return (found.join(per_set, ["s1", "s2", "n_shingles"], "left")
+                .select("doc_id", "n_shingles", "representative", "component_id", F.coalesce(n_links, F.lit(0)).alias("n_links")))
+
 
 def ngram_jaccard_join(docs: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Classes of documents linked by n-gram Jaccard similarity: (doc_id, n_shingles, representative, component_id).
@@ -487,6 +571,17 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SIZE, similar: tuple[int, in
     return NgramJoin(docs, size, similar).classes()
 
 
+def ngram_jaccard_links(docs: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """``ngram_jaccard_join`` with a further column n_links, the number of links of the row's set.
+
+    Counted are all other documents whose set links with the row's or equals
+    it; one whose rows hold several different sets that do counts with each of
+    them.  Copies of a text are counted, never paired off.  Rows without words
+    or without a doc_id have 0.
+    """
+    return NgramJoin(docs, size, similar).counted()
+
+
 def keep_one(docs: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Of each class of linked documents, the row of the document that names the class; all columns of ``docs``.
 

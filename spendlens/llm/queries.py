@@ -22,6 +22,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.ngram_jaccard_links(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -62,5 +67,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_warc, op4_url_filter, op5_license_scan, op6_byte_bpe,
+    f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_links, op2_toxicity, op3_warc, op4_url_filter, op5_license_scan, op6_byte_bpe,
                             op7_html_extract, op8_embedding_dedup, op9_quality_rules, op10_mixing)}
