@@ -37,7 +37,7 @@ BLOCK = frozenset("""address article aside blockquote body button caption center
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav
 ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul video""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object")  # without text of the page
+RAW = ("noscript", "template", "iframe", "svg")  # without text of the page up to their end tag; script and style also without one
 CLOSES = {  # a new tag ends open ones of these kinds, up to the nearest container
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"},
@@ -46,8 +46,9 @@ CONTAINER = frozenset("html body div section article main aside nav header foote
 _P_CLOSERS = BLOCK - {"html", "head", "body", "title", "button", "label", "option", "optgroup", "select", "textarea"}
 
 _TOKEN = re.compile(
-    r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"(?is)<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_ENDS = {tag: re.compile(rf"(?i)</{tag}\s*>") for tag in RAW}
 _NAMES = re.compile(r"(?is)\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"(?i)\shidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
@@ -123,13 +124,23 @@ def leaf_blocks(html: str, cache: dict | None = None) -> list[Block]:
                 return
 
     at = 0
-    for token in _TOKEN.finditer(html):
+    endless: set[str] = set()  # raw elements without an end tag in the rest of the page
+    while token := _TOKEN.search(html, at):
         if token.start() > at:
             add(html[at:token.start()])
         at = token.end()
         if token[3] is None:
             continue
         tag = token[3].lower()
+        empty = token[4].rstrip().endswith("/")
+        if tag in RAW and not token[2]:
+            if tag not in endless and not (empty and tag == "svg"):
+                end = _ENDS[tag].search(html, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+            continue
         if tag in BLOCK:
             flush()
         if token[2]:
@@ -146,7 +157,7 @@ def leaf_blocks(html: str, cache: dict | None = None) -> list[Block]:
             close(CLOSES[tag], stop=CONTAINER - CLOSES[tag])
         if tag in _P_CLOSERS:
             close({"p"})
-        if token[4] and token[4].rstrip().endswith("/") and tag not in BLOCK:
+        if empty and tag not in BLOCK:
             continue
         key = (tag, token[4])
         if key not in cache:
