@@ -12,6 +12,9 @@ most, which must still reach ceil(c * n) (positional filter).  What remains is
 counted exactly.  The templates are a parameter; their tables (a few hundred
 rows) are the only ones broadcast, and nothing grows with a hot word: blocks
 meet templates, never each other.
+
+Blocks are lines, or (``wrapped``) also paragraphs and runs of neighbouring
+lines, so that a notice wrapped over lines is found.
 """
 
 from __future__ import annotations
@@ -104,7 +107,7 @@ def _literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES,
-                 containment: tuple[int, int] = CONTAINMENT) -> DataFrame:
+                 containment: tuple[int, int] = CONTAINMENT, wrapped: bool = False) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): base places, labels of both kinds, and the places' blocks.
 
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels,
@@ -115,6 +118,12 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, p
     A null, empty or wordless text has no labels, no positions and score 0.
     Repeated rows and rows without a doc_id are scanned like any other; a text's
     length is not limited; other columns are ignored.
+
+    With ``wrapped`` the blocks are runs of neighbouring lines and paragraphs
+    (parted by lines without words).  A run skips lines without words and goes
+    from each line as far as the lines inside it hold together no more words
+    than the longest template.  A line is part of its run.  A run's block is the
+    line where it begins; paragraphs count on from the number of lines.
     """
     spark = docs.sparkSession
     t, of = containment
@@ -137,10 +146,33 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, p
     has_rare = any_of(rare) if rare else r"[^\s\S]"
     no_blocks = F.array().cast("array<struct<block:int,words:array<string>>>")
 
+    known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
+    longest = max((len(re.findall(WORD, x)) for texts in templates.values() for x in texts), default=0)
+
+    def runs(lines: Column) -> Column:
+        worded = F.filter(F.transform(lines, lambda line, i: F.struct(
+            i.alias("block"), line.rlike(has_rare).alias("rare"), F.array_intersect(_words(line), known).alias("words"),
+            F.size(_words(line)).alias("n"))), lambda x: x["n"] > 0)
+        state = "struct<words:array<string>,inner:int>"
+
+        def widened(acc: Column, x: Column) -> Column:
+            return F.when(acc["inner"] <= longest, F.struct(F.array_union(acc["words"], x["words"]), acc["inner"] + x["n"]).cast(state)).otherwise(acc)
+
+        def run_from(w: Column, x: Column, i: Column) -> Column:
+            whole = F.aggregate(F.slice(w, i + 2, F.lit(longest + 1)), F.struct(x["words"], F.lit(0)).cast(state), widened, lambda acc: acc["words"])
+            near = F.exists(F.slice(w, i + 1, F.lit(longest + 2)), lambda y: y["rare"])
+            return F.struct(x["block"].alias("block"), F.when(near, whole).alias("words"))
+
+        return _let(worded, lambda w: F.transform(w, lambda x, i: run_from(w, x, i)))
+
     def blocks(lines: Column) -> Column:
-        known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
         held = F.transform(lines, lambda line, i: F.struct(i.alias("block"), F.when(
             line.rlike(has_rare), F.array_intersect(_words(line), known)).alias("words")))
+        if wrapped:
+            edges = GAP.removesuffix("+")
+            paragraphs = F.transform(F.split(text, rf"\n{edges}*\n"), lambda part, i: F.struct(
+                (i + F.size(lines)).alias("block"), F.when(part.rlike(has_rare), F.array_intersect(_words(part), known)).alias("words")))
+            held = F.concat(runs(lines), paragraphs)
         least = min((needed for _, _, _, needed, _ in sizes), default=1)
         return F.filter(held, lambda b: F.size(b["words"]) >= least)
 

@@ -44,6 +44,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op5_license_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, sf_dir, "documents"), wrapped=True).drop("found")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.tokenize(docs, RANKS, public_tokenizers.PATTERN).drop("text")
@@ -67,5 +71,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_links, op2_toxicity, op3_warc, op4_url_filter, op5_license_scan, op6_byte_bpe,
+    f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_links, op2_toxicity, op3_warc, op4_url_filter, op5_license_scan, op5_license_wrapped, op6_byte_bpe,
                             op7_html_extract, op8_embedding_dedup, op9_quality_rules, op10_mixing)}
