@@ -7,9 +7,9 @@ block that holds at least ``CONTAINMENT`` of the template's distinct words.
 Template words are ordered by the number of documents of the whole corpus that
 have them, rare first.  A block that contains a template must hold one of its
 first n - ceil(c * n) + 1 words (prefix filter) and at least ceil(c * n) template
-words (length filter); a shared prefix word at position p leaves n - p words at
-most, which must still reach ceil(c * n) (positional filter).  What remains is
-counted exactly.  The templates are a parameter; their tables (a few hundred
+words (length filter, with the least size of all templates).  There is no
+positional filter: within the prefix, n - p words always suffice.  What remains
+is counted exactly.  The templates are a parameter; their tables (a few hundred
 rows) are the only ones broadcast, and nothing grows with a hot word: blocks
 meet templates, never each other.
 
