@@ -154,10 +154,84 @@ FROM measured
 """
 
 
+# CRC-32 of a short ASCII text, byte by byte and bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(KEY, ''), lambda ch: ord(ch)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.replace("KEY", "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM keyed WHERE k <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, left(role, 1) AS r
+  FROM damaged),
+marked AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') AS open_end,
+    lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM numbered),
+line AS (
+  SELECT conv_id, i, r, role, text, turn, blank, NOT blank AND again AS dup, NOT blank AND NOT again AND open_end AS trunc,
+    before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au') AS bad,
+    CASE WHEN blank OR again THEN 1000000000 WHEN open_end THEN 3 ELSE 0 END AS k
+  FROM marked),
+facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+    count_if(dup) AS dup, count_if(trunc) AS trunc, count_if(bad) AS bad
+  FROM line GROUP BY conv_id),
+row_costs AS (  -- before a row: costs of coming to the end from nothing yet, after system, after user, after assistant
+  SELECT conv_id, n + 1 AS i, [0, 6, 3, 0] AS c FROM facts
+  UNION ALL
+  SELECT conv_id, i, [least(e[1], 3 + e[3], 6 + e[4]), least(e[2], 3 + e[3], 6 + e[4]), least(e[3], 3 + e[4]), least(e[4], 3 + e[3])]
+  FROM (
+    SELECT l.conv_id, l.i, [
+      least(4 + c[1], CASE r WHEN 's' THEN k + c[2] WHEN 'u' THEN k + c[3] ELSE 1000000000 END, 3 + k + c[3]),
+      least(4 + c[2], CASE r WHEN 'u' THEN k + c[3] ELSE 1000000000 END, 3 + k + c[3]),
+      least(4 + c[3], CASE r WHEN 'a' THEN k + c[4] ELSE 1000000000 END, 3 + k + c[4]),
+      least(4 + c[4], CASE r WHEN 'u' THEN k + c[3] ELSE 1000000000 END, 3 + k + c[3])] AS e
+    FROM row_costs b JOIN line l ON l.conv_id IS NOT DISTINCT FROM b.conv_id AND l.i = b.i - 1)),
+walk AS (  -- q: 1 to 4, as in row_costs
+  SELECT conv_id, 1::BIGINT AS i, 1 AS q, '' AS audit, '' AS out FROM facts
+  UNION ALL
+  SELECT conv_id, CASE WHEN edit = 'I' THEN i ELSE i + 1 END,
+    CASE WHEN edit = 'D' THEN q WHEN edit = 'K' AND r = 's' THEN 2 WHEN q = 3 THEN 4 ELSE 3 END, audit || edit,
+    CASE WHEN edit = 'D' THEN out ELSE out || CASE WHEN out = '' THEN '' ELSE chr(10) END
+      || CASE WHEN edit = 'K' THEN role || ':' || text ELSE CASE WHEN q = 3 THEN 'assistant:' ELSE 'user:' END
+        || CASE WHEN edit = 'R' THEN text ELSE '' END END END
+  FROM (
+    SELECT w.*, l.r, l.role, l.text, CASE
+      WHEN l.i IS NULL THEN 'I'
+      WHEN 4 + t.c[w.q] = b.c[w.q] THEN 'D'
+      WHEN 3 + b.c[CASE WHEN w.q = 3 THEN 4 ELSE 3 END] = b.c[w.q] THEN 'I'
+      WHEN CASE WHEN w.q = 1 AND l.r = 's' THEN l.k + t.c[2] WHEN w.q <> 3 AND l.r = 'u' THEN l.k + t.c[3]
+        WHEN w.q = 3 AND l.r = 'a' THEN l.k + t.c[4] END = b.c[w.q] THEN 'K'
+      ELSE 'R' END AS edit
+    FROM walk w JOIN row_costs b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.i = w.i
+    LEFT JOIN line l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.i = w.i
+    LEFT JOIN row_costs t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+    WHERE l.i IS NOT NULL OR b.c[w.q] > 0))
+SELECT o.conv_id, coalesce(f.gaps, 0)::BIGINT AS gaps, coalesce(f.blank, 0)::BIGINT AS blank, coalesce(f.dup, 0)::BIGINT AS duplicate,
+  coalesce(f.trunc, 0)::BIGINT AS truncated, coalesce(f.bad, 0)::BIGINT AS illegal, coalesce(b.c[1], 0)::BIGINT AS cost,
+  coalesce(w.audit, '') AS audit, sha256(coalesce(w.out, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN row_costs b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.i = f.n + 1 AND [0, 6, 3, 0][w.q] = 0
+"""
+
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": NGRAM_JOIN,
     "op3_warc": WARC,
     "op4_url_filter": URL_FILTER,
     "op5_license_scan": _license_sql(),
     "op9_quality_rules": _quality_sql(),
+    "op12_conversation_repair": CONVERSATION_REPAIR,
 }

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import (bpe, embedding_dedup, html_extract, language_id, license_scan, mixing, ngram_join, quality_rules,
-                           toxicity, url_filter, warc)
+from spendlens.llm import (bpe, conversation_repair, embedding_dedup, html_extract, language_id, license_scan, mixing,
+                           ngram_join, quality_rules, toxicity, url_filter, warc)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -76,6 +76,12 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_digest(conversations, conversation_repair.damage(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_links, op2_toxicity, op3_warc, op4_url_filter, op5_license_scan, op5_license_wrapped, op6_byte_bpe,
-                            op7_html_extract, op8_embedding_dedup, op9_quality_rules, op10_mixing, op11_language_id)}
+                            op7_html_extract, op8_embedding_dedup, op9_quality_rules, op10_mixing, op11_language_id,
+                            op12_conversation_repair)}
