@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm import (bpe, conversation_repair, embedding_dedup, html_extract, language_id, license_scan, mixing,
-                           ngram_join, quality_rules, toxicity, url_filter, warc)
+                           ngram_join, quality_rules, token_align, toxicity, url_filter, warc)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +83,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digest(conversations, conversation_repair.damage(conversations))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.Alignment(_table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES).documents()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_links, op2_toxicity, op3_warc, op4_url_filter, op5_license_scan, op5_license_wrapped, op6_byte_bpe,
                             op7_html_extract, op8_embedding_dedup, op9_quality_rules, op10_mixing, op11_language_id,
-                            op12_conversation_repair)}
+                            op12_conversation_repair, op13_token_align)}
