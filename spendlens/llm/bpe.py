@@ -12,15 +12,15 @@ The table of last tokens grows byte by byte, so appending is exact, and after an
 edit only the prefixes from the edit on change, until the table agrees with the
 old one again.
 
-A text is cut into pieces by the pattern first; equal pieces of a partition are
-encoded once (a bounded cache).
+A text is cut into pieces by the pattern first.  The tables of all new pieces of
+a slice of texts are filled side by side in numpy, one place of the prefixes
+after another; pieces and pairs seen before are kept in bounded caches.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.llm.store import ship
+from spendlens.llm.words import slices
 
-CACHE = 200_000         #: pieces kept; only their speed depends on it
-CACHED_BYTES = 64       #: longer pieces are encoded anew each time
+CACHE = 300_000         #: pieces of a generation of the cache, which has two; only speed depends on it
+PAIRS = 4_000_000       #: pairs of tokens whose seam is known; only speed depends on it
+CACHED_CHARS = 64       #: longer pieces are encoded alone and anew each time
 
 
 class Vocabulary:
@@ -50,6 +52,15 @@ class Vocabulary:
             for i in range(1, len(data)):
                 self.walk[data[:i]] = self.walk.get(data[:i], 0) | 1
         self.longest = max(map(len, self.rank), default=0)
+        self.size = np.array([len(data) for data in self.token], np.int64)
+        # the same as a trie: node << 8 | byte -> node, the token of a node (or -1), whether it goes on
+        node = {data: i for i, data in enumerate(self.walk, 1)} | {b"": 0}
+        edges = sorted((node[data[:-1]] << 8 | data[-1], node[data]) for data in self.walk)
+        self.edges, self.target = (np.array(c, np.int64) for c in (zip(*edges) if edges else ((), ())))
+        self.node_token, self.node_open = np.full(len(node), -1, np.int64), np.zeros(len(node), bool)
+        for data, step in self.walk.items():
+            self.node_token[node[data]], self.node_open[node[data]] = (step >> 1) - 1, step & 1
+        self.seams, self.holds = np.zeros(0, np.int64), np.zeros(0, bool)  # known pairs in order, and whether they fit
         self._parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}  # by left << 20 | right
 
@@ -75,11 +86,29 @@ class Vocabulary:
         """Whether the encoding of both tokens' bytes is just these two tokens."""
         known = self.pairs.get(left << 20 | right)
         if known is None:
-            if len(self.pairs) > CACHE:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[left << 20 | right] = self._seam_holds(left, right)
         return known
 
+    def fit(self, pairs: np.ndarray) -> np.ndarray:
+        """``fits`` of many pairs (left << 20 | right)."""
+        at = np.searchsorted(self.seams, pairs)
+        seen = np.zeros(len(pairs), bool)
+        inside = at < len(self.seams)
+        seen[inside] = self.seams[at[inside]] == pairs[inside]
+        new = np.unique(pairs[~seen])
+        if len(new):
+            if len(self.seams) > PAIRS:  # keep those in use
+                used = np.unique(at[seen])
+                self.seams, self.holds = self.seams[used], self.holds[used]
+            mask = (1 << 20) - 1
+            found = np.array([self._seam_holds(p >> 20, p & mask) for p in new.tolist()])
+            place = np.searchsorted(self.seams, new)
+            self.seams, self.holds = np.insert(self.seams, place, new), np.insert(self.holds, place, found)
+            at = np.searchsorted(self.seams, pairs)
+        return self.holds[at]
+
     def _seam_holds(self, left: int, right: int) -> bool:
         # Undo the latest merge beside the seam, again and again: the two tokens then at the seam were
         # there together before that merge, so the seam is lost if they merge with an earlier rank.  With
@@ -185,28 +214,88 @@ def encode_piece(vocabulary: Vocabulary, data: bytes) -> list[int]:
     return out[::-1]
 
 
+def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> list[bytes]:
+    """``encode_piece`` of many pieces (none empty), side by side; ids as little-endian unsigned 32-bit integers.
+
+    First all tokens that begin at each byte are found along the trie.  Then, for one place of the pieces after
+    another, the tokens that begin there are tried behind the last token before that place.
+    """
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    x = np.frombuffer(b"".join(pieces), np.uint8)
+    ends = np.cumsum(sizes)
+    first = ends - sizes
+    stop, place = np.repeat(ends, sizes), np.arange(len(x)) - np.repeat(first, sizes)
+    at, node, depth = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+    starts, lasts, tokens = [], [], []
+    while len(at):
+        key = node << 8 | x[at + depth]
+        i = np.minimum(np.searchsorted(vocabulary.edges, key), len(vocabulary.edges) - 1)
+        hit = vocabulary.edges[i] == key
+        at, node = at[hit], vocabulary.target[i[hit]]
+        token = vocabulary.node_token[node]
+        is_token = token >= 0
+        starts.append(at[is_token]), lasts.append(at[is_token] + depth), tokens.append(token[is_token])
+        depth += 1
+        on = vocabulary.node_open[node] & (at + depth < stop[at])
+        at, node = at[on], node[on]
+    start, end, token = (np.concatenate(c) for c in (starts, lasts, tokens))
+    order = np.argsort(place[start], kind="stable")
+    start, end, token = start[order], end[order], token[order]
+    edges = np.searchsorted(place[start], np.arange(int(sizes.max()) + 1))
+    last = np.full(len(x), -1, np.int64)   # the last token of the prefix that ends with each byte
+    last[end[:edges[1]]] = token[:edges[1]]
+    for a, b in zip(edges[1:-1].tolist(), edges[2:].tolist()):
+        open_ = np.flatnonzero(last[end[a:b]] < 0) + a
+        fits = open_[vocabulary.fit(last[start[open_] - 1] << 20 | token[open_])]
+        last[end[fits]] = token[fits]
+    piece, at = np.arange(len(pieces)), ends - 1
+    owners, found = [], []
+    while len(piece):
+        token = last[at]
+        if (token < 0).any():
+            raise ValueError("a byte has no token")
+        owners.append(piece), found.append(token)
+        at = at - vocabulary.size[token]
+        on = at >= first[piece]
+        piece, at = piece[on], at[on]
+    owner, ids = np.concatenate(owners[::-1]), np.concatenate(found[::-1])  # the last tokens were found first
+    order = np.argsort(owner, kind="stable")
+    data, cuts = ids[order].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()
+    return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
 class Encoder:
     """Texts to ids and back; pieces come from the pattern."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern)
-        self._cache: dict[str, bytes] = {}
-
-    def _packed(self, piece: str) -> bytes:
-        data = piece.encode()
-        ids = encode_piece(self.vocabulary, data)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(data) <= CACHED_BYTES:
-            if len(self._cache) >= CACHE:
-                self._cache.clear()
-            self._cache[piece] = packed
-        return packed
+        self._young: dict[str, bytes] = {}   # a full generation becomes the old one; pieces met again move on
+        self._old: dict[str, bytes] = {}
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [self.pieces.findall(text) for text in texts]
+        if len(self._young) >= CACHE:
+            self._old, self._young = self._young, {}
+        known, old = self._young, self._old
+        new, long = [], {}
+        for piece in {p for pieces in cut for p in pieces if p not in known}:
+            if piece in old:
+                known[piece] = old[piece]
+            elif len(piece) <= CACHED_CHARS:
+                new.append(piece)
+            elif piece:
+                long[piece] = np.array(encode_piece(self.vocabulary, piece.encode()), "<u4").tobytes()
+        new = [p for p in new if p]
+        if new:
+            known.update(zip(new, encode_pieces(self.vocabulary, [p.encode() for p in new])))
+        if not long:
+            return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        return [b"".join([known[p] if p in known else long[p] for p in pieces]) for pieces in cut]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        known, packed = self._cache.get, self._packed
-        return b"".join([known(p) or packed(p) for p in self.pieces.findall(text)])
+        return self.encode_texts([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -225,11 +314,10 @@ def encoder(path: str, pattern: str) -> Encoder:
 def _encode(path: str, pattern: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             columns = list(batch.columns)
             n, hashes, back, ids_out = [], [], [], []
-            for text in batch.column("text"):
-                ids = own.encode(text.as_py() or "")
+            for ids in own.encode_texts([text or "" for text in batch.column("text").to_pylist()]):
                 n.append(len(ids) // 4)
                 hashes.append(hashlib.sha256(ids).hexdigest())
                 back.append(hashlib.sha256(own.decode(ids)).hexdigest())

@@ -132,3 +132,18 @@ def test_damaged_archives_are_errors():
     head = {"warc-type": "response", "warc-payload-digest": "sha1:" + "0" * 40}
     with pytest.raises(ValueError):
         warc.entry(0, 1, head, b"x")
+
+
+def test_pieces_side_by_side_equal_single_ones_and_caches_turn_over(monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    monkeypatch.setattr(bpe, "PAIRS", 300)
+    monkeypatch.setattr(bpe, "CACHED_CHARS", 12)
+    own = bpe.Encoder(bpe.Vocabulary.load(PATH), P.PATTERN)
+    texts = ["".join(rng.choices("abeinorst Aéß日\n.,1'", k=rng.randint(0, 60))) for _ in range(300)]
+    for i in range(0, 300, 20):
+        for text, ids in zip(texts[i:i + 20], own.encode_texts(texts[i:i + 20])):
+            assert np.frombuffer(ids, "<u4").tolist() == [n for p in own.pieces.findall(text) for n in bpe.encode_piece(own.vocabulary, p.encode())]
+            assert own.decode(ids) == text.encode()
+    assert len(own._young) < 50 + 20 * 60 and own._old
+    assert own.encode_texts(texts[:20]) == own.encode_texts(texts[:20])
