@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from spendlens.functions import dbl, js_round
 from spendlens.functions import labels as L
-from spendlens.operators.ranking import with_global_row_number, with_global_running_sum
+from spendlens.operators.ranking import with_global_row_number, with_tied_running_sum
 from spendlens.operators.rfm import COMPLETED, completed_orders
 
 
@@ -28,24 +28,17 @@ def pareto_customers(orders: DataFrame, top_pct: int = 25, statuses=COMPLETED,
     """Per customer: total_spend, customer_rank (spend descending, ties by
     customer id), percentile (rank / n * 100), running_spend (sum of all
     spends >= this one: tied spends share a value), cumulative_revenue and
-    the bracket label.  Every global order is computed distributed."""
-    spend = customer_spend(orders, statuses)
-    ranked = with_global_row_number(
-        spend, [F.col("total_spend").desc(), F.col("customer_id").asc()],
-        "customer_rank", "total_customer_count", num_partitions)
-    # running sum with RANGE semantics: prefix sums over distinct spend values
-    levels = ranked.groupBy("total_spend").agg(F.sum("total_spend").alias("level_sum"))
-    running = with_global_running_sum(levels, [F.col("total_spend").desc()], "level_sum",
-                                      "running_spend", num_partitions).drop("level_sum")
-    # grand total read from the checkpointed ranking, not a second pass over orders
-    total = ranked.select(F.sum("total_spend")).scalar()
-    return (ranked.join(running, "total_spend")
+    the bracket label.  All come from one distributed order, without a join
+    on the spend (``with_tied_running_sum``)."""
+    ranked = with_tied_running_sum(customer_spend(orders, statuses), "total_spend", "customer_id", "running_spend",
+                                   "customer_rank", "total_customer_count", "all_spend", num_partitions)
+    return (ranked
             .select("customer_id",
                     dbl("total_spend").alias("total_spend"),
                     "customer_rank",
                     (dbl("customer_rank") / dbl("total_customer_count") * F.lit(100.0)).alias("percentile"),
                     dbl("running_spend").alias("running_spend"),
-                    dbl(total).alias("cumulative_revenue"),
+                    dbl("all_spend").alias("cumulative_revenue"),
                     _bracket("customer_rank", "total_customer_count", top_pct).alias("customer_cohort")))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions import as_date, dbl, safe_ratio
-from spendlens.operators.ranking import with_global_row_number
+from spendlens.operators.ranking import with_group_position
 from spendlens.operators.rfm import COMPLETED, completed_orders, rfm_scores
 from spendlens.session import ensure_checkpoint_dir
 from spendlens.operators.scoring import (
@@ -40,14 +40,10 @@ def order_rows(orders: DataFrame, items: DataFrame | None = None, statuses=COMPL
     """One row for each order of each customer: customer_id, position (from 0,
     by date and id), date, id, amount, items_count.
 
-    The shape is the same for every history; positions come from a distributed
-    global row number, which spreads a customer with a huge history over many
-    tasks."""
-    ranked = with_global_row_number(_listed(orders, items, statuses), [F.col("customer_id").asc(), F.col("date").asc(),
-                                                                      F.col("id").asc()], "__rn", None, num_partitions)
-    first = ranked.groupBy("customer_id").agg(F.min("__rn").alias("__first"))
-    return (ranked.join(first, "customer_id")
-            .select("customer_id", (F.col("__rn") - F.col("__first")).alias("position"), "date", "id", "amount", "items_count"))
+    The shape is the same for every history; a customer with a huge history is
+    spread over many tasks, and no join meets its key (``with_group_position``)."""
+    placed = with_group_position(_listed(orders, items, statuses), "customer_id", ["date", "id"], "position", num_partitions)
+    return placed.select("customer_id", "position", "date", "id", "amount", "items_count")
 
 
 def _listed(orders: DataFrame, items: DataFrame | None, statuses) -> DataFrame:

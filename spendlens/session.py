@@ -67,3 +67,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="spendlens-ckpt-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def stored(df, name: str):
+    """``df`` written once under the checkpoint folder and read back: later steps read the same rows, column by column."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/spendlens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

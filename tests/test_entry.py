@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from spendlens.plans.oracle import SQL
-from conftest import SF001, SF0001
+from paths import SF001, SF0001
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 

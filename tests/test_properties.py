@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF0001
+from paths import SF0001
 from spendlens.operators import search
 from spendlens.operators.ranking import with_global_ntile
 
