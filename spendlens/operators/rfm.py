@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions import as_date, dbl
 from spendlens.operators.ranking import with_global_row_number
+from spendlens.operators.selection import order_statistics
+from spendlens.session import stored
 
 COMPLETED = ("completed",)
 
@@ -86,45 +90,53 @@ def rfm_scores(rfm: DataFrame, buckets: int = 5, num_partitions: int | None = No
     return out.withColumn("rfm_code", F.concat(*(F.col(f"{name}_score").cast("string") for name, _, _ in measures)))
 
 
-def monetary_fence(rfm: DataFrame, k: float = 1.5, approx: bool = False,
-                   column: str = "monetary", num_partitions: int | None = None) -> DataFrame:
+def monetary_fence(rfm: DataFrame, k: float = 1.5, approx: bool = False, column: str = "monetary") -> DataFrame:
     """Box-plot upper fence of spend: q1, q3 (linear interpolation between
-    order statistics), iqr and ``q3 + k * iqr`` in one row.
+    order statistics), iqr and ``q3 + k * iqr`` in one row (nulls without values).
 
-    The exact quartiles come from a distributed global row number: only the
-    (at most four) order statistics around each quartile are kept, so no task
-    ever holds the whole column.  ``approx=True`` uses ``percentile_approx``.
+    The column is stored once; the at most four order statistics come from
+    histogram refinement over it (``selection``): no sort, no range shuffle.
+    ``approx=True`` uses ``percentile_approx`` instead.
     """
     if approx:
         q = rfm.agg(F.percentile_approx(column, [0.25, 0.75], 100000).alias("q"))
         q = q.select(F.col("q")[0].cast("double").alias("q1"), F.col("q")[1].cast("double").alias("q3"))
     else:
-        ranked = with_global_row_number(rfm.select(column, "customer_id"),
-                                        [F.col(column).asc(), F.col("customer_id").asc()],
-                                        "__rn", "__n", num_partitions)
-        parts = []
-        for name, p in (("q1", 0.25), ("q3", 0.75)):
-            pos = (F.col("__n") - 1) * F.lit(p)
-            lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-            frac = pos - F.floor(pos)
-            v = dbl(column)
-            parts += [
-                F.max(F.when(F.col("__rn") == lo, v)).alias(f"{name}_lo"),
-                F.max(F.when(F.col("__rn") == hi, v)).alias(f"{name}_hi"),
-                F.max(F.when(F.col("__rn") == lo, frac)).alias(f"{name}_frac"),
-            ]
-        keep = ranked.filter(
-            F.col("__rn").isin(
-                F.floor((F.col("__n") - 1) * 0.25) + 1, F.ceil((F.col("__n") - 1) * 0.25) + 1,
-                F.floor((F.col("__n") - 1) * 0.75) + 1, F.ceil((F.col("__n") - 1) * 0.75) + 1))
-        q = keep.agg(*parts).select(
-            *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_frac")).alias(n)
-              for n in ("q1", "q3")])
+        q1, q3 = quartiles(stored(rfm.select(column), "spend"), column)
+        q = rfm.sparkSession.createDataFrame([(q1, q3)], "q1 double, q3 double")
+    return _fence(q, k)
+
+
+def _fence(q: DataFrame, k: float) -> DataFrame:
     return (q.withColumn("iqr", F.col("q3") - F.col("q1"))
              .withColumn("upper_fence", F.col("q3") + F.lit(float(k)) * F.col("iqr")))
 
 
+def quartiles(values: DataFrame, column: str) -> tuple[float | None, float | None]:
+    """First and third quartile of a stored column, interpolated linearly."""
+    places = (0.25, 0.75)
+    n, found = order_statistics(values, column, lambda n: [
+        r for p in places for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))])
+    if not n:
+        return None, None
+    out = []
+    for p in places:
+        at = (n - 1) * p
+        low, high = (float(found[r]) for r in (math.floor(at), math.ceil(at)))
+        out.append(low + (high - low) * (at - math.floor(at)))
+    return out[0], out[1]
+
+
+def spend_outliers(rfm: DataFrame, k: float = 1.5, column: str = "monetary") -> DataFrame:
+    """``rfm`` with ``is_outlier`` (spend above its upper fence).  ``rfm`` is computed and stored once: the fence and
+    the flags both read the stored rows."""
+    kept = stored(rfm, "rfm")
+    q1, q3 = quartiles(kept, column)
+    limit = None if q1 is None else q3 + float(k) * (q3 - q1)
+    return kept.withColumn("is_outlier", dbl(column) > F.lit(limit).cast("double"))
+
+
 def flag_outliers(rfm: DataFrame, fence: DataFrame, column: str = "monetary") -> DataFrame:
-    """Add ``is_outlier`` (spend above the fence).  Rows are never dropped."""
+    """Add ``is_outlier`` (spend above the given fence).  Rows are never dropped."""
     limit = fence.select("upper_fence").scalar()
     return rfm.withColumn("is_outlier", dbl(column) > limit)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions import as_date
-from spendlens.operators import catalog, cohort, export, profile, revenue, summary
+from spendlens.operators import catalog, cohort, export, profile, revenue, search, summary
 from spendlens.session import ensure_checkpoint_dir
 from spendlens.sources.readers import write_table
 from spendlens.sources.testdata import Tables
@@ -53,22 +53,29 @@ def month_pruned(orders: DataFrame, snapshot, months: int) -> DataFrame:
 
 
 def refresh_tables(t: Tables, folder: str | None = None) -> str:
-    """Write customer_profile, customer_segments, product_metrics and the
+    """Write customer_profile (in key order, with its page index), customer_segments, product_metrics and the
     month-partitioned orders under ``folder``; returns the folder."""
     folder = folder or default_folder(t.spark)
     write_orders_by_month(t.orders, f"{folder}/orders_by_month")
     prof = profile.customer_profile(t.customers, t.orders, t.feature_frames, t.snapshot)
-    write_table(prof, f"{folder}/customer_profile")
+    write_table(search.paged_profile(prof), f"{folder}/customer_profile")
     stored = t.spark.read.parquet(f"{folder}/customer_profile")
+    write_table(search.page_index(stored), f"{folder}/customer_page_index")
     write_table(profile.build_customer_segments(stored), f"{folder}/customer_segments")
     write_table(catalog.product_metrics(t.order_items, t.products), f"{folder}/product_metrics")
     return folder
 
 
+def customer_page(t: Tables, folder: str, segment: str = search.ALL, country: str = search.ALL, page=1, limit=10) -> DataFrame:
+    """A page of the stored profile through its page index."""
+    return search.customer_page_indexed(t.spark.read.parquet(f"{folder}/customer_profile"),
+                                        t.spark.read.parquet(f"{folder}/customer_page_index"), segment, country, page, limit)
+
+
 def reports(t: Tables, folder: str) -> dict[str, DataFrame]:
     """The dashboard reports over the stored tables (lazy frames)."""
     spark = t.spark
-    prof = spark.read.parquet(f"{folder}/customer_profile")
+    prof = spark.read.parquet(f"{folder}/customer_profile").drop("page_block")
     segs = spark.read.parquet(f"{folder}/customer_segments")
     products = spark.read.parquet(f"{folder}/product_metrics")
     seg_summary = summary.segment_summary(prof)

@@ -15,6 +15,7 @@ from spendlens.functions import dbl, js_round
 from spendlens.operators import catalog, clean, cohort, export, ml, pareto, quality, revenue, scoring, search, summary
 from spendlens.operators import profile as prof
 from spendlens.operators import rfm as rfm_ops
+from spendlens.session import stored
 from spendlens.sources.testdata import Tables, load_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,9 +107,7 @@ def q_monetary_fence(t: Tables) -> DataFrame:
 @query("spend_outliers")
 def q_spend_outliers(t: Tables) -> DataFrame:
     """AGG-10 flag: customers above the upper fence (rows are kept)."""
-    r = _rfm(t)
-    return (rfm_ops.flag_outliers(r, rfm_ops.monetary_fence(r))
-            .select("customer_id", _money(), "is_outlier"))
+    return rfm_ops.spend_outliers(_rfm(t)).select("customer_id", _money(), "is_outlier")
 
 
 @query("clv_discounted")
@@ -316,6 +315,15 @@ def q_customer_page(t: Tables) -> DataFrame:
         "customer_id", "name", "segment", "country", "recency", _money(), "churn_risk")
 
 
+@query("customer_page_indexed")
+def q_customer_page_indexed(t: Tables) -> DataFrame:
+    """PAG-1 over the stored profile and its page index: the page of customer_page, read as a key range."""
+    paged = stored(search.paged_profile(_profile(t)), "paged-profile")
+    index = stored(search.page_index(paged), "page-index")
+    return search.customer_page_indexed(paged, index, PAGE_SEGMENT, PAGE_COUNTRY, page=2, limit=10).select(
+        "customer_id", "name", "segment", "country", "recency", _money(), "churn_risk")
+
+
 @query("customer_page_info")
 def q_customer_page_info(t: Tables) -> DataFrame:
     """PAG-1 pagination block of the same filter."""
