@@ -58,11 +58,7 @@ def test_a_page_reads_a_key_range_and_ranks_nothing(spark, monkeypatch, tmp_path
     search.paged_profile(df).write.parquet(str(tmp_path / "p"))
     paged = spark.read.parquet(str(tmp_path / "p"))
     got = search.customer_page_indexed(paged, search.page_index(paged), "gold", "DE", 20, 5)
-    spark.conf.set("spark.sql.maxMetadataValueLength", "2000")
-    try:
-        plan = got._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.maxMetadataValueLength")
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
     assert "TakeOrderedAndProject" in plan and "GreaterThanOrEqual(customer_id" in plan and "LessThanOrEqual(customer_id" in plan
     assert "Window" not in plan and "Exchange" not in plan
     near = search.customer_page(df, 3, 10)._jdf.queryExecution().executedPlan().toString()
