@@ -67,19 +67,51 @@ def order_lists(orders: DataFrame, items: DataFrame | None, customers: DataFrame
             .agg(F.array_sort(F.collect_list(entry)).alias("orders")))
 
 
-def customer_profile(customers: DataFrame, orders: DataFrame, features, snapshot,
-                     statuses=COMPLETED) -> DataFrame:
+def customer_facts(orders: DataFrame, lines: DataFrame | None = None, statuses=COMPLETED) -> DataFrame:
+    """Everything the profile takes from orders and their lines, one row per customer, in one aggregate.
+
+    ``orders`` is scanned once: each order is told apart by status inside the
+    aggregate instead of filtered before it.  ``lines`` (order_id,
+    discount_rate) are folded per order first, so each order meets one row.
+    A query that reads no line column drops the lines from its plan.
+
+    frequency, monetary, last_order_date, items_listed: orders of ``statuses``;
+    first_date, last_date, discount_sum, n_lines: orders of any status."""
+    done = F.lit(True) if statuses is None else F.col("status").isin(list(statuses))
+    o = orders.filter(F.col("customer_id").isNotNull())
+    if lines is None:
+        o = o.withColumns({"n_items": F.lit(0).cast("long"), "discount": F.lit(None).cast("decimal(16,4)")})
+    else:
+        per_order = lines.groupBy(F.col("order_id").alias("__order")).agg(
+            F.count(F.lit(1)).alias("n_items"), F.sum("discount_rate").alias("discount"))
+        o = o.join(per_order, F.col("id") == F.col("__order"), "left")
+    mine = lambda c: F.when(done, F.col(c))
+    return o.groupBy("customer_id").agg(
+        F.count(mine("id")).alias("frequency"), F.sum(mine("total_amount")).alias("monetary"),
+        F.max(mine("order_date")).alias("last_order_date"), F.coalesce(F.sum(mine("n_items")), F.lit(0)).cast("int").alias("items_listed"),
+        F.min("order_date").alias("first_date"), F.max("order_date").alias("last_date"),
+        F.sum("discount").alias("discount_sum"), F.sum("n_items").alias("n_lines"))
+
+
+def customer_profile(customers: DataFrame, orders: DataFrame | None, features, snapshot,
+                     statuses=COMPLETED, facts: DataFrame | None = None) -> DataFrame:
     """``features``: one frame or a list of frames keyed by customer_id that
     carry support_tickets, discount_usage and satisfaction_rating (missing
-    values: 0 tickets, 0 % discount, rating 5)."""
+    values: 0 tickets, 0 % discount, rating 5).
+
+    With ``facts`` (``customer_facts``, perhaps with more columns) ``orders``
+    isn't read again, and the profile also holds orders_listed and items_listed.
+    A customer without a known status is inactive."""
     snap = as_date(snapshot)
-    per_customer = (completed_orders(orders, statuses)
-                    .groupBy("customer_id")
-                    .agg(F.count("id").alias("frequency"),
-                         F.sum("total_amount").alias("monetary"),
-                         F.max("order_date").alias("last_order_date")))
-    c = customers.select(F.col("id").alias("customer_id"), "first_name", "last_name", "email",
-                         "country", "signup_date", F.col("status").alias("customer_status"))
+    per_customer = facts
+    if facts is None:
+        per_customer = (completed_orders(orders, statuses)
+                        .groupBy("customer_id")
+                        .agg(F.count("id").alias("frequency"),
+                             F.sum("total_amount").alias("monetary"),
+                             F.max("order_date").alias("last_order_date")))
+    c = customers.select(F.col("id").alias("customer_id"), *(x for x in customers.columns if x in (
+        "first_name", "last_name", "email", "country", "signup_date", "status"))).withColumnRenamed("status", "customer_status")
     p = c.join(per_customer, "customer_id", "left")
     frames = features if isinstance(features, (list, tuple)) else ([features] if features is not None else [])
     for f in frames:
@@ -92,7 +124,8 @@ def customer_profile(customers: DataFrame, orders: DataFrame, features, snapshot
     p = p.select(
         "customer_id",
         F.concat(F.col("first_name"), F.lit(" "), F.col("last_name")).alias("name"),
-        "email", "country", "signup_date", "customer_status",
+        "email", "country", "signup_date",
+        F.coalesce("customer_status", F.lit("inactive")).alias("customer_status"),
         F.coalesce(F.col("frequency"), F.lit(0)).alias("frequency"),
         F.coalesce(F.col("monetary"), F.lit(0).cast("decimal(25,2)")).alias("monetary"),
         last.alias("last_purchase_date"),
@@ -100,6 +133,8 @@ def customer_profile(customers: DataFrame, orders: DataFrame, features, snapshot
         F.coalesce(F.col("support_tickets"), F.lit(0)).cast("int").alias("support_tickets"),
         F.coalesce(F.col("discount_usage"), F.lit(0.0)).alias("discount_usage"),
         F.coalesce(F.col("satisfaction_rating"), F.lit(5)).cast("int").alias("satisfaction_rating"),
+        *([] if facts is None else [F.coalesce(F.col("frequency"), F.lit(0)).cast("int").alias("orders_listed"),
+                                    F.coalesce(F.col("items_listed"), F.lit(0)).alias("items_listed")]),
     )
     return p.select(
         "*",

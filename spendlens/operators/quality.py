@@ -3,16 +3,19 @@
 Each check returns a violation frame ``(rule, table_name, column_name,
 checked_rows, violations)`` with one row per constrained column (zero
 violations included), so the frames union into one report.  Every table is
-scanned once per check with all its columns folded into a single aggregate.
+scanned once per check with all its columns folded into a single aggregate; a
+table that is being written is checked by that write (``write_checked``).
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from spendlens.session import stored
 from spendlens.sources import schemas
 
 REPORT_COLS = ["rule", "table_name", "column_name", "checked_rows", "violations"]
@@ -49,8 +52,36 @@ def _row_tests(t: str, df: DataFrame) -> list[tuple[str, str, Column]]:
     return tests
 
 
-def _row_report(t: str, df: DataFrame, rules: set[str]) -> DataFrame | None:
+class Checked(NamedTuple):
+    """A stored table with the report of its per-row checks, gathered while it was written."""
+
+    frame: DataFrame
+    report: DataFrame
+
+
+Table = DataFrame | Checked
+
+
+def _frame(table: Table) -> DataFrame:
+    return table.frame if isinstance(table, Checked) else table
+
+
+def write_checked(t: str, df: DataFrame, name: str) -> Checked:
+    """Store ``df`` (table ``t``) and run its per-row checks as metrics of that very write: the stored table isn't
+    read to be checked, nor computed twice."""
+    tests = _row_tests(t, df)
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("n"), *(F.count_if(cond).alias(f"v{i}") for i, (_, _, cond) in enumerate(tests))]
+    frame = stored(df.observe(seen, *metrics), name)
+    counts = seen.get
+    rows = [(rule, t, c, counts["n"], counts[f"v{i}"]) for i, (rule, c, _) in enumerate(tests)]
+    return Checked(frame, df.sparkSession.createDataFrame(rows, REPORT_SCHEMA))
+
+
+def _row_report(t: str, df: Table, rules: set[str]) -> DataFrame | None:
     """One pass over ``df``: count of rows and of rows failing each test of ``rules``."""
+    if isinstance(df, Checked):
+        return df.report.filter(F.col("rule").isin(sorted(rules)))
     tests = [test for test in _row_tests(t, df) if test[0] in rules]
     if not tests:
         return None
@@ -70,22 +101,22 @@ REPORT_SCHEMA = "rule string, table_name string, column_name string, checked_row
 def _union(frames, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     frames = [f.select(*REPORT_COLS) for f in frames if f is not None]
     if not frames:  # nothing to check: an empty report
-        spark = next(iter(tables.values())).sparkSession
+        spark = _frame(next(iter(tables.values()))).sparkSession
         return spark.createDataFrame([], REPORT_SCHEMA)
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def check_not_null(tables: dict[str, DataFrame]) -> DataFrame:
+def check_not_null(tables: dict[str, Table]) -> DataFrame:
     """NOT NULL columns that hold NULLs (as read, where the frame has the raw column)."""
     return _union([_row_report(t, df, {"not_null"}) for t, df in tables.items()], tables)
 
 
-def check_unique(tables: dict[str, DataFrame]) -> DataFrame:
+def check_unique(tables: dict[str, Table]) -> DataFrame:
     """Primary-key / UNIQUE columns: violations = rows beyond the first of
     each repeated non-NULL key (partial aggregation per key, so a hot key
     costs one row per map task)."""
     frames = []
-    for t, df in tables.items():
+    for t, df in ((t, _frame(table)) for t, table in tables.items()):
         for c in schemas.UNIQUE_KEYS.get(t, []):
             if c not in df.columns:
                 continue
@@ -102,35 +133,42 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > 1)
 
 
-def check_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
+def check_foreign_keys(tables: dict[str, Table]) -> DataFrame:
     """Child rows whose non-NULL key has no parent (checked_rows = child rows
-    with a key).  Child keys are counted per key first, so the join sees each
-    key once however hot it is."""
+    with a key).
+
+    The keys of a parent and of all its children go into one tagged union,
+    folded by key: one shuffle for each parent, whatever the number of its
+    children, without a distinct or a join.  Partial aggregation sends a key
+    once from each map task, however hot it is."""
     frames = []
-    for child, ccol, parent, pcol in schemas.FOREIGN_KEYS:
-        if child not in tables or parent not in tables:
+    for parent, pcol in dict.fromkeys((p, c) for _, _, p, c in schemas.FOREIGN_KEYS):
+        children = [(child, ccol) for child, ccol, *key in schemas.FOREIGN_KEYS if key == [parent, pcol] and child in tables]
+        if parent not in tables or not children:
             continue
-        keys = (tables[child].filter(F.col(ccol).isNotNull())
-                .groupBy(F.col(ccol).alias("__k")).agg(F.count(F.lit(1)).alias("__c")))
-        parents = (tables[parent].select(F.col(pcol).alias("__k")).filter(F.col("__k").isNotNull())
-                   .distinct().withColumn("__hit", F.lit(True)))
-        matched = keys.join(parents, "__k", "left")
-        frames.append(matched.agg(F.sum("__c").alias("n"),
-                                  F.sum(F.when(F.col("__hit").isNull(), F.col("__c"))).alias("v")).select(
-            F.lit("foreign_key").alias("rule"), F.lit(child).alias("table_name"),
-            F.lit(f"{ccol}->{parent}.{pcol}").alias("column_name"),
-            F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("checked_rows"),
-            F.coalesce(F.col("v"), F.lit(0)).cast("long").alias("violations")))
+        counts = lambda own: [F.lit(int(i == own)).cast("long").alias(f"__c{i}") for i in range(len(children))]
+        keys = [_frame(tables[parent]).select(F.col(pcol).alias("__k"), F.lit(True).alias("__hit"), *counts(None))]
+        keys += [_frame(tables[child]).select(F.col(ccol).alias("__k"), F.lit(False).alias("__hit"), *counts(i))
+                 for i, (child, ccol) in enumerate(children)]
+        folded = (reduce(lambda a, b: a.unionByName(b), keys).filter("__k IS NOT NULL").groupBy("__k")
+                  .agg(F.max("__hit").alias("__hit"), *(F.sum(f"__c{i}").alias(f"__c{i}") for i in range(len(children)))))
+        row = folded.agg(*(F.sum(f"__c{i}").alias(f"n{i}") for i in range(len(children))),
+                         *(F.sum(F.when(~F.col("__hit"), F.col(f"__c{i}"))).alias(f"v{i}") for i in range(len(children))))
+        frames.append(row.select(F.explode(F.array(*(F.struct(
+            F.lit("foreign_key").alias("rule"), F.lit(child).alias("table_name"), F.lit(f"{ccol}->{parent}.{pcol}").alias("column_name"),
+            F.coalesce(F.col(f"n{i}"), F.lit(0)).cast("long").alias("checked_rows"),
+            F.coalesce(F.col(f"v{i}"), F.lit(0)).cast("long").alias("violations"))
+            for i, (child, ccol) in enumerate(children)))).alias("s")).select("s.*"))
     return _union(frames, tables)
 
 
-def check_domains(tables: dict[str, DataFrame]) -> DataFrame:
+def check_domains(tables: dict[str, Table]) -> DataFrame:
     """Enumerated columns holding a value outside the allowed set (NULLs are
     the not-null check's business)."""
     return _union([_row_report(t, df, {"domain"}) for t, df in tables.items()], tables)
 
 
-def check_ranges(tables: dict[str, DataFrame]) -> DataFrame:
+def check_ranges(tables: dict[str, Table]) -> DataFrame:
     """Numeric bounds and decimal precision: a value that does not fit the declared
     DECIMAL(p, s) once rounded to s digits, or is no number.  A typed column
     always fits its own type, so precision is tested on ``raw_<column>`` (the
@@ -138,12 +176,12 @@ def check_ranges(tables: dict[str, DataFrame]) -> DataFrame:
     return _union([_row_report(t, df, {"range"}) for t, df in tables.items()], tables)
 
 
-def check_lengths(tables: dict[str, DataFrame]) -> DataFrame:
+def check_lengths(tables: dict[str, Table]) -> DataFrame:
     """VARCHAR(n) columns holding longer text."""
     return _union([_row_report(t, df, {"length"}) for t, df in tables.items()], tables)
 
 
-def check_all(tables: dict[str, DataFrame]) -> DataFrame:
+def check_all(tables: dict[str, Table]) -> DataFrame:
     """Every check in one report (not-null, unique, foreign keys, domains,
     ranges, lengths).  The per-row checks of a table share one aggregate
     pass over it; key and foreign-key checks group by key."""

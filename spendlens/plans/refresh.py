@@ -57,7 +57,7 @@ def refresh_tables(t: Tables, folder: str | None = None) -> str:
     month-partitioned orders under ``folder``; returns the folder."""
     folder = folder or default_folder(t.spark)
     write_orders_by_month(t.orders, f"{folder}/orders_by_month")
-    prof = profile.customer_profile(t.customers, t.orders, t.feature_frames, t.snapshot)
+    prof = profile.customer_profile(t.customer_base, None, t.ticket_features, t.snapshot, facts=t.customer_facts)
     write_table(search.paged_profile(prof), f"{folder}/customer_profile")
     stored = t.spark.read.parquet(f"{folder}/customer_profile")
     write_table(search.page_index(stored), f"{folder}/customer_page_index")

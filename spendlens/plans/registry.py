@@ -57,7 +57,7 @@ def _money():
 
 def _profile(t: Tables) -> DataFrame:
     return t._memo("profile", lambda: prof.customer_profile(
-        t.customers, t.orders, t.feature_frames, t.snapshot))
+        t.customer_base, None, t.ticket_features, t.snapshot, facts=t.customer_facts))
 
 
 def _segments_table(t: Tables) -> DataFrame:
@@ -82,10 +82,12 @@ def _scoring_input(t: Tables) -> DataFrame:
                               "discount_usage", F.col("satisfaction_rating").alias("satisfaction"))
 
 
-def _tables_for_checks(t: Tables, scores: bool = True) -> dict[str, DataFrame]:
-    """The canonical tables; ``scores=False`` hands checks that never read the
-    quintile scores the customer_segments columns that need no ranking."""
-    segs = _segments_table(t) if scores else _segment_facts(t)
+def _tables_for_checks(t: Tables, scores: bool = True) -> dict[str, quality.Table]:
+    """The canonical tables; customer_segments with its scores is written once,
+    its per-row checks being metrics of that write.  ``scores=False`` hands checks
+    that never read the scores the columns that need no ranking."""
+    segs = (t._memo("checked", lambda: quality.write_checked("customer_segments", _segments_table(t), "customer_segments"))
+            if scores else _segment_facts(t))
     return {"customers": t.customers, "categories": t.categories, "products": t.raw_products,
             "orders": t.raw_orders, "order_items": t.raw_order_items, "customer_segments": segs}
 
@@ -174,12 +176,9 @@ def q_pareto_summary(t: Tables) -> DataFrame:
 @query("customer_profile")
 def q_customer_profile(t: Tables) -> DataFrame:
     """AGG-15: the per-customer record (order list summarised by its size)."""
-    p = _profile(t).join(prof.order_activity(t.orders, t.order_items), "customer_id", "left")
-    return p.select("customer_id", "name", "email", "country", "signup_date", "segment", "recency",
-                    "frequency", _money(), "clv", "churn_risk", "active_status", "discount_usage",
-                    "support_tickets", "satisfaction_rating", "last_purchase_date",
-                    F.coalesce(F.col("orders_listed"), F.lit(0)).alias("orders_listed"),
-                    F.coalesce(F.col("items_listed"), F.lit(0)).alias("items_listed"))
+    return _profile(t).select("customer_id", "name", "email", "country", "signup_date", "segment", "recency",
+                              "frequency", _money(), "clv", "churn_risk", "active_status", "discount_usage",
+                              "support_tickets", "satisfaction_rating", "last_purchase_date", "orders_listed", "items_listed")
 
 
 @query("customer_segments")

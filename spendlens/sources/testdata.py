@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spendlens.functions import js_round
+from spendlens.operators import profile
 
 _SNAPSHOTS: dict[tuple[str, str], dt.date] = {}
 _SCHEMAS: dict[tuple[str, float], object] = {}
@@ -162,6 +163,33 @@ class Tables:
                      ))
         return self._shared("customers", build)
 
+    @property
+    def customer_base(self) -> DataFrame:
+        """``customers`` without what the adapter derives from orders (``customer_facts`` has it)."""
+        def build():
+            c = self.raw("customer")
+            n = F.broadcast(self.raw("nation").select("n_nationkey", "n_name"))  # a fixed 25 rows
+            parts = F.split(F.col("c_name"), "#")
+            return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
+                F.col("c_custkey").cast("string").alias("id"), parts.getItem(0).alias("first_name"), parts.getItem(1).alias("last_name"),
+                F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.com")).alias("email"),
+                F.col("n_name").alias("country"))
+        return self._shared("customer_base", build)
+
+    @property
+    def customer_facts(self) -> DataFrame:
+        """``profile.customer_facts`` with the adapter's signup_date, customer_status and discount_usage."""
+        def build():
+            lines = self.raw("lineitem").select(F.col("l_orderkey").cast("string").alias("order_id"),
+                                                F.col("l_discount").cast("decimal(6,4)").alias("discount_rate"))
+            facts = profile.customer_facts(self.orders, lines)
+            active = F.col("last_date") >= F.date_sub(F.lit(self.snapshot), 365)
+            usage = js_round(F.col("discount_sum").cast("double") * F.lit(100.0) / F.col("n_lines").cast("double"), 0)
+            return facts.select("customer_id", "frequency", "monetary", "last_order_date", "items_listed",
+                                F.col("first_date").alias("signup_date"), usage.alias("discount_usage"),
+                                F.when(active, "active").otherwise("inactive").alias("customer_status"))
+        return self._shared("customer_facts", build)
+
     @property
     def categories(self) -> DataFrame:
         def build():
