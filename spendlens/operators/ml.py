@@ -8,17 +8,20 @@ Scaling uses the population standard deviation (a constant column scales to
 from __future__ import annotations
 
 import math
+import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spendlens.functions import dbl, half_even, js_round
 from spendlens.operators.ranking import with_global_row_number, with_global_running_sum
+from spendlens.session import ensure_checkpoint_dir
 
 
 # ------------------------------------------------------------------ scaling
@@ -110,12 +113,38 @@ def stratified_split(df: DataFrame, label: str, key: str, train: float = 0.7, se
 CHURN_FEATURES = ["frequency", "monetary", "support_tickets", "satisfaction_score"]
 
 
+def scaling_stage(cols: list[str], stats: dict[str, tuple[float, float]], suffix: str = "_z") -> SQLTransformer:
+    """``standardize`` as a pipeline stage that can be saved: the statistics are exact constants of its SQL."""
+    z = [f"(CAST(`{c}` AS DOUBLE) - CAST('{m!r}' AS DOUBLE)) / CAST('{s!r}' AS DOUBLE)" if s > 0 else "CAST(0 AS DOUBLE)"
+         for c, (m, s) in ((c, stats[c]) for c in cols)]
+    return SQLTransformer(statement="SELECT *, " + ", ".join(f"{e} AS `{c}{suffix}`" for e, c in zip(z, cols)) + " FROM __THIS__")
+
+
+def save_pipeline(spark: SparkSession, stages: list, path: str | None = None) -> str:
+    """Save fitted stages as one pipeline, under the checkpoint folder unless ``path`` is given; returns its path."""
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/spendlens-model-{uuid.uuid4().hex}"
+    PipelineModel(stages=stages).write().overwrite().save(path)
+    return path
+
+
+def score_churn(df: DataFrame, path: str) -> DataFrame:
+    """``df`` (the raw features) with ``prediction`` and ``probability`` of class 1 by the pipeline saved at ``path``.
+
+    A loaded pipeline holds only what scoring needs; a model that was just
+    fitted also drags its training summary (and with it the session) into
+    every task."""
+    own = df.columns
+    scored = PipelineModel.load(path).transform(df)
+    return scored.select(*own, F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("probability"))
+
+
 def train_churn(df: DataFrame, label: str = "churn_label", key: str = "customer_id",
                 features: list[str] | None = None, seed: int = 42, train: float = 0.7,
-                max_iter: int = 100):
+                max_iter: int = 100, path: str | None = None):
     """Logistic regression (L2, C = 1 in the 0.5|w|^2 + C * sum(loss) form,
     i.e. regParam = 1 / n_train) on features standardised with training-set
-    statistics.  Returns (test predictions, model, coefficients frame)."""
+    statistics.  The scaling, the assembler and the model are saved as one pipeline (at ``path``, or under the
+    checkpoint folder), which is loaded again to score.  Returns (test predictions, model, coefficients frame)."""
     features = features or CHURN_FEATURES
     split = stratified_split(df, label, key, train, seed)
     tr = split.filter("is_train")
@@ -125,13 +154,10 @@ def train_churn(df: DataFrame, label: str = "churn_label", key: str = "customer_
     asm = VectorAssembler(inputCols=zcols, outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(n_train, 1),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
-    train_vec = asm.transform(standardize(tr, features, stats)).withColumn(label, dbl(label))
-    model = lr.fit(train_vec)
-    test = asm.transform(standardize(split.filter(~F.col("is_train")), features, stats))
-    pred = (model.transform(test.withColumn(label, dbl(label)))
-            .select(key, F.col(label).cast("int").alias(label),
-                    F.col("prediction").cast("int").alias("prediction"),
-                    vector_to_array("probability")[1].alias("probability")))
+    scaler = scaling_stage(features, stats)
+    model = lr.fit(asm.transform(scaler.transform(tr)).withColumn(label, dbl(label)))
+    path = save_pipeline(df.sparkSession, [scaler, asm, model], path)
+    pred = score_churn(split.filter(~F.col("is_train")).select(key, F.col(label).cast("int").alias(label), *features), path).drop(*features)
     spark = df.sparkSession
     coefs = spark.createDataFrame(
         [(f, float(w)) for f, w in zip(features, model.coefficients.toArray())] + [("intercept", float(model.intercept))],

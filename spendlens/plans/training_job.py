@@ -19,7 +19,8 @@ from spendlens.sources.readers import orders_from_flat
 
 
 def run_training_job(flat_orders: DataFrame, behaviour: DataFrame, snapshot, k: int = 4,
-                     seed: int = 42, churn_days: int = 90) -> dict[str, DataFrame]:
+                     seed: int = 42, churn_days: int = 90, model_path: str | None = None) -> dict[str, DataFrame]:
+    """``model_path``: where the fitted churn pipeline is saved, for ``ml.score_churn`` (default: the checkpoint folder)."""
     ensure_checkpoint_dir(flat_orders.sparkSession)
     cleaned = clean.clean_orders(flat_orders)
     base = rfm.rfm_base(orders_from_flat(cleaned, with_time=True), snapshot, statuses=None, floor_timestamp=True)
@@ -30,7 +31,7 @@ def run_training_job(flat_orders: DataFrame, behaviour: DataFrame, snapshot, k:
     labelled = scoring.churn_label(valued, churn_days)
     model_in = labelled.join(behaviour.select("customer_id", "support_tickets", "satisfaction_score"),
                              "customer_id", "left").fillna({"support_tickets": 0, "satisfaction_score": 5})
-    pred, _, coefs = ml.train_churn(model_in, seed=seed)
+    pred, _, coefs = ml.train_churn(model_in, seed=seed, path=model_path)
     return {
         "orders_clean": cleaned,
         "rfm": base,
