@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.llm.html_scan import next_tag
 from spendlens.llm.store import ship
 
 SAMPLE = 240
@@ -45,9 +46,6 @@ CLOSES = {  # a new tag ends open ones of these kinds, up to the nearest contain
 CONTAINER = frozenset("html body div section article main aside nav header footer form table ul ol dl td blockquote fieldset figure".split())
 _P_CLOSERS = BLOCK - {"html", "head", "body", "title", "button", "label", "option", "optgroup", "select", "textarea"}
 
-_TOKEN = re.compile(
-    r"(?is)<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ENDS = {tag: re.compile(rf"(?i)</{tag}\s*>") for tag in RAW}
 _NAMES = re.compile(r"(?is)\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -89,18 +87,18 @@ def leaf_blocks(html: str, cache: dict | None = None) -> list[Block]:
     """
     cache = {} if cache is None else cache
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
     text: list[str] = []
-    linked = links = 0
-    above: list[tuple[str, tuple[str, ...]]] = []
+    linked = 0
+    above: tuple[list[str], str] | None = None
 
     def add(raw: str) -> None:
         nonlocal linked, above
         piece = unescape(raw) if "&" in raw else raw
-        if not above and not piece.isspace():
-            above = list(stack)
+        if above is None and not piece.isspace():
+            above = (list(open_.features), open_.leaf())
         text.append(piece)
-        if links:
+        if open_.places.get("a"):
             linked += len(piece)
 
     def flush() -> None:
@@ -108,32 +106,20 @@ def leaf_blocks(html: str, cache: dict | None = None) -> list[Block]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                features = {f for _, own in above for f in own}
-                inner = next((t for t, _ in reversed(above) if t in BLOCK), "none")
+                features, inner = above or ([], "none")
                 blocks.append((joined, [*features, f"leaf:{inner}", *_text_features(joined, linked)]))
-        text, linked, above = [], 0, []
-
-    def close(kinds, stop=CONTAINER) -> None:
-        nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in kinds:
-                links -= sum(t == "a" for t, _ in stack[i:])
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
+        text, linked, above = [], 0, None
 
     at = 0
     endless: set[str] = set()  # raw elements without an end tag in the rest of the page
-    while token := _TOKEN.search(html, at):
-        if token.start() > at:
-            add(html[at:token.start()])
-        at = token.end()
-        if token[3] is None:
+    while found := next_tag(html, at):
+        if found.start > at:
+            add(html[at:found.start])
+        at, tag = found.end, found.name
+        if not tag:
             continue
-        tag = token[3].lower()
-        empty = token[4].rstrip().endswith("/")
-        if tag in RAW and not token[2]:
+        empty = found.attributes.rstrip().endswith("/")
+        if tag in RAW and not found.closing:
             if tag not in endless and not (empty and tag == "svg"):
                 end = _ENDS[tag].search(html, at)
                 if end:
@@ -143,35 +129,70 @@ def leaf_blocks(html: str, cache: dict | None = None) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-        if token[2]:
+        if found.closing:
             if tag == "br":
                 add(" ")
-            elif any(t == tag for t, _ in stack):
-                close({tag}, stop=())
+            else:
+                open_.close((tag,), ())
             continue
         if tag in ("br", "wbr", "img", "input"):
             add(" " if tag in ("br", "input") else "")
         if tag in VOID:
             continue
         if tag in CLOSES:
-            close(CLOSES[tag], stop=CONTAINER - CLOSES[tag])
+            open_.close(CLOSES[tag], CONTAINER - CLOSES[tag])
         if tag in _P_CLOSERS:
-            close({"p"})
+            open_.close(("p",), CONTAINER)
         if empty and tag not in BLOCK:
             continue
-        key = (tag, token[4])
+        key = (tag, found.attributes)
         if key not in cache:
             if len(cache) > 50_000:
                 cache.clear()
-            cache[key] = (tag, _element_features(tag, token[4]))
-        stack.append(cache[key])
-        links += tag == "a"
+            cache[key] = _element_features(tag, found.attributes)
+        open_.add(tag, cache[key])
     if at < len(html):
         add(html[at:])
     flush()
     return blocks
 
 
+class _Open:
+    """Open elements, with the features of all of them and each tag's places kept up to date."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.features: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[str] = []
+
+    def add(self, tag: str, features: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, features))
+        for f in features:
+            self.features[f] = self.features.get(f, 0) + 1
+        if tag in BLOCK:
+            self.blocks.append(tag)
+
+    def leaf(self) -> str:
+        return self.blocks[-1] if self.blocks else "none"
+
+    def close(self, kinds, stop) -> None:
+        """End the innermost element of ``kinds`` and all inside it, unless one of ``stop`` is nearer."""
+        at = max((own[-1] for k in kinds if (own := self.places.get(k))), default=-1)
+        if at < 0 or any(own[-1] > at for k in stop if (own := self.places.get(k))):
+            return
+        while len(self.stack) > at:
+            tag, features = self.stack.pop()
+            self.places[tag].pop()
+            for f in features:
+                self.features[f] -= 1
+                if not self.features[f]:
+                    del self.features[f]
+            if tag in BLOCK:
+                self.blocks.pop()
+
+
 # -- the chain ------------------------------------------------------------------------------------
 
 
@@ -346,7 +367,7 @@ def layouts(texts: list[list[str]], count: int = LAYOUTS, seed: int = SEED) -> I
         own = rng.choice(texts)
         kinds = list(OTHER_NAMES)
         body = []
-        for i, x in enumerate(own[:40]):
+        for i, x in enumerate(own):
             tag = rng.choice(["h1", "h2"]) if i == 0 and rng.random() < 0.5 else rng.choice(["p"] * 12 + ["h2", "h3", "blockquote", "li", "pre", "div"])
             inline = rng.random()
             inner = escape(x)

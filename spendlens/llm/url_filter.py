@@ -23,14 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.components import connected_components
+from spendlens.llm.html_scan import next_tag
 from spendlens.llm.store import cut, ship
 
 #: Fixed values: (verdict, rule); a rule is a host and a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 _CASE = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_TAG = re.compile(r"(?is)<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|template|textarea|noscript)\b.*?</\1\s*>")
+_HIDING = {tag: re.compile(rf"(?i)</{tag}\s*>") for tag in ("template", "textarea", "noscript")}  # up to the end tag, if there is one
 _ATTRIBUTE = re.compile(r"(?s)([^\s\"'<>/=]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _REFRESH = re.compile(r"(?is)\s*[\d.]*\s*[;,]?\s*url\s*=\s*(.*)$")
 
@@ -78,9 +78,19 @@ def _attributes(tag: str) -> dict[str, str]:
 def alias_targets(url: str, html: str) -> list[str]:
     """Absolute urls that a page redirects to or names as canonical."""
     goals = []
-    for tag in _TAG.findall(_HIDDEN.sub(" ", html)):
-        own = _attributes(tag)
-        if tag[1:5].lower() == "link":
+    at, endless = 0, set()
+    while found := next_tag(html, at):
+        at, tag = found.end, found.name
+        if tag in _HIDING and not found.closing and tag not in endless:
+            end = _HIDING[tag].search(html, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(tag)
+        if tag not in ("link", "meta") or found.closing:
+            continue
+        own = _attributes(found.attributes)
+        if tag == "link":
             if "canonical" in own.get("rel", "").lower().split():
                 goals.append(own.get("href", ""))
         elif own.get("http-equiv", "").lower() == "refresh":
