@@ -43,6 +43,7 @@ from spendlens.llm.store import cut, ship
 
 BLOCK_CHARS = 1 << 25   #: characters of the documents of a block, about
 PART_BYTES = 1 << 23    #: bytes of the words that blocks send to a part, about
+SPREAD = 4              #: shuffle partitions for each part or block, so that few of them meet in one task
 AT_ONCE = 1 << 19       #: bytes of words encoded and aligned at once
 JOINED = 1 << 14        #: characters of words encoded by one call
 MARK = "▁"         #: B's space
@@ -482,7 +483,7 @@ class Alignment:
         self.table = cut(_map(docs.select("doc_id", F.col("text").cast("string").alias("text")), _read_blocks(path_a, path_b),
                               f"block long, kind int, doc_id {self.kind}, data binary, sizes binary, counts binary, n long"), "blocks")
         words = self.table.filter("kind = 0")
-        size = words.agg(F.sum("n")).first()[0] or 0
+        size, self.blocks = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         self.parts = max(1, math.ceil(size / PART_BYTES))
         self.asked = _map(words.select("block", "data", "sizes", "counts"), _to_parts(self.parts),
                           "part long, block long, data binary, sizes binary, ids binary, counts binary")
@@ -491,7 +492,7 @@ class Alignment:
                                 "pairs binary, groups binary, group_sizes binary, pair_list array<long>, count_list array<long>"), "words")
 
     def _by_part(self, df: DataFrame, *order: str) -> DataFrame:
-        return df.repartition(self.parts, "part").sortWithinPartitions("part", *order)
+        return df.repartition(SPREAD * self.parts, "part").sortWithinPartitions("part", *order)
 
     def _part_pairs(self) -> DataFrame:
         return (self.encoded.filter("kind = 0").select("part", F.explode(F.arrays_zip("pair_list", "count_list")).alias("p"))
@@ -514,7 +515,8 @@ class Alignment:
         answers = _map(self._by_part(rows, "kind"), _to_blocks,
                        "block long, kind int, ids binary, groups binary, group_sizes binary, " + ", ".join(f"{s} binary" for s in STATS))
         own = self.table.filter("kind = 1").select("block", "kind", "doc_id", "data")
-        both = own.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
+        both = (own.unionByName(answers, allowMissingColumns=True).repartition(max(1, SPREAD * self.blocks), "block")
+                .sortWithinPartitions("block", "kind"))
         return _map(both, _documents(keep_groups),
                     f"doc_id {self.kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
                     + (", groups string" if keep_groups else ""))
