@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_every_operator_is_registered():
     import __spark_entry__ as E
     names = E.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {f"{x.split('_')[0]}_" for x in names if x.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {f"{x.split('_')[0]}_" for x in names if x.startswith("op")}
     assert "pipeline" in names and "pipeline" not in E.oracle_sql()
 
 
