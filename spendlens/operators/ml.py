@@ -48,15 +48,16 @@ def standardize(df: DataFrame, cols: list[str], stats: dict[str, tuple[float, fl
 RFM_FEATURES = ["recency", "frequency", "monetary"]
 
 
-def cluster_customers(rfm: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 300):
+def cluster_customers(rfm: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 300, tol: float = 1e-9):
     """K-Means on standardised R, F, M.  Cluster ids are renumbered 0..k-1
     by descending mean spend so they are stable across runs.
     Returns (frame with cluster_label, fitted model); the fit converged if
-    ``model.summary.numIter < max_iter``."""
+    ``model.summary.numIter < max_iter``, and then it is a fixed point: each
+    centre is its members' mean (to ``tol``), each customer with the nearest."""
     stats = scaling_stats(rfm, RFM_FEATURES)
     z = standardize(rfm, RFM_FEATURES, stats)
     vec = VectorAssembler(inputCols=[c + "_z" for c in RFM_FEATURES], outputCol="features").transform(z)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features",
                    predictionCol="raw_cluster").fit(vec)
     pred = model.transform(vec).drop("features", *[c + "_z" for c in RFM_FEATURES])
     # k rows: a bounded broadcast
@@ -94,8 +95,9 @@ def stratified_split(df: DataFrame, label: str, key: str, train: float = 0.7, se
                      num_partitions: int | None = None) -> DataFrame:
     """Add ``is_train``: per class, the first rows in a seeded hash order up
     to the class's quota go to training.  Exact sizes, distributed (a global
-    row number, not one task per class); rows without a label are left out."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    row number, not one task per class); rows without a label are left out.
+    The hash is the MD5 of ``key:seed``, so other engines can draw the same split."""
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     ranked = with_global_row_number(df.filter(F.col(label).isNotNull()).withColumn("__h", h),
                                     [F.col(label).asc(), F.col("__h").asc(), F.col(key).asc()],
                                     "__rn", None, num_partitions)
@@ -140,10 +142,11 @@ def score_churn(df: DataFrame, path: str) -> DataFrame:
 
 def train_churn(df: DataFrame, label: str = "churn_label", key: str = "customer_id",
                 features: list[str] | None = None, seed: int = 42, train: float = 0.7,
-                max_iter: int = 100, path: str | None = None):
+                max_iter: int = 300, tol: float = 1e-14, path: str | None = None):
     """Logistic regression (L2, C = 1 in the 0.5|w|^2 + C * sum(loss) form,
     i.e. regParam = 1 / n_train) on features standardised with training-set
-    statistics.  The scaling, the assembler and the model are saved as one pipeline (at ``path``, or under the
+    statistics.  The loss has one minimum, and ``tol`` is small enough to reach it to about 7 digits.
+    The scaling, the assembler and the model are saved as one pipeline (at ``path``, or under the
     checkpoint folder), which is loaded again to score.  Returns (test predictions, model, coefficients frame)."""
     features = features or CHURN_FEATURES
     split = stratified_split(df, label, key, train, seed)
@@ -153,7 +156,7 @@ def train_churn(df: DataFrame, label: str = "churn_label", key: str = "customer_
     zcols = [c + "_z" for c in features]
     asm = VectorAssembler(inputCols=zcols, outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(n_train, 1),
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
+                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
     scaler = scaling_stage(features, stats)
     model = lr.fit(asm.transform(scaler.transform(tr)).withColumn(label, dbl(label)))
     path = save_pipeline(df.sparkSession, [scaler, asm, model], path)

@@ -509,19 +509,19 @@ def _trained(t: Tables):
 
 @query("churn_predictions")
 def q_churn_predictions(t: Tables) -> DataFrame:
-    """ML-3/4: fitted logistic model on the test split (rows only)."""
-    return _trained(t)[0]
+    """ML-3/4: fitted logistic model on the test split (probabilities to 5 dp)."""
+    return _trained(t)[0].withColumn("probability", js_round("probability", 5))
 
 
 @query("coefficients")
 def q_coefficients(t: Tables) -> DataFrame:
-    """ML-7 (rows only)."""
-    return _trained(t)[2]
+    """ML-7: fitted coefficients on standardised features, and the intercept (5 dp)."""
+    return _trained(t)[2].withColumn("coefficient", js_round("coefficient", 5))
 
 
 @query("model_report")
 def q_model_report(t: Tables) -> DataFrame:
-    """ML-5 on the fitted model's test predictions (rows only)."""
+    """ML-5 on the fitted model's test predictions."""
     return ml.classification_report(_trained(t)[0])
 
 

@@ -15,7 +15,7 @@ def test_contract_keys():
     assert set(sql) <= set(qs)
     own = {n for n in qs if n != "pipeline" and not n.startswith("op")}  # the llm subpackage may be absent
     rows_only = own - set(sql)
-    assert rows_only == {"cluster_profile", "churn_predictions", "coefficients", "model_report"}
+    assert rows_only == {"cluster_profile"}
 
 
 def test_entry_runs(spark):

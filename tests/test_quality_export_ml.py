@@ -2,6 +2,8 @@ import csv
 import glob
 import json
 import random
+
+import numpy as np
 import tempfile
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -141,8 +143,16 @@ def test_kmeans_labels_ordered_by_spend(spark):
     rows = [(f"c{i}", float(rnd.randint(0, 300)), float(rnd.randint(1, 10)), float(rnd.randint(10, 5000)))
             for i in range(300)]
     df = spark.createDataFrame(rows, "customer_id string, recency double, frequency double, monetary double")
-    clustered, _ = ml.cluster_customers(df, k=4, seed=42)
+    clustered, model = ml.cluster_customers(df, k=4, seed=42)
     prof = ml.cluster_profile(clustered).collect()
+    # a fixed point: centres are their members' means, and every member is nearest to its own
+    own = clustered.toPandas()
+    x = own[ml.RFM_FEATURES].to_numpy(float)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    centres = np.stack([z[own.cluster_label == c].mean(axis=0) for c in range(4)])
+    near = ((z[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert model.summary.numIter < 300 and (near == own.cluster_label).all()
+    assert sorted(map(tuple, np.round(centres, 6))) == sorted(map(tuple, np.round(model.clusterCenters(), 6)))
     assert [r["cluster_label"] for r in prof] == [0, 1, 2, 3]
     means = [r["monetary_mean"] for r in prof]
     assert means == sorted(means, reverse=True) and sum(r["customers"] for r in prof) == 300
