@@ -2,10 +2,9 @@ import csv
 import glob
 import json
 import random
-
-import numpy as np
 import tempfile
 
+import numpy as np
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
