@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,37 +54,56 @@ def signatures(vectors: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray
     return signs @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
-    """Row numbers of the usable vectors, and each row's vector in double precision."""
-    out: list[np.ndarray | None] = []
-    for value in column:
-        v = None if value.as_py() is None else np.array([np.nan if x is None else x for x in value.as_py()], np.float64)
-        with np.errstate(over="ignore"):
-            usable = v is not None and len(v) and np.isfinite(v).all() and 0 < float(v @ v) < np.inf
-        out.append(v if usable else None)
-    return np.array([i for i, v in enumerate(out) if v is not None], np.int64), out
+def _vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and vectors (double precision) of the usable rows, by length."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null rows hold nothing here; null components are nan
+    starts = np.cumsum(lengths) - lengths
+    out = {}
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == dim)
+        x = values[starts[rows][:, None] + np.arange(dim)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            square = (x * x).sum(axis=1)
+            usable = np.isfinite(x).all(axis=1) & (square > 0) & (square < np.inf)
+        if usable.any():
+            out[dim] = rows[usable], x[usable]
+    return out
 
 
-def _hash(bits: int, tables: int, seed: int):
+def _as_binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as bytes."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    ends = pa.array(np.arange(len(rows) + 1, dtype=np.int64) * width).buffers()[1]
+    return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, ends, pa.py_buffer(rows)]).cast(pa.binary())
+
+
+def key_type(bits: int) -> type:
+    return np.int32 if bits < 32 else np.int64
+
+
+def _hash(bits: int, tables: int, seed: int, width: type | None):
+    """Rows of each vector in each table: its place and, if a ``width`` is given, its keys in the tables before
+    and the vector in numbers of that width."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             ids = batch.column("vec_id")
-            rows, vectors = _vectors(batch.column("embedding"))
-            rows = np.array([i for i in rows if ids[int(i)].is_valid], np.int64)
-            for dim in sorted({len(vectors[i]) for i in rows}):
-                own = np.array([i for i in rows if len(vectors[i]) == dim], np.int64)
-                x = np.stack([vectors[i] for i in own])
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            for dim, (rows, x) in _vectors(batch.column("embedding")).items():
+                own, x = rows[known[rows]], x[known[rows]]
+                if not len(own):
+                    continue
                 if dim not in planes:
                     planes[dim] = directions(dim, bits, tables, seed)
                 keys = signatures(x, planes[dim], bits)
-                key_bytes = [k.tobytes() for k in keys]
-                data = [v.tobytes() for v in x]
+                same = [pa.array(np.full(len(own), dim, np.int32))]
+                rest = [] if width is None else [ids.take(pa.array(own)), _as_binary(x.astype(width))]
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(own), t, np.int32)), pa.array(np.full(len(own), dim, np.int32)), pa.array(keys[:, t]),
-                         ids.take(pa.array(own)), pa.array(key_bytes, pa.binary()), pa.array(data, pa.binary())],
-                        ["tab", "dim", "bucket", "vec_id", "keys", "data"])
+                    place = [pa.array(np.full(len(own), t, np.int32)), *same, pa.array(keys[:, t])]
+                    before = [] if width is None else [_as_binary(keys[:, :t].astype(key_type(bits)))]
+                    yield pa.RecordBatch.from_arrays([*place, *rest, *before], [*GROUP, *(["vec_id", "data", "keys"] if rest else [])])
     return run
 
 
@@ -116,14 +136,15 @@ def compare(tab: int, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, side: np
     return counts, np.array([forest.root(k) for k in range(n)])
 
 
-def _compared(cosine: float):
+def _compared(cosine: float, bits: int, width: type):
     """Rows in pairs of blocks -> (vec_id, n_links, other) for members with links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, GROUP):
             ids = rows.column("vec_id").to_numpy()
-            x = np.stack([np.frombuffer(v, np.float64) for v in rows.column("data").to_pylist()])
-            keys = np.stack([np.frombuffer(k, np.int64) for k in rows.column("keys").to_pylist()])
-            counts, roots = compare(rows.column("tab")[0].as_py(), ids, keys, x, rows.column("side").to_numpy(), cosine)
+            tab, dim = (rows.column(c)[0].as_py() for c in ("tab", "dim"))
+            x = np.frombuffer(b"".join(rows.column("data").to_pylist()), width).reshape(-1, dim).astype(np.float64)
+            keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), key_type(bits)).reshape(len(ids), tab)
+            counts, roots = compare(tab, ids, keys, x, rows.column("side").to_numpy(), cosine)
             some = counts > 0
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[some], counts[some], ids[roots[some]])],
@@ -143,13 +164,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     """
     spark = vectors.sparkSession
     ship(spark)
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # floats travel as floats: they are the same numbers in double precision
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
+                         F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+    width = np.float32 if single else np.float64
     n = own.count()
     bits, tables = table_sizes(n, cosine, recall)
-    hashed = own.mapInArrow(_hash(bits, tables, seed), "tab int, dim int, bucket long, vec_id long, keys binary, data binary")
-    crowds = crowded(own.mapInArrow(_hash(bits, tables, seed), hashed.schema), GROUP, BLOCK)
+    hashed = own.mapInArrow(_hash(bits, tables, seed, width), "tab int, dim int, bucket long, vec_id long, data binary, keys binary")
+    crowds = crowded(own.mapInArrow(_hash(bits, tables, seed, None), "tab int, dim int, bucket long"), GROUP, BLOCK)
     found = cut(in_pairs_of_blocks(hashed, GROUP, "vec_id", crowds)
-                .mapInArrow(_compared(cosine), "vec_id long, n_links long, other long"), "found")
+                .mapInArrow(_compared(cosine, bits, width), "vec_id long, n_links long, other long"), "found")
     counts = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     labels = connected_components(found, "vec_id", "other").withColumnRenamed("node", "vec_id")
     component = F.coalesce("component", "vec_id")
