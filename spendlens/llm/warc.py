@@ -7,7 +7,8 @@ largest page_id is a response and the others are revisits that refer to it.
 
 Reading an archive gives its run: one index entry for each record, sorted by
 URL key and timestamp.  Runs are stored; ranges of keys are dealt to tasks, and
-each task merges its pieces of all runs with a loser tree.  Entries carry their
+each task holds one range, of about ``RANGE_RECORDS`` entries, and merges its
+pieces of all runs with a loser tree.  Entries carry their
 range and place, so their order is global: the captures of a URL stand together
 in time order.  Ranges split by timestamp, page_id and record, so a URL with a
 third of all captures is spread over tasks.
@@ -31,6 +32,7 @@ from spendlens.llm.store import cut, new_path, ship
 
 MIN_REVISIT = 1000      #: bytes; smaller payloads are always responses
 FILE_RECORDS = 5000     #: records in an archive file, at most
+RANGE_RECORDS = 100_000  #: entries that a task merges, on average
 
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -260,7 +262,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The entries of all runs in global order: by ``range``, then ``place``, they follow URL key and capture time."""
     ship(runs.sparkSession)
-    ranges = runs.repartitionByRange("url_key", "captured", "page_id", "archive", "number")
+    n = max(1, -(-runs.count() // RANGE_RECORDS))  # a task holds one range, so their number follows the entries
+    ranges = runs.repartitionByRange(n, "url_key", "captured", "page_id", "archive", "number")
     return ranges.mapInArrow(_merged, _ENTRY_SQL + ", range int, place long")
 
 
@@ -268,7 +271,7 @@ def capture_index(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Archive ``pages`` (page_id, url, html and, if known, captured), read the archives back, and merge their index.
 
     One row for each row of ``pages``: url_key, captured, page_id, offset,
-    length, record_type, payload_bytes, payload_digest (of the full payload, also
+    length (both in the inflated archive), record_type, payload_bytes, payload_digest (of the full payload, also
     of a revisit), refers_to, archive, number, range, place.  Null html is an
     empty payload; a null url has an empty key.  Rows without a page_id are
     responses that no revisit refers to.  Repeated rows of the largest page_id

@@ -107,6 +107,17 @@ def test_archives_round_trip(spark):
     assert warc.capture_index(pages.limit(0)).count() == 0
 
 
+def test_ranges_follow_the_entries(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_RECORDS", 25)
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.org/" if i % 2 else "http://hot.org/", f"p{i}") for i in range(300)],
+                                  "page_id long, url string, html string").repartition(4)
+    got = warc.capture_index(pages).orderBy("range", "place").collect()
+    sizes = [sum(r.range == k for r in got) for k in range(12)]
+    assert sum(sizes) == 300 and max(sizes) <= 75 and sum(s > 0 for s in sizes) >= 8
+    keys = [(r.url_key, r.captured, r.page_id) for r in got]
+    assert keys == sorted(keys)
+
+
 def test_records_are_found_by_their_index(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i % 7}", f"page {i} " * 50) for i in range(60)], "page_id long, url string, html string").repartition(3)
     folder = warc.write_archives(pages, str(tmp_path / "w"), file_records=9)
