@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,7 +187,10 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on a bounded sample of the labelled documents outside the folds HELD_OUT and CALIBRATE."""
+    """Train on a bounded sample of the labelled documents outside the folds HELD_OUT and CALIBRATE.
+
+    A doc_id with several texts gives the smallest of them, so the driver gets
+    at most SAMPLE texts however often rows repeat."""
     known = (labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
              .filter(~fold(F.col("doc_id")).isin(HELD_OUT, CALIBRATE))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -194,8 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chance = 0.9 * SAMPLE / max(known.count(), 1)
     drawn = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11) < int(min(chance, 1.0) * (1 << 53))).limit(SAMPLE)
     table = (docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", F.col("text").cast("string").alias("text"))
-             .join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toArrow())
-    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+             .join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+             .select("doc_id", "text", "toxic").toArrow())
+    table = table.sort_by("doc_id")
     ids, sizes = [np.zeros((0, len(PIECES)), np.int32)], [np.zeros(0, np.int64)]
     for part in (p for batch in table.to_batches() for p in slices(batch, "text")):
         own, bounds = word_ids(part.column("text"))
@@ -231,22 +236,37 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return own.mapInArrow(run, out.schema)
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, false_alarms: float = FALSE_ALARMS) -> dict[str | None, float]:
-    """Threshold by language, and under None the one of all languages together, from the CALIBRATE fold.
+def with_threshold(scored: DataFrame, labels: DataFrame, false_alarms: float = FALSE_ALARMS) -> DataFrame:
+    """``scored`` (doc_id, lang, score, ...) with ``threshold``: its language's, from the CALIBRATE fold.
 
-    Scores are counted in steps of 0.01, so what comes to the driver is bounded
-    by the languages times 100; a language without both labels uses the common one.
+    A null language, and one without both labels, uses the threshold of all
+    languages together.  Scores are counted in steps of 0.01; only the 100 steps
+    of all languages come to the driver.  The languages' thresholds are a table,
+    however many there are, broadcast only if Spark finds it small.
     """
     known = (labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(fold(F.col("doc_id")) == CALIBRATE)
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     step = F.least(F.floor(F.col("score") * 100), F.lit(99)).cast("int").alias("step")
     counts = scored.join(known, "doc_id").groupBy("lang", step).agg(
-        F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).collect()
-    tables: dict[str | None, np.ndarray] = {None: np.zeros((100, 2))}
-    for r in counts:
-        for lang in {r["lang"], None}:
-            tables.setdefault(lang, np.zeros((100, 2)))[r["step"]] += (r["toxic"], r["clean"])
-    return {lang: t for lang, table in tables.items() if (t := best_threshold(table, false_alarms)) is not None}
+        F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean"))
+    counts = cut(counts, "steps")
+    common = np.zeros((100, 2))
+    for r in counts.groupBy("step").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect():
+        common[r["step"]] = r["toxic"], r["clean"]
+    found = best_threshold(common, false_alarms)
+    own = cut(counts.filter("lang IS NOT NULL").groupBy("lang").applyInPandas(_of_language(false_alarms), "lang string, threshold double"),
+              "thresholds").withColumnRenamed("lang", "_lang")
+    return (scored.join(own, F.col("lang") == F.col("_lang"), "left").drop("_lang")
+            .withColumn("threshold", F.coalesce("threshold", F.lit(PREDICT if found is None else found))))
+
+
+def _of_language(false_alarms: float):
+    def run(steps: pd.DataFrame) -> pd.DataFrame:  # at most 100 rows
+        table = np.zeros((100, 2))
+        table[steps["step"]] = steps[["toxic", "clean"]]
+        found = best_threshold(table, false_alarms)
+        return steps[["lang"]].head(0 if found is None else 1).assign(threshold=found)
+    return run
 
 
 def best_threshold(table: np.ndarray, false_alarms: float) -> float | None:
@@ -262,15 +282,6 @@ def best_threshold(table: np.ndarray, false_alarms: float) -> float | None:
     return float(top[len(top) // 2]) / 100
 
 
-def _threshold(found: dict[str | None, float]) -> Column:
-    common = F.lit(found.get(None, PREDICT))
-    out = None
-    for lang, t in found.items():
-        if lang is not None:
-            out = F.when(F.col("lang") == lang, t) if out is None else out.when(F.col("lang") == lang, t)
-    return common if out is None else out.otherwise(common)
-
-
 def _lang(docs: DataFrame) -> Column:
     return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang")
 
@@ -287,11 +298,10 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), _lang(docs))
     scored = cut(score(own, fit(own, labels)), "scores")
-    found = thresholds(scored, labels)
-    return scored.select(
+    return with_threshold(scored, labels).select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score",
-        (F.col("score") >= PREDICT).cast("int").alias("predicted"), _threshold(found).alias("threshold"),
-        (F.col("score") >= _threshold(found)).alias("toxic"))
+        (F.col("score") >= PREDICT).cast("int").alias("predicted"), "threshold",
+        (F.col("score") >= F.col("threshold")).alias("toxic"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -300,5 +310,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs.select("doc_id", text), labels)
     packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", text, _lang(docs))
     scored = cut(score(packed, model), "scored")
-    found = thresholds(scored.select("doc_id", "lang", "score"), labels)
-    return scored.filter(F.col("score") < _threshold(found)).select("_row.*")
+    return with_threshold(scored, labels).filter(F.col("score") < F.col("threshold")).select("_row.*")

@@ -84,6 +84,20 @@ def test_words_of_a_batch():
     assert h[0] == again[1] and h[-1] == again[2] and len(set(h.tolist())) == 5
 
 
+def test_toxicity_repeated_ids_and_many_languages(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(400):
+        bad = i % 2
+        docs += [(i, " ".join(rng.choice(["foul", "vile"] if bad else ["nice", "calm"]) for _ in range(8)), f"l{i % 90}" if i % 3 else None)] * (1 + 40 * (i == 7))
+        labels.append((i, bad))
+    own = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = toxicity.toxicity_report(own, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == len(docs) and {r.threshold is None for r in got} == {False}
+    assert len({(r.score, r.threshold) for r in got if r.doc_id == 7}) == 1
+    assert all(r.toxic == bool(r.doc_id % 2) for r in got)
+
+
 # -- embeddings and components -----------------------------------------------------------------------
 
 
@@ -114,6 +128,24 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_at_production_parameters(spark):
+    """Floats, with the parameters of the query: nearly every link is found, and none that isn't one."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(1000, 24))
+    x = np.concatenate([base, base[:400] + 0.2 * rng.normal(size=(400, 24)), np.repeat(base[:2], 300, axis=0)]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [float("inf")] * 24)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    linked = (unit @ unit.T >= embedding_dedup.COSINE) & ~np.eye(len(x), dtype=bool)
+    counts = np.array([got[i].n_links for i in range(len(x))])
+    assert linked.sum() > 180_000 and (counts <= linked.sum(axis=1)).all()
+    assert counts.sum() >= 0.99 * linked.sum()
+    single = linked[:, :1400].sum(axis=1)[1000:1400] > 0   # the pairs that aren't copies
+    assert (counts[1000:1400][single] > 0).mean() >= 0.99
+    assert got[5000].n_links == got[5001].n_links == 0 and len(got) == len(rows)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1100)]
